@@ -9,6 +9,7 @@ from lumenseek.catalog import tables as t
 from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import grouping, ranking
 from lumenseek.operators.embedding import embed
+from lumenseek.providers.preparation import tokenize
 
 LIMIT = 20
 LOW_THRESHOLD = 0.1
@@ -108,11 +109,10 @@ def display_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The four re-rank signals of every chunk."""
-    q = scoring.rerank_tokens(F.lit(t.QUERY_TEXT))
+    q = tokenize(t.QUERY_TEXT.lower())
     return t.document_chunks(spark, sf).select(
-        "doc_id",
-        scoring.token_match_ratio(q, scoring.rerank_tokens(F.col("text"))).alias("ratio"),
-        scoring.path_match(q, scoring.rerank_tokens(F.col("file_path"))).alias("path"),
+        "doc_id", scoring.token_match_ratio(q, F.col("text")).alias("ratio"),
+        scoring.path_match(q, F.col("file_path")).alias("path"),
         scoring.type_bonus(F.col("type")).alias("bonus"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from lumenseek import fixed_values as fv
-from lumenseek.functions.text import fixed_decimals, literal_map, tokenize
+from lumenseek.functions.text import WS_JAVA, fixed_decimals, literal_map, spread_tokens
 
 
 def display_score(similarity: Column) -> Column:
@@ -16,15 +18,39 @@ def low_relevance(similarity: Column) -> Column:
     return similarity < fv.LOW_RELEVANCE_BELOW
 
 
-def token_match_ratio(query_tokens: Column, code_tokens: Column) -> Column:
-    """Share of query tokens that contain, or lie inside, some code token."""
-    hits = F.filter(query_tokens, lambda q: F.exists(
-        code_tokens, lambda c: F.contains(c, q) | F.contains(q, c)))
-    return F.size(hits) / F.greatest(F.size(query_tokens), F.lit(1))
-
-
-def path_match(query_tokens: Column, path_tokens: Column) -> Column:
-    hit = F.exists(query_tokens, lambda q: F.exists(path_tokens, lambda p: F.contains(p, q)))
+def _parts_of(token: str) -> list[str]:
+    """All substrings of a token that are tokens themselves, longest first."""
+    found = {token[i:j] for i in range(len(token)) for j in range(i + 1, len(token) + 1)}
+    kept = [p for p in found if len(p) > 1 or ord(p) > 0xFFFF]
+    return sorted(kept, key=lambda p: (-len(p), p))
+
+
+def token_match_ratio(query_tokens: list[str], text: Column) -> Column:
+    """Share of query tokens that lie inside, or contain, some token of a text.
+
+    White space separates tokens and query tokens have none, so "inside some
+    token" is a plain substring test on the spread text, and "contains some
+    token" is one pattern over the parts of the query token. No token array is
+    built per row.
+    """
+    if not query_tokens:
+        return F.lit(0.0)
+    spread = spread_tokens(F.lower(text))
+    hits = None
+    for token in query_tokens:
+        parts = "|".join(re.escape(p) for p in _parts_of(token))
+        whole = f"(?:^|{WS_JAVA})(?:{parts})(?:{WS_JAVA}|$)"
+        hit = F.when(F.contains(spread, F.lit(token)) | spread.rlike(whole), 1).otherwise(0)
+        hits = hit if hits is None else hits + hit
+    return hits / F.lit(len(query_tokens))
+
+
+def path_match(query_tokens: list[str], path: Column) -> Column:
+    """1 if any query token lies inside any token of a path, else 0."""
+    spread = spread_tokens(F.lower(path))
+    hit = F.lit(False)
+    for token in query_tokens:
+        hit = hit | F.contains(spread, F.lit(token))
     return F.when(hit, 1.0).otherwise(0.0)
 
 
@@ -32,11 +58,6 @@ def type_bonus(chunk_type: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(fv.TYPE_BONUS), chunk_type), F.lit(fv.DEFAULT_TYPE_BONUS))
 
 
-def rerank_tokens(c: Column) -> Column:
-    """Tokens as re-ranking sees them: lower-cased first, so case never splits."""
-    return tokenize(F.lower(c))
-
-
 def rerank_score(similarity: Column, ratio: Column, path: Column, bonus: Column) -> Column:
     w = fv.RERANK_WEIGHTS
     return w["similarity"] * similarity + w["tokens"] * ratio + w["path"] * path + w["type"] * bonus

@@ -19,17 +19,27 @@ def lookup(table: dict, key: Column, default) -> Column:
     return F.coalesce(F.element_at(literal_map(table), key), default)
 
 
+#: The same class as ``fv.WS``, written so that java.util.regex decides on an
+#: ordinary character after two checks instead of eight.
+WS_JAVA = (
+    r"[\t\n\x0B\f\r \x{00A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+)
+_WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def trim_ws(c: Column) -> Column:
     """Strip ECMAScript white space on both ends (Spark's trim strips only blanks)."""
-    return F.regexp_replace(c, f"^{fv.WS}+|{fv.WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(f"[^{fv.WS[1:-1]}]")
+    return trim_ws(c) == ""
 
 
 def collapse_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"{fv.WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{WS_JAVA}+", " "))
 
 
 def utf16_length(c: Column) -> Column:
@@ -58,12 +68,16 @@ def with_prefix(prefix: str | None, c: Column) -> Column:
     return F.concat(F.lit(f"{prefix} "), c) if prefix else c
 
 
+def spread_tokens(c: Column) -> Column:
+    """Lower-case text with identifiers split and delimiters made blanks."""
+    return F.lower(F.regexp_replace(_split_case(c), fv.TOKEN_DELIMITERS, " "))
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case search tokens of two or more characters, duplicates kept."""
-    spread = F.lower(F.regexp_replace(_split_case(c), fv.TOKEN_DELIMITERS, " "))
     # A single astral character is two UTF-16 units and therefore stays.
     return F.filter(
-        F.split(spread, f"{fv.WS}+"),
+        F.split(spread_tokens(c), f"{WS_JAVA}+"),
         lambda t: (F.length(t) > 1) | t.rlike(r"[\x{10000}-\x{10FFFF}]"),
     )
 

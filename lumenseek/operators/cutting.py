@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
-from lumenseek.functions.text import is_blank, literal_map, trim_ws
+from lumenseek.functions.text import WS_JAVA, is_blank, literal_map, trim_ws
 
 
 def split_lines(text: Column) -> Column:
@@ -205,8 +205,7 @@ def relabel_at_running_starts(pieces: Column, breaks: Column) -> Column:
 # -- chunk types ------------------------------------------------------------------------
 
 def _per_line_pattern(pattern: str) -> str:
-    inner = fv.WS[1:-1]
-    return pattern.replace(r"[\s>]", f"[{inner}>]").replace(r"\s", fv.WS)
+    return pattern.replace(r"[\s>]", f"[{WS_JAVA[1:-1]}>]").replace(r"\s", WS_JAVA)
 
 
 def _any_line(lines: Column, regex: str) -> Column:

@@ -11,6 +11,7 @@ from lumenseek.functions.vector import has_vector
 from lumenseek.providers.batching import BatchEmbedder
 from lumenseek.providers.embedding import EmbeddingProvider
 from lumenseek.schema import EMBEDDED
+from lumenseek.session import ship_package
 
 
 def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: int = 32,
@@ -21,6 +22,7 @@ def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: i
     ``max_concurrency`` bounds how many tasks call a service at a time; leave
     it out for providers that run inside the task.
     """
+    ship_package(df.sparkSession)
     if max_concurrency:
         df = df.coalesce(max_concurrency)
 

@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions import scoring, vector as vec
+from lumenseek.providers import preparation
+from lumenseek.session import ship_package
 
 
 def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
@@ -26,6 +28,7 @@ def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
 def nearest(chunks: DataFrame, query: Sequence[float], count: int) -> DataFrame:
     """The ``count`` nearest rows with d2 and rank; ties go to the smaller id."""
     scored = chunks.withColumn("d2", vec.squared_l2(F.col("vector"), query)).drop("vector")
+    scored = scored.where(F.col("d2").isNotNull())
     return _ranked(scored.orderBy("d2", "id").limit(count), "vector_rank", "d2", "id")
 
 
@@ -126,12 +129,10 @@ def rerank(results: DataFrame, query: str) -> DataFrame:
     ``rank`` breaks ties, which keeps the sort stable; the new order is in
     ``rerank_position``.
     """
-    q = scoring.rerank_tokens(F.lit(query))
+    tokens = preparation.tokenize(query.lower())
     scored = results.withColumn("rerank_score", scoring.rerank_score(
-        F.col("similarity"),
-        scoring.token_match_ratio(q, scoring.rerank_tokens(F.col("text"))),
-        scoring.path_match(q, scoring.rerank_tokens(F.col("file_path"))),
-        scoring.type_bonus(F.col("type"))))
+        F.col("similarity"), scoring.token_match_ratio(tokens, F.col("text")),
+        scoring.path_match(tokens, F.col("file_path")), scoring.type_bonus(F.col("type"))))
     return _ranked(scored, "rerank_position", F.desc("rerank_score"), F.asc("rank"))
 
 
@@ -143,6 +144,7 @@ def many_nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], count:
     its own ``count`` best per query, so only tasks x queries x count small
     rows are shuffled, keyed by query. No pair list is ever built.
     """
+    ship_package(vectors.sparkSession)
     names = sorted(queries)
     matrix = np.asarray([queries[n] for n in names], dtype=np.float64)
     id_type = vectors.schema[id_col].dataType
@@ -153,21 +155,15 @@ def many_nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], count:
     def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, object]]] = [[] for _ in names]
         for batch in batches:
-            column = batch.column(1)
-            keep = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
-            if not len(keep):
-                continue
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = values.reshape(len(keep), matrix.shape[1])
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0)
             for i, q in enumerate(matrix):
-                d2 = vec.ordered_squared_l2(block, q)
-                if len(d2) > count:
+                d2 = vec.array_distances(batch.column(1), q)
+                known = np.flatnonzero(~np.isnan(d2))
+                if len(known) > count:
                     # Everything up to the count-th distance, ties included.
-                    near = np.flatnonzero(d2 <= np.partition(d2, count - 1)[count - 1])
-                else:
-                    near = np.arange(len(d2))
-                merged = best[i] + [(float(d2[j]), ids[keep[j]]) for j in near]
+                    bound = np.partition(d2[known], count - 1)[count - 1]
+                    known = known[d2[known] <= bound]
+                merged = best[i] + [(float(d2[j]), ids[j].as_py()) for j in known.tolist()]
                 best[i] = sorted(merged)[:count]
         rows = [(names[i], rid, d2) for i in range(len(names)) for d2, rid in best[i]]
         if rows:

@@ -23,3 +23,11 @@ def split_identifiers(text: str, *, hyphens: bool = True) -> str:
 
 def trim(text: str) -> str:
     return re.sub(f"^{_WS}+|{_WS}+$", "", text)
+
+
+def tokenize(text: str) -> list[str]:
+    """Driver-side twin of ``functions.text.tokenize``."""
+    text = re.sub(fv.LOWER_UPPER, r"\1 \2", text)
+    text = re.sub(fv.ACRONYM_WORD, r"\1 \2", text)
+    text = re.sub(fv.TOKEN_DELIMITERS, " ", text).lower()
+    return [w for w in re.split(f"{_WS}+", text) if len(w) > 1 or (w and ord(w) > 0xFFFF)]
