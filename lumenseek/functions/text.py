@@ -150,7 +150,7 @@ def tree_preview(text: Column) -> Column:
 
 def html_escape(c: Column) -> Column:
     """Escape as a browser does when a text node is serialised."""
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (" ", "&nbsp;")):
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")):
         c = F.replace(c, F.lit(char), F.lit(entity))
     return c
 

@@ -75,8 +75,8 @@ def skip_reasons(files: DataFrame, max_size: int) -> DataFrame:
 def scan_summary(files: DataFrame, max_size: int) -> DataFrame:
     """The summary text of a scan.
 
-    Too-large reasons name the file's size, so their number grows with the
-    table; one aggregate per reason is built before the lines are joined.
+    Reasons are counted before their lines are joined. Too-large reasons show
+    the size to two decimals, so there are only as many as such numbers.
     """
     reasons = with_skip_reason(files, max_size).groupBy("skip_reason").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
