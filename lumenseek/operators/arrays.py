@@ -40,3 +40,12 @@ def shifted_back(values: Column) -> Column:
 def shifted_on(values: Column) -> Column:
     """Every element's successor; NULL for the last."""
     return F.slice(F.concat(values, F.array(F.lit(None))), 2, F.size(values))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression used inside a lambda is evaluated again for every element;
+    bound to a lambda variable of its own it is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

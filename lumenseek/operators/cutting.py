@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import WS_JAVA, is_blank, literal_map, trim_ws
+from lumenseek.operators.arrays import let, running_sum, shifted_back, shifted_on
 
 
 def split_lines(text: Column) -> Column:
@@ -40,17 +41,14 @@ def group_imports(points: Column) -> Column:
         return p["label"].isin("Import", "Export")
 
     # Pair every point with its predecessor, then drop the repeats.
-    pairs = F.zip_with(
-        ordered, F.slice(F.concat(F.array(F.lit(None)), ordered), 1, F.size(ordered)),
-        lambda p, before: F.struct(p.alias("p"), F.coalesce(
-            in_block(p) & in_block(before), F.lit(False)).alias("repeat")))
+    pairs = F.zip_with(ordered, shifted_back(ordered), lambda p, before: F.struct(p.alias("p"), F.coalesce(
+        in_block(p) & in_block(before), F.lit(False)).alias("repeat")))
     return F.transform(F.filter(pairs, lambda x: ~x["repeat"]), lambda x: x["p"])
 
 
 def first_per_line(points: Column) -> Column:
     """The first point of every line, of points sorted by line."""
-    before = F.slice(F.concat(F.array(F.lit(None)), points), 1, F.size(points))
-    pairs = F.zip_with(points, before, lambda p, b: F.struct(
+    pairs = F.zip_with(points, shifted_back(points), lambda p, b: F.struct(
         p.alias("p"), F.coalesce(p["line"] == b["line"], F.lit(False)).alias("repeat")))
     return F.transform(F.filter(pairs, lambda x: ~x["repeat"]), lambda x: x["p"])
 
@@ -62,18 +60,27 @@ def lift_over_comments(points: Column, comments: Column) -> Column:
     up on one line the lowest of them gives the label.
     """
     runs = F.array_sort(F.array_distinct(comments))
-    heads = F.filter(runs, lambda c: ~F.array_contains(comments, c - 1))
-
-    def lifted(p: Column) -> Column:
-        above = p["line"] - 1
-        head = F.array_max(F.filter(heads, lambda h: h <= above))
-        return F.struct(
-            F.when(F.array_contains(comments, above), head).otherwise(p["line"]).alias("line"),
-            p["line"].alias("origin"), p["label"].alias("label"))
-
-    moved = F.array_sort(F.transform(points, lifted))
-    after = F.slice(F.concat(moved, F.array(F.lit(None))), 2, F.size(moved))
-    pairs = F.zip_with(moved, after, lambda p, n: F.struct(
+    # First line of every run of comment lines.
+    heads = F.transform(F.filter(F.zip_with(runs, shifted_back(runs), lambda c, b: F.struct(
+        c.alias("c"), (b.isNotNull() & (b == c - 1)).alias("inner"))), lambda x: ~x["inner"]), lambda x: x["c"])
+
+    def lift(known: Column) -> Column:
+        def lifted(p: Column) -> Column:
+            above = p["line"] - 1
+            head = F.array_max(F.filter(known, lambda h: h <= above))
+            return F.struct(
+                F.when(F.array_contains(comments, above), head).otherwise(p["line"]).alias("line"),
+                p["line"].alias("origin"), p["label"].alias("label"))
+
+        return F.array_sort(F.transform(points, lifted))
+
+    moved = F.when(F.size(comments) > 0, let(heads, lift)).otherwise(F.transform(
+        points, lambda p: F.struct(p["line"].alias("line"), p["line"].alias("origin"), p["label"].alias("label"))))
+    return let(moved, _last_per_line)
+
+
+def _last_per_line(moved: Column) -> Column:
+    pairs = F.zip_with(moved, shifted_on(moved), lambda p, n: F.struct(
         p["line"].alias("line"), p["label"].alias("label"),
         F.coalesce(p["line"] == n["line"], F.lit(False)).alias("covered")))
     return F.transform(F.filter(pairs, lambda x: ~x["covered"]),
@@ -95,11 +102,13 @@ def cut(lines: Column, breaks: Column) -> Column:
     head = F.array(F.struct(F.lit(0).alias("line"), no_label.alias("label")))
     starts = F.when(F.coalesce(F.get(breaks, F.lit(0))["line"], F.lit(-1)) == 0, breaks).otherwise(
         F.concat(head, breaks))
-    ends = F.concat(F.transform(F.slice(starts, 2, F.size(starts)), lambda b: b["line"]),
-                    F.array(F.size(lines)))
-    return _keep_filled(F.zip_with(starts, ends, lambda b, end: F.struct(
-        b["line"].alias("start"), b["label"].alias("label"),
-        F.slice(lines, b["line"] + 1, end - b["line"]).alias("lines"))))
+
+    def between(all_starts: Column) -> Column:
+        return F.zip_with(all_starts, shifted_on(all_starts), lambda b, after: F.struct(
+            b["line"].alias("start"), b["label"].alias("label"),
+            F.slice(lines, b["line"] + 1, F.coalesce(after["line"], F.size(lines)) - b["line"]).alias("lines")))
+
+    return _keep_filled(let(starts, between))
 
 
 def _can_end(line: Column) -> Column:
@@ -115,35 +124,38 @@ def split_points(lines: Column, cap: int, floor: int, look_back: int) -> Column:
     Every part but the last ends at the last line within ``look_back`` of the
     cap (yet ``floor`` from its start) that can end a part, else at the cap.
     """
-    size = F.size(lines)
-    may_end = F.transform(lines, _can_end)
     shortest = max(floor + 1, cap - look_back + 1, 1) if floor < cap else cap
 
-    def step(offsets: Column, _: Column) -> Column:
-        start = F.element_at(offsets, -1)
-        end = start + cap
-        first = F.greatest(start + floor, end - look_back)
-        good = F.when(first <= end - 1, F.array_max(F.filter(
-            F.sequence(first, end - 1), lambda i: F.get(may_end, i))))
-        return F.when(size - start <= cap, offsets).otherwise(
-            F.concat(offsets, F.array(F.coalesce(good + 1, end))))
+    def walk(may_end: Column) -> Column:
+        size = F.size(may_end)
+
+        def step(offsets: Column, _: Column) -> Column:
+            start = F.element_at(offsets, -1)
+            end = start + cap
+            first = F.greatest(start + floor, end - look_back)
+            good = F.when(first <= end - 1, F.array_max(F.filter(
+                F.sequence(first, end - 1), lambda i: F.get(may_end, i))))
+            return F.when(size - start <= cap, offsets).otherwise(
+                F.concat(offsets, F.array(F.coalesce(good + 1, end))))
 
-    rounds = F.sequence(F.lit(1), F.ceil(size / shortest).cast("int"))
-    return F.aggregate(rounds, F.array(F.lit(0)), step)
+        rounds = F.sequence(F.lit(1), F.ceil(size / shortest).cast("int"))
+        return F.aggregate(rounds, F.array(F.lit(0)), step)
+
+    return let(F.transform(lines, _can_end), walk)
 
 
 def split_large(pieces: Column, cap: int = fv.MAX_CHUNK_LINES, floor: int = fv.MIN_CHUNK_LINES,
                 look_back: int = fv.SPLIT_LOOK_BACK) -> Column:
     """Pieces of at most ``cap`` lines; only the first part keeps the label."""
     def parts(p: Column) -> Column:
-        offsets = split_points(p["lines"], cap, floor, look_back)
-        ends = F.concat(F.slice(offsets, 2, F.size(offsets)), F.array(F.size(p["lines"])))
-        return F.zip_with(offsets, ends, lambda o, end: F.struct(
-            (p["start"] + o).alias("start"), F.when(o == 0, p["label"]).alias("label"),
-            F.slice(p["lines"], o + 1, end - o).alias("lines")))
+        return let(split_points(p["lines"], cap, floor, look_back), lambda offsets: F.zip_with(
+            offsets, shifted_on(offsets), lambda o, end: F.struct(
+                (p["start"] + o).alias("start"), F.when(o == 0, p["label"]).alias("label"),
+                F.slice(p["lines"], o + 1, F.coalesce(end, F.size(p["lines"])) - o).alias("lines"))))
 
-    return _keep_filled(F.flatten(F.transform(pieces, lambda p: F.when(
-        F.size(p["lines"]) <= cap, F.array(p)).otherwise(parts(p)))))
+    whole = ~F.exists(pieces, lambda p: F.size(p["lines"]) > cap)
+    return F.when(whole, pieces).otherwise(_keep_filled(F.flatten(F.transform(pieces, lambda p: F.when(
+        F.size(p["lines"]) <= cap, F.array(p)).otherwise(parts(p))))))
 
 
 def fixed_cut(lines: Column, cap: int = fv.MAX_CHUNK_LINES) -> Column:
@@ -156,30 +168,32 @@ def fixed_cut(lines: Column, cap: int = fv.MAX_CHUNK_LINES) -> Column:
 
 def merge_small(pieces: Column, floor: int = fv.MIN_CHUNK_LINES) -> Column:
     """Join pieces under ``floor`` lines pairwise: with the next, the last with the one before."""
-    sizes = F.transform(pieces, lambda p: F.size(p["lines"]))
-    count = F.size(sizes)
+    def flags(sizes: Column) -> Column:
+        count = F.size(sizes)
 
-    # taken[i]: piece i was joined to the piece before it.
-    def step(taken: Column, i: Column) -> Column:
-        small_before = F.coalesce(F.get(sizes, i - 1) < floor, F.lit(False))
-        free_before = ~F.coalesce(F.get(taken, i - 1), F.lit(False))
-        last_small = (i == count - 1) & (i > 0) & (F.get(sizes, i) < floor)
-        return F.concat(taken, F.array((small_before & free_before) | last_small))
+        # taken[i]: piece i was joined to the piece before it.
+        def step(taken: Column, i: Column) -> Column:
+            small_before = F.coalesce(F.get(sizes, i - 1) < floor, F.lit(False))
+            free_before = ~F.coalesce(F.get(taken, i - 1), F.lit(False))
+            last_small = (i == count - 1) & (i > 0) & (F.get(sizes, i) < floor)
+            return F.concat(taken, F.array((small_before & free_before) | last_small))
 
-    taken = F.aggregate(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                        F.array().cast("array<boolean>"), step)
-    heads = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: ~F.get(taken, i))
-    ends = F.concat(F.slice(heads, 2, F.size(heads)), F.array(count))
-    joined = F.zip_with(heads, ends, lambda h, e: F.struct(
-        F.get(pieces, h)["start"].alias("start"), F.get(pieces, h)["label"].alias("label"),
-        F.flatten(F.transform(F.slice(pieces, h + 1, e - h), lambda p: p["lines"])).alias("lines")))
-    return F.when(count <= 1, pieces).otherwise(joined)
+        return F.aggregate(F.sequence(F.lit(0), count - 1), F.array().cast("array<boolean>"), step)
+
+    def joined(taken: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(taken) - 1), lambda i: ~F.get(taken, i))
+        return let(heads, lambda hs: F.zip_with(hs, shifted_on(hs), lambda h, e: F.struct(
+            F.get(pieces, h)["start"].alias("start"), F.get(pieces, h)["label"].alias("label"),
+            F.flatten(F.transform(F.slice(pieces, h + 1, F.coalesce(e, F.size(taken)) - h),
+                                  lambda p: p["lines"])).alias("lines"))))
+
+    sizes = F.transform(pieces, lambda p: F.size(p["lines"]))
+    return F.when(F.size(pieces) <= 1, pieces).otherwise(let(let(sizes, flags), joined))
 
 
 def add_overlap(pieces: Column, lines: int = fv.OVERLAP_LINES) -> Column:
     """Prepend the last lines of the piece before to every piece but the first."""
-    before = F.slice(F.concat(F.array(F.lit(None)), pieces), 1, F.size(pieces))
-    return F.zip_with(pieces, before, lambda p, b: F.struct(
+    return F.zip_with(pieces, shifted_back(pieces), lambda p, b: F.struct(
         p["start"].alias("start"), p["label"].alias("label"),
         F.when(b.isNull(), p["lines"]).otherwise(F.concat(
             F.slice(b["lines"], F.greatest(F.size(b["lines"]) - lines + 1, F.lit(1)), F.lit(lines)),
@@ -189,8 +203,8 @@ def add_overlap(pieces: Column, lines: int = fv.OVERLAP_LINES) -> Column:
 def running_starts(pieces: Column) -> Column:
     """Start lines recounted from the kept pieces alone, so dropped blanks shift them."""
     sizes = F.transform(pieces, lambda p: F.size(p["lines"]))
-    return F.transform(pieces, lambda p, i: F.aggregate(
-        F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
+    return F.when(F.size(pieces) == 0, F.array().cast("array<int>")).otherwise(F.zip_with(
+        running_sum(sizes), sizes, lambda total, n: total - n))
 
 
 def relabel_at_running_starts(pieces: Column, breaks: Column) -> Column:
@@ -242,15 +256,9 @@ def merge_variables(chunks: Column, lines: Column, gap: int = fv.VARIABLE_MERGE_
     The text of a merged chunk is cut from the file again, lines in the gaps
     included.
     """
-    def joins(i: Column) -> Column:
-        here, before = F.get(chunks, i), F.get(chunks, i - 1)
-        return ((here["type"] == "variable") & (before["type"] == "variable")
-                & (here["start"] - before["end"] - 1 <= gap))
-
-    count = F.size(chunks)
-    heads = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                     lambda i: (i == 0) | ~joins(i))
-    ends = F.concat(F.slice(heads, 2, F.size(heads)), F.array(count))
+    pairs = F.zip_with(chunks, shifted_back(chunks), lambda c, b: F.coalesce(
+        (c["type"] == "variable") & (b["type"] == "variable") & (c["start"] - b["end"] - 1 <= gap), F.lit(False)))
+    heads = F.filter(F.transform(pairs, lambda joined, i: F.when(~joined, i)), lambda i: i.isNotNull())
 
     def island(h: Column, e: Column) -> Column:
         first, last = F.get(chunks, h), F.get(chunks, e - 1)
@@ -259,7 +267,9 @@ def merge_variables(chunks: Column, lines: Column, gap: int = fv.VARIABLE_MERGE_
                         first["type"].alias("type"),
                         F.when(e - h == 1, first["text"]).otherwise(text).alias("text"))
 
-    return F.when(count <= 1, chunks).otherwise(F.zip_with(heads, ends, island))
+    merged = let(heads, lambda hs: F.zip_with(hs, shifted_on(hs), lambda h, e: island(
+        h, F.coalesce(e, F.size(chunks)))))
+    return F.when(F.size(chunks) <= 1, chunks).otherwise(merged)
 
 
 def chunk_rows(files: DataFrame, chunks: str = "chunks", *, timestamp: int | None = None) -> DataFrame:
@@ -279,8 +289,7 @@ def chunk_rows(files: DataFrame, chunks: str = "chunks", *, timestamp: int | Non
 
 def with_metadata(pieces: Column) -> Column:
     """Numbered pieces with 0-based line ranges recounted without blank gaps."""
-    starts = running_starts(pieces)
-    return F.transform(F.arrays_zip(pieces.alias("p"), starts.alias("s")), lambda x, i: F.struct(
+    return F.transform(F.arrays_zip(pieces.alias("p"), running_starts(pieces).alias("s")), lambda x, i: F.struct(
         (i + 1).alias("chunk_number"), join_lines(x["p"]["lines"]).alias("code"),
         x["s"].alias("start_line"), (x["s"] + F.size(x["p"]["lines"]) - 1).alias("end_line")))
 

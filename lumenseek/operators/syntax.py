@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import literal_map
-from lumenseek.operators.arrays import running_sum, shifted_on
+from lumenseek.operators.arrays import running_sum, shifted_back, shifted_on
 
 _MARK = "\x01"  # stands for the start of a comment
 
@@ -174,24 +174,24 @@ def _surrounding(code: Column) -> Column:
     return out.otherwise("")
 
 
-def _nested_points(around: Column, body: Column, language: Column) -> Column:
+def _nested_points(top: Column, language: Column) -> Column:
     """Points among the lines one bracket deep in a top statement."""
-    def is_function(x: Column) -> Column:
-        start = _header(x, F.filter(body, lambda y: y["row"] > x["row"]))
-        out = F.lit(False)
-        for kind, patterns in NESTED_FUNCTIONS.items():
-            out = out | ((around == kind) & start.rlike(_any_of(patterns)))
-        return out
+    around, body = top["around"], top["body"]
 
-    def is_markup(x: Column) -> Column:
+    def label(x: Column) -> Column:
+        function = F.lit(False)
+        for kind, patterns in NESTED_FUNCTIONS.items():
+            function = function | ((around == kind) & x["head"].rlike(_any_of(patterns)))
         last = F.get(F.filter(body, lambda y: (y["row"] >= x["row"]) & (y["after"] <= 1)), F.lit(0))["row"]
         tall = (last - x["row"] + 1 >= fv.JSX_MIN_LINES) | x["code"].rlike(r"^return\s*<[^;]*[^;/]>$|^return\s*<\w+$")
-        return around.isin("body", "deep body") & x["code"].rlike(RETURNED_MARKUP) & tall & (language != "vue")
+        markup = (around.isin("body", "deep body") & (language != "vue") & x["code"].rlike(RETURNED_MARKUP) & tall)
+        return F.when(markup, "JSX").when(function, "Function")
 
     level_one = F.filter(body, lambda x: (x["before"] == 1) & x["code"].rlike(r"^[\w$#*\[\"]"))
-    labelled = F.transform(level_one, lambda x: F.struct(
-        x["row"].alias("line"), F.when(is_markup(x), "JSX").when(is_function(x), "Function").alias("label")))
-    return F.filter(labelled, lambda p: p["label"].isNotNull())
+    headed = F.transform(level_one, lambda x: F.struct(
+        x["row"].alias("row"), x["code"].alias("code"),
+        _header(x, F.filter(body, lambda y: y["row"] > x["row"])).alias("head")))
+    return F.filter(F.transform(headed, lambda x: _point(x["row"], label(x))), lambda p: p["label"].isNotNull())
 
 
 def _option_points(body: Column) -> Column:
@@ -218,19 +218,25 @@ def _option_points(body: Column) -> Column:
 
 
 def _script_points(facts: Column, tops: Column, language: Column, compat: bool) -> Column:
-    """Points of every top statement and of the lines one bracket deep inside it."""
-    def of_top(x: Column, after: Column) -> Column:
-        end = F.coalesce(after["row"], F.size(facts))
-        body = F.slice(facts, x["row"] + 2, end - x["row"] - 1)
-        around = _surrounding(x["code"])
-        own = F.transform(_top_labels(_header(x, body), language), lambda label: _point(x["row"], label))
-        nested = _nested_points(around, body, language)
-        options = F.when((language == "vue") & (around == "options"), _option_points(body)).otherwise(
-            F.array().cast("array<struct<line:int,label:string>>"))
+    """Points of every top statement and of the lines one bracket deep inside it.
+
+    Each transform binds what the next one uses, so no pattern is tried twice.
+    """
+    nothing = F.array().cast("array<struct<line:int,label:string>>")
+    spans = F.zip_with(tops, shifted_on(tops), lambda x, after: F.struct(
+        x.alias("x"), F.slice(facts, x["row"] + 2, F.coalesce(after["row"], F.size(facts)) - x["row"] - 1).alias("body")))
+    stated = F.transform(spans, lambda s: F.struct(
+        s["x"]["row"].alias("row"), _header(s["x"], s["body"]).alias("head"), s["body"].alias("body"),
+        F.when(F.size(s["body"]) > 0, _surrounding(s["x"]["code"])).otherwise("").alias("around")))
+
+    def of_top(top: Column) -> Column:
+        own = F.transform(_top_labels(top["head"], language), lambda label: _point(top["row"], label))
+        nested = F.when(top["around"] != "", _nested_points(top, language)).otherwise(nothing)
+        options = F.when((language == "vue") & (top["around"] == "options"), _option_points(top["body"])).otherwise(nothing)
         # The first point of a line names it; compat lets plain functions shadow the hooks.
         return F.concat(own, nested, options) if compat else F.concat(own, options, nested)
 
-    return F.flatten(F.zip_with(tops, shifted_on(tops), of_top))
+    return F.flatten(F.transform(stated, of_top))
 
 
 def _css_points(tops: Column) -> Column:
@@ -244,7 +250,6 @@ def _css_points(tops: Column) -> Column:
         fresh = before.isNull() | before["code"].rlike("[};]$")
         return _point(x["row"], F.when(fresh & (x["code"] != ""), out))
 
-    from lumenseek.operators.arrays import shifted_back
     coded = F.filter(tops, lambda x: x["code"] != "")
     # A rule's closing line starts one level deep, so an opening line also ends a run.
     pairs = F.zip_with(coded, shifted_back(coded), lambda x, b: F.struct(x.alias("x"), F.when(

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     # Chunk text makes rows wide; a smaller Arrow batch bounds worker memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.python.worker.reuse": "true",
+    # Recording the call site of every Column expression dominates the time it
+    # takes to build the larger plans here.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
