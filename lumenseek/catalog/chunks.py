@@ -10,7 +10,6 @@ from lumenseek.catalog.text import sql_trim
 from lumenseek.operators import cutting as cut
 from lumenseek.operators.syntax import scan_syntax, top_level_kinds
 from lumenseek.plans.chunking import chunk_errors, chunk_files, fallback_chunks
-from lumenseek.session import spread
 
 FIXED_LINES = 10
 SPLIT = (12, 3, 6)
@@ -19,7 +18,7 @@ OVERLAP = 2
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(t.source_files(spark, sf))
+    return t.source_files(spark, sf)
 
 
 def _rows(staged: DataFrame, array: str, key: str = "doc_id") -> DataFrame:
@@ -42,13 +41,13 @@ def line_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(t.table(spark, sf, "documents")).withColumn("lines", cut.split_lines(F.col("text")))
+    docs = t.texts(spark, sf, "documents").withColumn("lines", cut.split_lines(F.col("text")))
     return _rows(docs.withColumn("pieces", cut.fixed_cut(F.col("lines"), FIXED_LINES)), "pieces")
 
 
 def breakpoint_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut at every line that starts with A to M."""
-    docs = spread(t.table(spark, sf, "documents")).withColumn("lines", cut.split_lines(F.col("text")))
+    docs = t.texts(spark, sf, "documents").withColumn("lines", cut.split_lines(F.col("text")))
     marked = F.transform("lines", lambda line, i: F.when(line.rlike("^[A-M]"), F.struct(
         i.alias("line"), F.lit(None).cast("string").alias("label"))))
     docs = docs.withColumn("breaks", F.array_compact(marked))
@@ -108,7 +107,7 @@ def content_type_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def content_type_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Whole pages typed by content as if they were tsx, vue and css."""
-    pages = spread(t.table(spark, sf, "pages")).withColumn("lines", cut.split_lines(F.col("html")))
+    pages = t.texts(spark, sf, "pages").withColumn("lines", cut.split_lines(F.col("html")))
     return pages.select("page_id", *[
         cut.content_type(F.col("lines"), F.lit(ext)).alias(f"as_{ext}") for ext in ("tsx", "ts", "vue", "css")])
 

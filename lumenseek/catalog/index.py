@@ -10,7 +10,7 @@ from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import batching, reports
 from lumenseek.plans.chunking import chunk_files
 from lumenseek.providers.embedding import HashProvider
-from lumenseek.session import shared_folder, spread
+from lumenseek.session import shared_folder
 from lumenseek.sources.chunk_store import ChunkStore, index_stats as stats_of, valid_rows
 from lumenseek.streaming import change_feed as feed
 
@@ -19,7 +19,7 @@ BATCH = 32
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_files(spread(t.source_files(spark, sf)), timestamp=0)
+    return chunk_files(t.source_files(spark, sf), timestamp=0)
 
 
 def type_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,31 +138,30 @@ def upsert_file(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- change feed -------------------------------------------------------------------------------
 
-_EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
-
 def _changes(events: DataFrame) -> DataFrame:
     """Events as changes of one file per user; an error event deletes the file."""
     op: Column = F.when(F.col("event_type") == "error", feed.DELETE).otherwise("write")
     return events.select(
         F.concat(F.lit("/ws/user_"), F.col("user_id").cast("string"), F.lit(".ts")).alias("file_path"), "ts",
-        F.col("event_id").alias("change_id"), op.alias("op"),
-        F.concat(F.lit("export const v"), F.col("event_id").cast("string"), F.lit(" = '"), "event_type",
-                 F.lit("';\n")).alias("text"))
+        F.col("event_id").alias("change_id"), op.alias("op"))
 
 
 def latest_change_per_file(spark: SparkSession, sf: str) -> DataFrame:
     latest = feed.latest_changes(_changes(t.table(spark, sf, "events")))
-    return latest.select("file_path", "change_id", "op", "text")
+    return latest.select("file_path", "change_id", "op")
 
 
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """All events streamed into a store; what is left is the last state of every file."""
     folder = shared_folder(spark, "feed")
     store = ChunkStore(spark, f"{folder}/store", buckets=8)
-    events = spark.readStream.schema(_EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
-    query = feed.start_change_feed(_changes(events), store, HashProvider(t.DIMENSIONS), f"{folder}/checkpoint",
-                                   available_now=True)
+    known = t.table(spark, sf, "events")
+    text = F.concat(F.lit("export const v"), F.col("event_id").cast("string"), F.lit(" = '"), "event_type", F.lit("';\n"))
+    texts = known.select(F.col("event_id").alias("change_id"), text.alias("text"))
+    events = spark.readStream.schema(known.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    query = feed.start_change_feed(
+        _changes(events), store, HashProvider(t.DIMENSIONS), f"{folder}/checkpoint", available_now=True,
+        load_text=lambda batch: batch.join(texts, "change_id"))
     query.awaitTermination()
     return store.read().select("id", "file_path", "start_line", "end_line", "text", "type",
                                F.size("vector").alias("dimensions"))
@@ -218,7 +217,7 @@ ORACLES = {
     "upsert_file": f"""WITH {t.SQL_SEARCH_CHUNKS}, x AS (SELECT *, regexp_matches(file_path, '7\\.[a-z]+$') AS changed FROM chunks)
       SELECT id, file_path, start_line, end_line, CASE WHEN changed THEN '// updated ' || id ELSE text END AS text, type,
         language, vector FROM x WHERE NOT (changed AND language = 'de')""",
-    "latest_change_per_file": f"WITH {_LATEST} SELECT file_path, change_id, op, text FROM latest",
+    "latest_change_per_file": f"WITH {_LATEST} SELECT file_path, change_id, op FROM latest",
     "stream_upsert": f"""WITH {_LATEST} SELECT file_path || ':1-2' AS id, file_path, 1 AS start_line, 2 AS end_line,
       rtrim(text, chr(10)) AS text, 'export' AS type, {t.DIMENSIONS} AS dimensions FROM latest WHERE op = 'write'""",
 }

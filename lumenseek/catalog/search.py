@@ -10,6 +10,7 @@ from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import grouping, ranking
 from lumenseek.operators.embedding import embed
 from lumenseek.providers.preparation import tokenize
+from lumenseek.session import spread
 
 LIMIT = 20
 LOW_THRESHOLD = 0.1
@@ -31,8 +32,6 @@ def vector_topk_default_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with vectors of their whole text from the offline provider."""
     from lumenseek.providers.embedding import HashProvider
-    from lumenseek.session import spread
-
     provider = HashProvider(t.DIMENSIONS)
     prepared = provider.model.prepared(F.col("text"), is_query=False)
     return embed(spread(t.document_chunks(spark, sf)), prepared, provider).drop("tokens_used", "embed_error")
@@ -110,7 +109,7 @@ def display_scores(spark: SparkSession, sf: str) -> DataFrame:
 def rerank_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The four re-rank signals of every chunk."""
     q = tokenize(t.QUERY_TEXT.lower())
-    return t.document_chunks(spark, sf).select(
+    return spread(t.document_chunks(spark, sf)).select(
         "doc_id", scoring.token_match_ratio(q, F.col("text")).alias("ratio"),
         scoring.path_match(q, F.col("file_path")).alias("path"),
         scoring.type_bonus(F.col("type")).alias("bonus"))

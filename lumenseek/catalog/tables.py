@@ -11,6 +11,7 @@ from lumenseek import fixed_values as fv
 from lumenseek.operators.cutting import split_lines
 from lumenseek.providers.embedding import HashProvider
 from lumenseek.providers.models import EmbeddingModel
+from lumenseek.session import spread
 
 DIMENSIONS = 64
 
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts for heavy text work: on every core even if it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query_vector(text: str) -> list[float]:
     """Unit vector of a query text by the offline provider."""
     return HashProvider(DIMENSIONS).embed([text])[0]
@@ -137,7 +143,7 @@ def source_files(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFr
             out = F.when(kind == k, made) if out is None else out.when(kind == k, made)
         return out
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     code = F.array_join(F.transform(split_lines(F.col("text")), unit), "\n")
     path = F.concat(F.lit("/ws/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".ts"))
     return docs.select("doc_id", path.alias("file_path"), F.lit("ts").alias("language"), code.alias(text))

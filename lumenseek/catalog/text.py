@@ -14,25 +14,25 @@ MODEL = embedding_model("ollama", "nomic-embed-text")
 
 def split_identifiers_query(spark: SparkSession, sf: str) -> DataFrame:
     """Query-side preparation of whole pages, with and without the task prefix."""
-    return t.table(spark, sf, "pages").select(
+    return t.texts(spark, sf, "pages").select(
         "page_id", MODEL.prepared(F.col("url"), is_query=True).alias("url_query"),
         MODEL.prepared(F.col("html")).alias("html_plain"))
 
 
 def split_identifiers_index(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "pages").select(
+    return t.texts(spark, sf, "pages").select(
         "page_id", index_prepared(F.col("url")).alias("url_document"),
         tx.split_identifiers(F.col("html"), hyphens=False).alias("html_split"))
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "pages").select(
+    return t.texts(spark, sf, "pages").select(
         "page_id", tx.tokenize(F.col("url")).alias("url_tokens"), tx.tokenize(F.col("html")).alias("html_tokens"))
 
 
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return t.table(spark, sf, "documents").select(
+    return t.texts(spark, sf, "documents").select(
         "doc_id", tx.utf16_length(text).alias("units"), tx.token_estimate(text).alias("estimate"),
         tx.token_estimate_simple(text).alias("simple"))
 
@@ -64,12 +64,12 @@ def type_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_escape(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "pages").select("page_id", tx.html_escape(F.col("html")).alias("escaped"))
+    return t.texts(spark, sf, "pages").select("page_id", tx.html_escape(F.col("html")).alias("escaped"))
 
 
 def previews(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return t.table(spark, sf, "documents").select(
+    return t.texts(spark, sf, "documents").select(
         "doc_id", tx.preview(text).alias("web"), tx.tree_preview(text).alias("tree"))
 
 

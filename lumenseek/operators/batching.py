@@ -4,30 +4,41 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lumenseek.session import ship_package
+
+MAX_SLICES = 4096
+
 
 def global_index(df: DataFrame, key: str, *, slices: int | None = None) -> DataFrame:
     """0-based position of every row in the order of a unique numeric key.
 
     A window over the whole table would sort it in one task. Here the key
-    range is cut at approximate quantiles (a fixed number of bounds, so the
+    range is cut at approximate quantiles (at most ``MAX_SLICES``, so the
     driver's share does not grow with the table), rows are counted per slice
     and numbered inside their slice, and the slice's offset is added. Bounds
     and offsets are literals: a task re-run after an executor loss sees the
     same ones, and any bounds give the same numbers.
     """
-    slices = slices or max(df.sparkSession.sparkContext.defaultParallelism * 4, 16)
+    ship_package(df.sparkSession)
+    slices = slices or min(max(df.sparkSession.sparkContext.defaultParallelism * 4, 16), MAX_SLICES)
     bounds = sorted(set(df.approxQuantile(key, [i / slices for i in range(1, slices)], 0.25 / slices)))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    # Slice = number of bounds below the key.
-    where = F.size(F.filter(cuts, lambda b: b < F.col(key))) if bounds else F.lit(0)
-    sliced = df.withColumn("_slice", where)
+    edges = np.asarray(bounds, dtype=np.float64)
+
+    @F.arrow_udf("int")
+    def slice_of(keys: pa.Array) -> pa.Array:
+        values = keys.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(edges, values, side="left"), pa.int32())
+
+    sliced = df.withColumn("_slice", slice_of(F.col(key)))
     counts = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
     offsets = [0, *accumulate(counts.get(i, 0) for i in range(len(bounds)))]
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_slice") + 1)
+    starts = F.array(*[F.lit(o).cast("long") for o in offsets])
     inside = F.row_number().over(W.partitionBy("_slice").orderBy(key)) - 1
-    return sliced.withColumn("position", offset + inside).drop("_slice")
+    return sliced.withColumn("position", F.element_at(starts, F.col("_slice") + 1) + inside).drop("_slice")
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int = 32) -> DataFrame:

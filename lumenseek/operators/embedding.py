@@ -44,7 +44,9 @@ def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: i
         finally:
             provider.dispose()
 
-    done = df.withColumn("_embedded", run(prepared))
+    # Nondeterministic, so that no filter on the result is pushed below the call
+    # and makes it a second time.
+    done = df.withColumn("_embedded", run.asNondeterministic()(prepared))
     return done.select(
         *df.columns, F.col("_embedded.vector").alias("vector"),
         F.col("_embedded.tokens_used").alias("tokens_used"),

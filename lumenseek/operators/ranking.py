@@ -27,8 +27,8 @@ def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
 
 def nearest(chunks: DataFrame, query: Sequence[float], count: int) -> DataFrame:
     """The ``count`` nearest rows with d2 and rank; ties go to the smaller id."""
-    scored = chunks.withColumn("d2", vec.squared_l2(F.col("vector"), query)).drop("vector")
-    scored = scored.where(F.col("d2").isNotNull())
+    scored = chunks.where(vec.has_vector(F.col("vector"))).withColumn(
+        "d2", vec.squared_l2(F.col("vector"), query)).drop("vector")
     return _ranked(scored.orderBy("d2", "id").limit(count), "vector_rank", "d2", "id")
 
 
@@ -40,7 +40,8 @@ def keyword_matches(chunks: DataFrame, keyword: str, count: int, *, order: str =
     keyword's ``%`` and ``_`` act as LIKE wildcards.
     """
     text = F.col("text")
-    hit = text.like(f"%{keyword}%") if wildcards else F.contains(text, F.lit(keyword))
+    pattern = keyword.replace("\\", "\\\\")
+    hit = text.like(f"%{pattern}%") if wildcards else F.contains(text, F.lit(keyword))
     found = chunks.where(hit).orderBy(order).limit(count)
     return _ranked(found, "keyword_rank", order)
 
@@ -68,6 +69,22 @@ def vector_search(chunks: DataFrame, query: Sequence[float], limit: int = 20,
     return with_display(top.withColumnRenamed("vector_rank", "rank"))
 
 
+def attach_rows(hits: list, rows: DataFrame, min_similarity: float) -> DataFrame:
+    """Search results from a collected top list (id, d2, vector_rank) and the full rows.
+
+    The list has at most ``limit`` entries, which bounds what is broadcast. A
+    repeated id shows up once per stored row, at consecutive ranks.
+    """
+    spark = rows.sparkSession
+    schema = "id string, d2 double, vector_rank int"
+    unique = {h["id"]: (h["id"], h["d2"], h["vector_rank"]) for h in reversed(hits)}
+    top = spark.createDataFrame(list(unique.values()), schema)
+    joined = rows.drop("vector").join(F.broadcast(top), "id")
+    order = [F.asc("vector_rank"), F.asc("id"), F.asc("chunk_index_in_file")]
+    ranked = _ranked(joined.orderBy(*order).limit(len(hits)), "rank", *order).drop("vector_rank")
+    return with_display(with_similarity(ranked).where(F.col("similarity") >= min_similarity))
+
+
 def fuse_ranks(vector_list: DataFrame, keyword_list: DataFrame, k: int = fv.RRF_K) -> DataFrame:
     """Reciprocal rank fusion: a full outer join of two bounded lists on id.
 

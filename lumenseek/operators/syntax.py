@@ -75,7 +75,7 @@ CSS_LABELS = [(r"(?i)^@media", "Media Query"), (r"(?i)^@[\w-]*keyframes", "Keyfr
 # Start of a top statement -> what one bracket deep inside it is.
 SURROUNDINGS = [
     (r"^export\s+(?:default\s+)?(?:async\s+)?function\b|^namespace\b", "deep body"),
-    (r"^(?:async\s+)?function\b|^(?:if|for|while|try|do|with|module)\b|^\{", "body"),
+    (r"^(?:async\s+)?function\b|^(?:if|for|while|try|do|with)\b|^module\s+[\w\"]|^\{", "body"),
     (r"^export\s+(?:default\s+)?(?:abstract\s+)?class\b", "deep class"),
     (r"^(?:abstract\s+)?class\b", "class"),
     (r"^export\s+default\s*\{", "options"),

@@ -106,7 +106,10 @@ class CodeSearch:
 
     # -- search ------------------------------------------------------------------------------------
     def search_frame(self, params: SearchParams) -> DataFrame:
-        """The whole search as one lazy plan. Raises on a blank query."""
+        """The search as a DataFrame. Raises on a blank query.
+
+        Vector mode first collects the ``limit`` nearest ids; the rest is lazy.
+        """
         query = trim(params.query or "")
         if not query:
             raise ValueError("Search query cannot be empty")
@@ -121,7 +124,10 @@ class CodeSearch:
             # The keyword side takes the words as typed, not as expanded.
             found = ranking.hybrid_search(chunks, vector, query, limit, floor)
         else:
-            found = ranking.vector_search(chunks, vector, limit, floor)
+            # Rank on id and vector alone, then read the texts of the few hits.
+            narrow = chunks.select("id", "file_path", "vector")
+            hits = ranking.nearest(narrow, vector, limit).collect()
+            found = ranking.attach_rows(hits, self.store.rows_of(hits), floor)
         found = ranking.filter_types(found, params.chunk_types)
         found = ranking.filter_extensions(found, params.extensions)
         return ranking.rerank(found, params.query)

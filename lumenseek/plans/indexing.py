@@ -99,6 +99,9 @@ def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provid
         store.insert(found)
     else:
         store.replace_all(found)
+    # The staged vectors are in the index now.
+    target = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     tell("complete", "Indexing complete")
     return finished(True, errors, total_files=total_files, total_chunks=counts.chunks,
                     successful_chunks=counts.successful_chunks, failed_chunks=counts.failed_chunks)

@@ -52,7 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work at least one partition per core.
 
     A big table already arrives in many splits and is returned unchanged, so
-    no shuffle is added at scale; a single small file is spread out.
+    no shuffle is added at scale; a single small file is spread out. Meant for
+    scans: asking a plan with shuffles for its partitions would run them.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism

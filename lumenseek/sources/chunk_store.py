@@ -91,6 +91,20 @@ class ChunkStore:
         here = self.bucket_of(F.lit(file_path))
         return self._read().where((F.col(BUCKET) == here) & (F.col("file_path") == file_path)).drop(BUCKET)
 
+    def rows_of(self, hits: list) -> DataFrame:
+        """Full rows of a few known hits with ``id`` and ``file_path``.
+
+        The ids are literals, so whole buckets and row groups are skipped
+        instead of reading the texts of the table to keep a handful.
+        """
+        paths = sorted({h["file_path"] for h in hits})
+        where = self.spark.createDataFrame([(p,) for p in paths], "file_path string").select(
+            self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct()
+        buckets = [r[0] for r in where.collect()]
+        ids = [h["id"] for h in hits]
+        return self._read().where(
+            F.col(BUCKET).isin(buckets) & F.col("file_path").isin(paths) & F.col("id").isin(ids)).drop(BUCKET)
+
     def is_ready(self) -> bool:
         return self.exists() and not self.read().isEmpty()
 

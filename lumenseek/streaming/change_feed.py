@@ -26,7 +26,8 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     sort all its rows in one task. On a stream the maximum is kept as state:
     a late, older change cannot win.
     """
-    last = F.max(F.struct("ts", "change_id", "op", "text")).alias("last")
+    rest = [c for c in changes.columns if c not in ("file_path", "ts", "change_id")]
+    last = F.max(F.struct("ts", "change_id", *rest)).alias("last")
     return changes.groupBy("file_path").agg(last).select("file_path", "last.*")
 
 
@@ -52,8 +53,14 @@ def apply_changes(batch: DataFrame, store: ChunkStore, provider: EmbeddingProvid
 
 def start_change_feed(changes: DataFrame, store: ChunkStore, provider: EmbeddingProvider, checkpoint: str, *,
                       available_now: bool = False, debounce: str = "1 second",
+                      load_text: Callable[[DataFrame], DataFrame] | None = None,
                       on_batch: Callable[[int], None] | None = None, **options) -> StreamingQuery:
-    """Keep the store in step with a stream of (file_path, ts, change_id, op, text).
+    """Keep the store in step with a stream of (file_path, ts, change_id, op).
+
+    The stream's state holds one such row per path. ``load_text`` turns a
+    batch of changes into (file_path, text) of the files to index; a feed that
+    carries a ``text`` column itself needs none, but then keeps all texts as
+    state, which only suits small code bases.
 
     The trigger interval is the debounce: changes of one interval are applied
     together and only the last one per path counts.
@@ -62,7 +69,17 @@ def start_change_feed(changes: DataFrame, store: ChunkStore, provider: Embedding
         # The batch is used twice; persisting keeps the stream's state from being read again.
         batch.persist()
         try:
-            apply_changes(batch, store, provider, **options)
+            if load_text:
+                gone = batch.where(F.col("op") == DELETE).withColumn("text", F.lit(None).cast("string"))
+                texts = load_text(batch.where(F.col("op") != DELETE)).select(
+                    "file_path", F.lit("write").alias("op"), "text")
+                # A path whose text cannot be found any more is treated as deleted.
+                missing = batch.where(F.col("op") != DELETE).join(texts, "file_path", "left_anti").select(
+                    "file_path", F.lit(DELETE).alias("op"), F.lit(None).cast("string").alias("text"))
+                full = texts.unionByName(gone.select("file_path", "op", "text")).unionByName(missing)
+            else:
+                full = batch
+            apply_changes(full, store, provider, **options)
         finally:
             batch.unpersist()
         if on_batch:
