@@ -78,7 +78,7 @@ def processing_seconds(chunks: Column, batch_size: int) -> Column:
 
 
 def success_rate_text(ok: Column, total: Column) -> Column:
-    return fixed_decimals(ok / total * 100, 1)
+    return fixed_decimals(F.try_divide(ok, total) * 100, 1)
 
 
 def plural(count: Column, noun: str) -> Column:

@@ -24,7 +24,7 @@ def chunk_averages(files: DataFrame, chunks: DataFrame) -> DataFrame:
     # Two one-row aggregates side by side.
     both = n_files.unionByName(n_chunks, allowMissingColumns=True).agg(
         F.max("files").alias("files"), F.max("chunks").alias("chunks"))
-    return both.withColumn("average", fixed_decimals(F.col("chunks") / F.col("files"), 1))
+    return both.withColumn("average", fixed_decimals(F.try_divide(F.col("chunks"), F.col("files")), 1))
 
 
 def index_report(embedded: DataFrame) -> DataFrame:
@@ -50,5 +50,5 @@ def write_chunk_dump(chunks: DataFrame, path: str) -> None:
         F.max("total_chunks").alias("total_chunks"), F.first("chunks_by_type", ignorenulls=True).alias("chunks_by_type"),
         F.max("files").alias("files_processed"))
     merged.withColumn("average_chunks_per_file", fixed_decimals(
-        F.col("total_chunks") / F.col("files_processed"), 1)).withColumn(
+        F.try_divide(F.col("total_chunks"), F.col("files_processed")), 1)).withColumn(
             "timestamp", F.current_timestamp()).write.mode("overwrite").json(f"{path}/metadata")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -149,7 +150,7 @@ class ChunkStore:
         numbers come to the driver; paths and chunks stay distributed.
         """
         self.recover()
-        paths = paths.select("file_path").distinct()
+        paths = paths.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n")).select("file_path")
         touched = [r[0] for r in paths.select(self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct().collect()]
         if not touched:
             return
@@ -193,10 +194,20 @@ class ChunkStore:
         self._laid_out(chunks).write.partitionBy(BUCKET).mode("overwrite").parquet(self.table)
 
     def clear(self) -> None:
-        for name in ("chunks", "_staged", "metadata.json"):
+        for name in ("chunks", "_staged", "_work", "metadata.json"):
             if self._exists(f"{self.path}/{name}"):
                 self._delete(f"{self.path}/{name}")
 
+    @contextmanager
+    def staged(self, df: DataFrame, name: str):
+        """``df`` as a table written below the store, gone when the block ends."""
+        folder = f"{self.path}/_work/{name}"
+        df.write.mode("overwrite").parquet(folder)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(folder)
+        finally:
+            self._delete(folder)
+
     # -- metadata ------------------------------------------------------------------------------
     def _read_json(self, path: str) -> dict:
         return json.loads("".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))

@@ -21,7 +21,8 @@ def list_files(spark: SparkSession, root: str, settings: Settings = Settings())
     """Files below ``root`` by extension, without dot-files and excluded folders.
 
     ``content`` is only read by plans that use it; the listing itself and any
-    filter on ``size`` never open a file.
+    filter on ``size`` never open a file. Spark's file sources leave out
+    zero-byte files, so those are skipped here without being counted.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", include_glob(settings.supported_languages)).load(root))

@@ -51,6 +51,13 @@ def apply_changes(batch: DataFrame, store: ChunkStore, provider: EmbeddingProvid
     store.upsert(batch.select("file_path"), rows)
 
 
+def _with_texts(batch: DataFrame, load_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The batch with texts; a path whose text cannot be found any more is deleted."""
+    texts = load_text(batch.where(F.col("op") != DELETE)).select("file_path", "text")
+    full = batch.select("file_path", "op").join(texts, "file_path", "left")
+    return full.withColumn("op", F.when(F.col("text").isNull(), DELETE).otherwise(F.col("op")))
+
+
 def start_change_feed(changes: DataFrame, store: ChunkStore, provider: EmbeddingProvider, checkpoint: str, *,
                       available_now: bool = False, debounce: str = "1 second",
                       load_text: Callable[[DataFrame], DataFrame] | None = None,
@@ -66,22 +73,10 @@ def start_change_feed(changes: DataFrame, store: ChunkStore, provider: Embedding
     together and only the last one per path counts.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The batch is used twice; persisting keeps the stream's state from being read again.
-        batch.persist()
-        try:
-            if load_text:
-                gone = batch.where(F.col("op") == DELETE).withColumn("text", F.lit(None).cast("string"))
-                texts = load_text(batch.where(F.col("op") != DELETE)).select(
-                    "file_path", F.lit("write").alias("op"), "text")
-                # A path whose text cannot be found any more is treated as deleted.
-                missing = batch.where(F.col("op") != DELETE).join(texts, "file_path", "left_anti").select(
-                    "file_path", F.lit(DELETE).alias("op"), F.lit(None).cast("string").alias("text"))
-                full = texts.unionByName(gone.select("file_path", "op", "text")).unionByName(missing)
-            else:
-                full = batch
-            apply_changes(full, store, provider, **options)
-        finally:
-            batch.unpersist()
+        # Used several times below: written once, so that neither the stream's
+        # state is read again nor a lost executor makes it so.
+        with store.staged(batch, f"feed-{batch_id}") as changed:
+            apply_changes(_with_texts(changed, load_text) if load_text else changed, store, provider, **options)
         if on_batch:
             on_batch(batch_id)
 
