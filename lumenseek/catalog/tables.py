@@ -27,8 +27,18 @@ QUERY_TEXTS = {
 KEYWORD = "the"
 
 
+#: Declared, so that opening a table starts no job to look at file footers.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,19 +142,21 @@ def _parts(template: str) -> list[tuple[str, str]]:
 
 def source_files(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     """Every document as a .ts file, built line by line from its text."""
-    def unit(line: Column, i: Column) -> Column:
-        body = F.regexp_replace(line, "[^A-Za-z ]", "")
+    def facts(line: Column, i: Column) -> Column:
         kind = F.when(line == "", BLANK_KIND).otherwise((F.length(line) * 7 + i * 3) % BLANK_KIND)
+        return F.struct(kind.alias("kind"), i.cast("string").alias("i"),
+                        F.regexp_replace(line, "[^A-Za-z ]", "").alias("b"))
+
+    def unit(x: Column) -> Column:
         out = None
         for k, template in enumerate(CODE_TEMPLATES):
-            parts = [F.lit(v) if t == "text" else i.cast("string") if t == "i" else body
-                     for t, v in _parts(template)]
+            parts = [F.lit(v) if kind == "text" else x[kind] for kind, v in _parts(template)]
             made = F.concat(*parts) if parts else F.lit("")
-            out = F.when(kind == k, made) if out is None else out.when(kind == k, made)
+            out = F.when(x["kind"] == k, made) if out is None else out.when(x["kind"] == k, made)
         return out
 
     docs = spread(table(spark, sf_dir, "documents"))
-    code = F.array_join(F.transform(split_lines(F.col("text")), unit), "\n")
+    code = F.array_join(F.transform(F.transform(split_lines(F.col("text")), facts), unit), "\n")
     path = F.concat(F.lit("/ws/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".ts"))
     return docs.select("doc_id", path.alias("file_path"), F.lit("ts").alias("language"), code.alias(text))
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import literal_map
 from lumenseek.operators.arrays import running_sum, shifted_back, shifted_on
+from lumenseek.session import apply_steps, cached_steps
 
 _MARK = "\x01"  # stands for the start of a comment
 
@@ -264,40 +265,41 @@ def _component_points(lines: Column) -> Column:
     return F.filter(rows, lambda p: p["label"].isNotNull())
 
 
-def scan_syntax(files: DataFrame, *, compat: bool = False) -> DataFrame:
-    """Adds ``lines``, ``points`` and ``comments`` to files with ``text`` and ``language``.
-
-    ``points`` is an array of (line, seq, label) in visit order, ``comments``
-    the lines on which a comment starts; lines are 0-based. ``compat=True``
-    keeps two quirks for Vue components: script points one line early and
-    hooks named as plain functions.
-    """
+@cached_steps
+def _scan_steps(compat: bool):
     language = F.col("language")
     is_vue = language == "vue"
-    staged = files.withColumn("lines", F.split("text", "\n", -1))
-    code = F.when(is_vue, F.array_join(_only_script(F.col("lines")), "\n")).otherwise(F.col("text"))
-    staged = staged.withColumn("_code", code)
-    staged = staged.withColumn("_blank", F.split(blanked(F.col("_code"), language), "\n", -1))
-    after = running_sum(F.transform("_blank", _balance))
-    staged = staged.withColumn("_after", after)
-    staged = staged.withColumn("_facts", _line_facts(F.col("_blank"), F.col("_after")))
-    tops = F.filter("_facts", lambda x: (x["before"] <= 0) & ((x["code"] != "") | (x["after"] > 0)))
-    staged = staged.withColumn("_tops", tops)
+    steps = [("lines", F.split("text", "\n", -1))]
+    steps.append(("_code", F.when(is_vue, F.array_join(_only_script(F.col("lines")), "\n")).otherwise(F.col("text"))))
+    steps.append(("_blank", F.split(blanked(F.col("_code"), language), "\n", -1)))
+    steps.append(("_after", running_sum(F.transform("_blank", _balance))))
+    steps.append(("_facts", _line_facts(F.col("_blank"), F.col("_after"))))
+    steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & ((x["code"] != "") | (x["after"] > 0)))))
     script = _script_points(F.col("_facts"), F.col("_tops"), language, compat)
     if compat:
         script = F.transform(script, lambda p: _point(p["line"] - F.when(is_vue, 1).otherwise(0), p["label"]))
-    found = F.when(language == "css", _css_points(F.col("_tops"))).when(
-        is_vue, F.concat(script, _component_points(F.col("lines")))).otherwise(script)
-    staged = staged.withColumn("_found", found)
-    points = F.transform("_found", lambda p, i: F.struct(
-        p["line"].alias("line"), i.alias("seq"), p["label"].alias("label")))
+    steps.append(("_found", F.when(language == "css", _css_points(F.col("_tops"))).when(
+        is_vue, F.concat(script, _component_points(F.col("lines")))).otherwise(script)))
+    steps.append(("points", F.transform("_found", lambda p, i: F.struct(
+        p["line"].alias("line"), i.alias("seq"), p["label"].alias("label")))))
     # Decorators belong to what they stand above, just as comments do.
     rows = F.transform("_blank", lambda line, i: F.when(
         F.contains(line, F.lit(_MARK)) | line.rlike(r"^\s*@[\w$.]+(\(.*\))?\s*$"), i))
     markup = F.transform("lines", lambda line, i: F.when(F.contains(line, F.lit("<!--")), i))
-    comments = F.array_compact(F.when(is_vue, markup).otherwise(rows))
-    keep = [c for c in files.columns if c != "lines"]
-    return staged.select(*keep, "lines", points.alias("points"), comments.alias("comments"))
+    steps.append(("comments", F.array_compact(F.when(is_vue, markup).otherwise(rows))))
+    return steps
+
+
+def scan_syntax(files: DataFrame, *, compat: bool = False) -> DataFrame:
+    """Adds ``lines``, ``points`` and ``comments`` to files with ``text`` and ``language``.
+
+    ``points`` is an array of (line, seq, label) in visit order, ``comments``
+    the lines on which a comment starts; lines are 0-based. ``compat=True``
+    keeps two quirks for Vue components: script points one line early and
+    hooks named as plain functions.
+    """
+    staged = apply_steps(files, _scan_steps(compat))
+    return staged.drop("_code", "_blank", "_after", "_facts", "_tops", "_found")
 
 
 def top_level_kinds(scanned: DataFrame) -> DataFrame:

@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
-from lumenseek.functions.text import is_blank
 from lumenseek.operators import cutting as cut
 from lumenseek.operators.syntax import scan_syntax
+from lumenseek.session import apply_steps, cached_steps
+
+
+@cached_steps
+def _cut_steps(compat: bool, max_lines: int, merge_small: bool, overlap: bool):
+    pieces = F.col("pieces")
+    steps = [
+        ("grouped", cut.first_per_line(cut.group_imports(F.col("points")))),
+        ("breaks", cut.lift_over_comments(F.col("grouped"), F.col("comments"))),
+        ("pieces", cut.cut(F.col("lines"), F.col("breaks"))),
+        ("pieces", cut.split_large(pieces, max_lines)),
+    ]
+    if merge_small:
+        steps.append(("pieces", cut.merge_small(pieces)))
+    if overlap:
+        steps.append(("pieces", cut.add_overlap(pieces)))
+    if compat:
+        steps.append(("pieces", cut.relabel_at_running_starts(pieces, F.col("breaks"))))
+    steps.append(("typed", cut.typed_chunks(pieces, F.col("language"))))
+    steps.append(("chunks", cut.merge_variables(F.col("typed"), F.col("lines"))))
+    return steps
 
 
 def chunk_files(files: DataFrame, *, compat: bool = False, max_lines: int = fv.MAX_CHUNK_LINES,
@@ -19,20 +39,10 @@ def chunk_files(files: DataFrame, *, compat: bool = False, max_lines: int = fv.M
     dropped blank region; ``merge_small`` and ``overlap`` are the two steps
     that are off by default.
     """
-    code = files.where(F.col("language").isin(*fv.CHUNKABLE_EXTENSIONS) & ~is_blank(F.col("text")))
-    staged = scan_syntax(code.select("file_path", "language", "text"), compat=compat)
-    staged = staged.withColumn("grouped", cut.first_per_line(cut.group_imports(F.col("points"))))
-    staged = staged.withColumn("breaks", cut.lift_over_comments(F.col("grouped"), F.col("comments")))
-    staged = staged.withColumn("pieces", cut.cut(F.col("lines"), F.col("breaks")))
-    staged = staged.withColumn("pieces", cut.split_large(F.col("pieces"), max_lines))
-    if merge_small:
-        staged = staged.withColumn("pieces", cut.merge_small(F.col("pieces")))
-    if overlap:
-        staged = staged.withColumn("pieces", cut.add_overlap(F.col("pieces")))
-    if compat:
-        staged = staged.withColumn("pieces", cut.relabel_at_running_starts(F.col("pieces"), F.col("breaks")))
-    staged = staged.withColumn("typed", cut.typed_chunks(F.col("pieces"), F.col("language")))
-    staged = staged.withColumn("chunks", cut.merge_variables(F.col("typed"), F.col("lines")))
+    # Blank files need no filter of their own: their only piece is blank.
+    code = files.where(F.col("language").isin(*fv.CHUNKABLE_EXTENSIONS))
+    scanned = scan_syntax(code.select("file_path", "language", "text"), compat=compat)
+    staged = apply_steps(scanned, _cut_steps(compat, max_lines, merge_small, overlap))
     return cut.chunk_rows(staged, timestamp=timestamp)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 from abc import ABC, abstractmethod
+from collections import Counter
 from functools import lru_cache
 
 from lumenseek import fixed_values as fv
@@ -70,10 +71,10 @@ class HashProvider(EmbeddingProvider):
         out = []
         for text in texts:
             sums = [0.0] * self.dimensions
-            for token in text.lower().split(" "):
+            for token, count in Counter(text.lower().split(" ")).items():
                 if token:
                     bucket, sign = _slot(token)
-                    sums[bucket % self.dimensions] += sign
+                    sums[bucket % self.dimensions] += sign * count
             out.append(normalize(sums))
         return out
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Confs that matter on a cluster and are harmless on a laptop.
@@ -77,3 +79,31 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(archive)
     context._lumenseek_shipped = True
+
+
+def cached_steps(build):
+    """Remember the Columns a builder makes, per driver JVM and arguments.
+
+    Columns only name their inputs, so one set serves every DataFrame with
+    those columns. Building the larger ones takes about a second of driver
+    time, which a stream would otherwise spend on every batch.
+    """
+    known: dict = {}
+
+    @functools.wraps(build)
+    def lookup(*args):
+        gateway = SparkContext._gateway
+        if known.get("gateway") is not gateway:
+            known.clear()
+            known["gateway"] = gateway
+        if args not in known:
+            known[args] = build(*args)
+        return known[args]
+
+    return lookup
+
+
+def apply_steps(df: DataFrame, steps) -> DataFrame:
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    return df
