@@ -124,6 +124,15 @@ SCAN_EXTENSIONS = [
     "ts", "tsx", "js", "jsx", "py", "java", "go", "rust", "vue", "c", "cpp",
     "cs", "rb", "php",
 ]
+SAMPLE_FILES = 100
+SAMPLE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "py", "vue"]
+SAMPLE_EXCLUDE_GLOBS = [
+    "**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/.git/**", "**/coverage/**", "**/.next/**",
+    "**/.nuxt/**", "**/.cache/**", "**/vendor/**", "**/venv/**", "**/.venv/**", "**/env/**", "**/.vscode/**",
+    "**/.idea/**", "**/.vs/**", "**/*.min.js", "**/*.bundle.js", "**/webpack.config.*", "**/vite.config.*",
+    "**/rollup.config.*", "**/next.config.*", "**/tailwind.config.*", "**/*config.js", "**/*config.ts",
+    "**/package.json", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/tsconfig.json",
+]
 CHUNKABLE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "css", "vue"]
 GRAMMARS = {
     "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript",

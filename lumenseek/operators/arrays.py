@@ -4,32 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Running sums go block by block, so that appending stays cheap on long arrays.
-BLOCK = 64
+#: Running sums go block by block; 16 measured best on files of usual length.
+BLOCK = 16
 
 
-def _appended_sums(values: Column, start: Column) -> Column:
-    """Running sums of a short array, each including its own element."""
+def _appended_sums(values: Column) -> Column:
+    """Running sums by appending, for the short array of block totals."""
     def step(sums: Column, value: Column) -> Column:
-        return F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), start) + value))
+        return F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + value))
 
     return F.aggregate(values, F.array().cast("array<int>"), step)
 
 
+def _short_sums(block: Column) -> Column:
+    return F.transform(block, lambda _, i: F.aggregate(
+        F.slice(block, F.lit(1), i + 1), F.lit(0), lambda total, v: total + v))
+
+
 def running_sum(values: Column) -> Column:
     """Inclusive running sums of an int array.
 
-    Sums are appended inside blocks of 64 and the blocks shifted by the sums
-    of the blocks before them; appending over the whole array would copy it
-    once per element.
+    Sums are formed inside short blocks and shifted by the sum of the blocks
+    before; appending over the whole array would copy it once per element.
     """
-    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                         lambda b: _appended_sums(F.slice(values, b * BLOCK + 1, BLOCK), F.lit(0)))
-    totals = F.transform(blocks, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))
-    ends = _appended_sums(totals, F.lit(0))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), totals.alias("t"), ends.alias("e")), lambda z: F.transform(
-        z["b"], lambda s: s + z["e"] - z["t"])))
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: let(
+        F.slice(values, k * BLOCK + 1, BLOCK), _short_sums))
+
+    def shifted(sums: Column) -> Column:
+        totals = F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)))
+        return let(_appended_sums(totals), lambda ends: F.flatten(F.zip_with(sums, shifted_back(ends), lambda s, before: (
+            F.transform(s, lambda v: v + F.coalesce(before, F.lit(0)))))))
+
+    return let(blocks, shifted)
 
 
 def shifted_back(values: Column) -> Column:

@@ -38,6 +38,11 @@ def index_report(embedded: DataFrame) -> DataFrame:
         F.col("successful_chunks"), F.col("chunks")))
 
 
+def token_usage(embedded: DataFrame) -> DataFrame:
+    """Tokens a hosted service charged for an embedding run."""
+    return embedded.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens_used"))
+
+
 def write_chunk_dump(chunks: DataFrame, path: str) -> None:
     """The chunks as JSON lines, one file per task, beside a one-row summary."""
     chunks.drop("vector").write.mode("overwrite").json(f"{path}/chunks")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenseek import fixed_values as fv
 from lumenseek.config import Settings
 from lumenseek.functions import paths as p
 from lumenseek.functions.text import is_blank
@@ -34,6 +35,18 @@ def list_files(spark: SparkSession, root: str, settings: Settings = Settings())
     return files.select(plain.alias("file_path"), F.col("length").alias("size"), "content").where(kept)
 
 
+def sample_files(files: DataFrame, root: str = "") -> DataFrame:
+    """The first 100 files worth a look when trying out the chunker.
+
+    Only those leave the listing, which is the point of a sample; the index
+    build never uses it.
+    """
+    path = F.col("file_path")
+    below = p.relative_path(path, root.rstrip("/")) if root else path
+    wanted = p.is_supported(path, fv.SAMPLE_EXTENSIONS) & ~p.is_excluded(below, fv.SAMPLE_EXCLUDE_GLOBS, strict=True)
+    return files.where(wanted).orderBy("file_path").limit(fv.SAMPLE_FILES)
+
+
 def files_from_table(df: DataFrame, path: str, text: str) -> DataFrame:
     """A table of paths and texts seen as files.
 
