@@ -69,20 +69,23 @@ def vector_search(chunks: DataFrame, query: Sequence[float], limit: int = 20,
     return with_display(top.withColumnRenamed("vector_rank", "rank"))
 
 
-def attach_rows(hits: list, rows: DataFrame, min_similarity: float) -> DataFrame:
-    """Search results from a collected top list (id, d2, vector_rank) and the full rows.
+def attach_rows(hits: list, schema: T.StructType, rows: DataFrame, *, repeats: bool) -> DataFrame:
+    """Full rows of a collected result list with ``id`` and ``rank``.
 
-    The list has at most ``limit`` entries, which bounds what is broadcast. A
-    repeated id shows up once per stored row, at consecutive ranks.
+    The list has at most ``limit`` entries, which bounds what is broadcast.
+    Where an index holds an id more than once, ``repeats`` decides whether
+    every stored row shows up, at consecutive ranks, or one of them.
     """
-    spark = rows.sparkSession
-    schema = "id string, d2 double, vector_rank int"
-    unique = {h["id"]: (h["id"], h["d2"], h["vector_rank"]) for h in reversed(hits)}
-    top = spark.createDataFrame(list(unique.values()), schema)
+    first: dict = {}
+    for hit in sorted(hits, key=lambda h: h["rank"]):
+        first.setdefault(hit["id"], hit)
+    top = rows.sparkSession.createDataFrame(list(first.values()), schema).drop("file_path")
     joined = rows.drop("vector").join(F.broadcast(top), "id")
-    order = [F.asc("vector_rank"), F.asc("id"), F.asc("chunk_index_in_file")]
-    ranked = _ranked(joined.orderBy(*order).limit(len(hits)), "rank", *order).drop("vector_rank")
-    return with_display(with_similarity(ranked).where(F.col("similarity") >= min_similarity))
+    if not repeats:
+        return joined.dropDuplicates(["id"])
+    order = [F.asc("_rank"), F.asc("id"), F.asc("chunk_index_in_file")]
+    joined = joined.withColumnRenamed("rank", "_rank").orderBy(*order).limit(len(hits))
+    return _ranked(joined, "rank", *order).drop("_rank")
 
 
 def fuse_ranks(vector_list: DataFrame, keyword_list: DataFrame, k: int = fv.RRF_K) -> DataFrame:
@@ -114,17 +117,24 @@ def fuse_ranks(vector_list: DataFrame, keyword_list: DataFrame, k: int = fv.RRF_
 
 
 def hybrid_search(chunks: DataFrame, query: Sequence[float], keyword: str, limit: int = 20,
-                  min_similarity: float = 0.5, *, order: str = "id") -> DataFrame:
+                  min_similarity: float = 0.5, *, order: str = "id",
+                  carry: Sequence[str] | None = None) -> DataFrame:
     """Vector and keyword lists, fused, thresholded and cut, with ``rank``.
 
+    ``carry`` names the columns to keep beside the ranks (all by default).
+    Without the text among them, the vector side does not read texts.
+
     A keyword holding a quote could not be matched by the tool being
     replaced, which then ran the vector search alone; so does this.
     """
+    carry = [c for c in carry or chunks.columns if c not in ("id", "vector")]
+    by_vector = chunks.select("id", *carry, "vector")
     if "'" in keyword:
-        return vector_search(chunks, query, limit, min_similarity)
+        return vector_search(by_vector, query, limit, min_similarity)
     count = limit * fv.OVER_FETCH
-    fused = fuse_ranks(nearest(chunks, query, count),
-                       keyword_matches(chunks, keyword, count, order=order))
+    by_word = chunks.select(*dict.fromkeys(["id", *carry, "text", order]))
+    words = keyword_matches(by_word, keyword, count, order=order).select("id", *carry, "keyword_rank")
+    fused = fuse_ranks(nearest(by_vector, query, count), words)
     kept = with_similarity(fused).where(F.col("similarity") >= min_similarity)
     by = [F.desc("rrf"), F.asc_nulls_last("vector_rank_first"), F.asc("keyword_rank_first")]
     ranked = _ranked(kept.orderBy(*by).limit(limit), "rank", *by)

@@ -108,7 +108,7 @@ class CodeSearch:
     def search_frame(self, params: SearchParams) -> DataFrame:
         """The search as a DataFrame. Raises on a blank query.
 
-        Vector mode first collects the ``limit`` nearest ids; the rest is lazy.
+        The ids of at most ``limit`` hits are collected first; the rest is lazy.
         """
         query = trim(params.query or "")
         if not query:
@@ -120,14 +120,14 @@ class CodeSearch:
         vector = self.provider.embed([self.provider.model.prepare(text, is_query=True)])[0]
         self.store.check_dimension(len(vector))
         chunks = self.store.read()
+        # Rank on narrow columns first, then read the texts of the few hits.
         if hybrid:
             # The keyword side takes the words as typed, not as expanded.
-            found = ranking.hybrid_search(chunks, vector, query, limit, floor)
+            top = ranking.hybrid_search(chunks, vector, query, limit, floor, carry=["file_path"])
         else:
-            # Rank on id and vector alone, then read the texts of the few hits.
-            narrow = chunks.select("id", "file_path", "vector")
-            hits = ranking.nearest(narrow, vector, limit).collect()
-            found = ranking.attach_rows(hits, self.store.rows_of(hits), floor)
+            top = ranking.vector_search(chunks.select("id", "file_path", "vector"), vector, limit, floor)
+        hits = top.collect()
+        found = ranking.attach_rows(hits, top.schema, self.store.rows_of(hits), repeats=not hybrid)
         found = ranking.filter_types(found, params.chunk_types)
         found = ranking.filter_extensions(found, params.extensions)
         return ranking.rerank(found, params.query)

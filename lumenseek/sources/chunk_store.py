@@ -98,6 +98,8 @@ class ChunkStore:
         The ids are literals, so whole buckets and row groups are skipped
         instead of reading the texts of the table to keep a handful.
         """
+        if not hits:
+            return self.read().limit(0)
         paths = sorted({h["file_path"] for h in hits})
         where = self.spark.createDataFrame([(p,) for p in paths], "file_path string").select(
             self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct()

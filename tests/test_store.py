@@ -183,6 +183,47 @@ def test_late_fetch_equals_one_plan(spark, engine, workspace):
     cols = ["id", "rank", "similarity", "rerank_score", "rerank_position", "text"]
     want = whole.select(cols).orderBy("rerank_position").collect()
     assert engine.search_frame(SearchParams(query, limit=3)).select(cols).orderBy("rerank_position").collect() == want
+    cols = [*cols, "rrf", "score"]
+    whole = ranking.rerank(ranking.hybrid_search(engine.store.read(), vector, query, 3, 0.0), query)
+    want = whole.select(cols).orderBy("rerank_position").collect()
+    params = SearchParams(query, limit=3, hybrid=True)
+    assert engine.search_frame(params).select(cols).orderBy("rerank_position").collect() == want
+
+
+def test_duplicate_rows_are_found_as_often_as_stored(spark, engine, workspace):
+    engine.index_folder(workspace)
+    once = engine.search(SearchParams("user", limit=10)).results
+    engine.index_folder(workspace, append=True)
+    twice = engine.search(SearchParams("user", limit=10)).results
+    assert len(twice) == 2 * len(once) and engine.search(SearchParams("user", limit=3)).total_results == 3
+    hybrid = engine.search(SearchParams("user", limit=10, hybrid=True)).results
+    assert len({r["id"] for r in hybrid}) == len(hybrid)
+    assert engine.search(SearchParams("zzz", min_similarity=1.0)).results == []
+
+
+def test_hot_file_is_spread_over_tasks(spark, tmp_path):
+    """A file with a third of all rows does not end in one task or one file."""
+    store = ChunkStore(spark, str(tmp_path / "index"), buckets=4)
+    df = spark.range(60000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, "hot.ts").otherwise(F.concat(F.lit("f"), F.col("id") % 50, F.lit(".ts"))).alias("file_path"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+        F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(k)))) for k in range(12)]).alias("text"),
+        F.lit("block").alias("type"), F.lit("ts").alias("language"), F.lit(0).cast("bigint").alias("timestamp"),
+        F.lit(0).alias("chunk_index_in_file"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        store.insert(df)
+        assert store.count() == 60000 and store.file_rows("hot.ts").count() == 20000
+        per_bucket = {}
+        for name in store.read().inputFiles():
+            bucket = name.split("bucket=")[1].split("/")[0]
+            per_bucket[bucket] = per_bucket.get(bucket, 0) + 1
+        assert max(per_bucket.values()) > 3
+        store.upsert(spark.createDataFrame([("f1.ts",)], "file_path string"), None)
+        assert store.count() == 60000 - df.where("file_path = 'f1.ts'").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_empty_scan_and_no_chunks(spark, engine):
