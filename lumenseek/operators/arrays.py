@@ -27,16 +27,31 @@ def running_sum(values: Column) -> Column:
     Sums are formed inside short blocks and shifted by the sum of the blocks
     before; appending over the whole array would copy it once per element.
     """
-    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: let(
-        F.slice(values, k * BLOCK + 1, BLOCK), _short_sums))
+    def block_sums(bound: Column) -> Column:
+        last = F.greatest(F.floor((F.size(bound) - 1) / BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: let(
+            part(bound, k * BLOCK, F.least(F.size(bound) - k * BLOCK, F.lit(BLOCK))), _short_sums))
 
     def shifted(sums: Column) -> Column:
         totals = F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)))
         return let(_appended_sums(totals), lambda ends: F.flatten(F.zip_with(sums, shifted_back(ends), lambda s, before: (
             F.transform(s, lambda v: v + F.coalesce(before, F.lit(0)))))))
 
-    return let(blocks, shifted)
+    return let(let(values, block_sums), shifted)
+
+
+def part(values: Column, start: Column, length: Column | int) -> Column:
+    """``length`` elements from 0-based ``start``, in time proportional to ``length``.
+
+    ``values`` must be a column or a bound variable, not an expression: it is
+    looked up once per element.
+
+    The built-in slice walks the whole array on every call, which is quadratic
+    when an array is cut into many parts.
+    """
+    rows = F.when(F.lit(length) > 0, F.sequence(start, start + length - 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(rows, lambda i: F.get(values, i))
 
 
 def shifted_back(values: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import WS_JAVA, is_blank, literal_map, trim_ws
-from lumenseek.operators.arrays import let, running_sum, shifted_back, shifted_on
+from lumenseek.operators.arrays import let, part, running_sum, shifted_back, shifted_on
 
 
 def split_lines(text: Column) -> Column:
@@ -106,7 +106,7 @@ def cut(lines: Column, breaks: Column) -> Column:
     def between(all_starts: Column) -> Column:
         return F.zip_with(all_starts, shifted_on(all_starts), lambda b, after: F.struct(
             b["line"].alias("start"), b["label"].alias("label"),
-            F.slice(lines, b["line"] + 1, F.coalesce(after["line"], F.size(lines)) - b["line"]).alias("lines")))
+            part(lines, b["line"], F.coalesce(after["line"], F.size(lines)) - b["line"]).alias("lines")))
 
     return _keep_filled(let(starts, between))
 
@@ -151,7 +151,7 @@ def split_large(pieces: Column, cap: int = fv.MAX_CHUNK_LINES, floor: int = fv.M
         return let(split_points(p["lines"], cap, floor, look_back), lambda offsets: F.zip_with(
             offsets, shifted_on(offsets), lambda o, end: F.struct(
                 (p["start"] + o).alias("start"), F.when(o == 0, p["label"]).alias("label"),
-                F.slice(p["lines"], o + 1, F.coalesce(end, F.size(p["lines"])) - o).alias("lines"))))
+                part(p["lines"], o, F.coalesce(end, F.size(p["lines"])) - o).alias("lines"))))
 
     whole = ~F.exists(pieces, lambda p: F.size(p["lines"]) > cap)
     return F.when(whole, pieces).otherwise(_keep_filled(F.flatten(F.transform(pieces, lambda p: F.when(
@@ -163,7 +163,7 @@ def fixed_cut(lines: Column, cap: int = fv.MAX_CHUNK_LINES) -> Column:
     last = F.floor((F.size(lines) - 1) / cap).cast("int")
     return _keep_filled(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
         (i * cap).alias("start"), F.lit(None).cast("string").alias("label"),
-        F.slice(lines, i * cap + 1, cap).alias("lines"))))
+        part(lines, i * cap, F.least(F.size(lines) - i * cap, F.lit(cap))).alias("lines"))))
 
 
 def merge_small(pieces: Column, floor: int = fv.MIN_CHUNK_LINES) -> Column:
@@ -184,7 +184,7 @@ def merge_small(pieces: Column, floor: int = fv.MIN_CHUNK_LINES) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(taken) - 1), lambda i: ~F.get(taken, i))
         return let(heads, lambda hs: F.zip_with(hs, shifted_on(hs), lambda h, e: F.struct(
             F.get(pieces, h)["start"].alias("start"), F.get(pieces, h)["label"].alias("label"),
-            F.flatten(F.transform(F.slice(pieces, h + 1, F.coalesce(e, F.size(taken)) - h),
+            F.flatten(F.transform(part(pieces, h, F.coalesce(e, F.size(taken)) - h),
                                   lambda p: p["lines"])).alias("lines"))))
 
     sizes = F.transform(pieces, lambda p: F.size(p["lines"]))
@@ -262,7 +262,7 @@ def merge_variables(chunks: Column, lines: Column, gap: int = fv.VARIABLE_MERGE_
 
     def island(h: Column, e: Column) -> Column:
         first, last = F.get(chunks, h), F.get(chunks, e - 1)
-        text = trim_ws(join_lines(F.slice(lines, first["start"] + 1, last["end"] - first["start"] + 1)))
+        text = trim_ws(join_lines(part(lines, first["start"], last["end"] - first["start"] + 1)))
         return F.struct(first["start"].alias("start"), last["end"].alias("end"),
                         first["type"].alias("type"),
                         F.when(e - h == 1, first["text"]).otherwise(text).alias("text"))

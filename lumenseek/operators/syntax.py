@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import literal_map
-from lumenseek.operators.arrays import running_sum, shifted_back, shifted_on
+from lumenseek.operators.arrays import part, running_sum, shifted_back, shifted_on
 from lumenseek.session import apply_steps, cached_steps
 
 _MARK = "\x01"  # stands for the start of a comment
@@ -31,7 +31,7 @@ _REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,4})/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\n]*+
 _SCRIPT_LEX = rf"//[^\n]*|{_BLOCK_COMMENT}|{_STRINGS}|{_TEMPLATE}|{_REGEX}|[^/\"'`]++|."
 _CSS_LEX = rf"{_BLOCK_COMMENT}|{_STRINGS}|[^/\"']++|."
 
-_FUNCTION_VALUE = (r"(?:async\s+)?(?:function\b(?!\s*\*)|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>"
+_FUNCTION_VALUE = (r"(?:async\s+)?(?:function\b(?!\s*\*)|\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*(?::[^=]+)?=>"
                    r"|<[^>]*>\s*\(.*=>|[\w$]+\s*=>)")
 _MODIFIER = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override)\s+)*"
 _NOT_METHOD = r"(?!(?:if|for|while|switch|catch|return|function|new|await|throw|typeof)\b)"
@@ -225,7 +225,7 @@ def _script_points(facts: Column, tops: Column, language: Column, compat: bool)
     """
     nothing = F.array().cast("array<struct<line:int,label:string>>")
     spans = F.zip_with(tops, shifted_on(tops), lambda x, after: F.struct(
-        x.alias("x"), F.slice(facts, x["row"] + 2, F.coalesce(after["row"], F.size(facts)) - x["row"] - 1).alias("body")))
+        x.alias("x"), part(facts, x["row"] + 1, F.coalesce(after["row"], F.size(facts)) - x["row"] - 1).alias("body")))
     stated = F.transform(spans, lambda s: F.struct(
         s["x"]["row"].alias("row"), _header(s["x"], s["body"]).alias("head"), s["body"].alias("body"),
         F.when(F.size(s["body"]) > 0, _surrounding(s["x"]["code"])).otherwise("").alias("around")))
