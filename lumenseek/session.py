@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.get("LUMENSEEK_TEST_DIR") or tempfile.mkdtemp(prefix="lumenseek-")
+        root = tempfile.mkdtemp(prefix="lumenseek-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
