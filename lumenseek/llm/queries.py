@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import near_dedup, quality
+from lumenseek.llm import decontaminate, mixing, near_dedup, quality, sharding
 from lumenseek.llm.common import table
 
 QUERIES = {
-    "op10_quality": lambda spark, sf: quality.op10_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op1_mixing": lambda spark, sf: mixing.op1_mixing(table(spark, sf, "documents")),
+    "op3_sharding": lambda spark, sf: sharding.manifest(table(spark, sf, "documents")),
     "op4_near_dedup": lambda spark, sf: near_dedup.op4_near_dedup(table(spark, sf, "documents")),
+    "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op10_quality": lambda spark, sf: quality.op10_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_decontaminate": decontaminate.OP9_SQL}
