@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenseek.llm import near_dedup, quality
+from lumenseek.llm import decontaminate, mixing, near_dedup, quality, sharding
 from lumenseek.llm.common import table
 from lumenseek.session import shared_folder
 
@@ -19,13 +19,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: the one with the smallest id."""
     return near_dedup.one_of_each(docs)
 
 
-STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = f"found_{uuid.uuid4().hex}"
+    marked = decontaminate.matched(docs, table(spark, sf_dir, "benchmark"), found)
+    return marked.where(F.size(f"{found}.hit") == 0).drop(found)
 
-#: The quality model and the classes are not for SQL; tests/llm compares the stages with plain Python.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of the languages; none is dropped, as rates are at least one."""
+    return mixing.repeated(docs, docs.select("doc_id", "text", F.col("lang").alias("domain")), least=1.0)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return sharding.manifest(docs)
+
+
+STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("mixing", mix),
+          ("sharding", shard)]
+
+#: The fitted stages are not for SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
