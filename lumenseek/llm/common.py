@@ -36,5 +36,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambda variables are values, not expressions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ready(spark: SparkSession) -> None:
     ship_package(spark)

@@ -25,7 +25,7 @@ from math import log
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenseek.llm.common import staged
+from lumenseek.llm.common import bind, staged
 
 #: Most labelled rows the classifier is fitted on; they are chosen by hash of the id.
 MAX_SAMPLE = 20_000
@@ -58,18 +58,13 @@ class Domains:
                 acc, F.get(table, F.array_position(known, x).cast("int") - 1), lambda a, b: a + b))
 
         def shares(e: Column) -> Column:
-            return _bind(F.aggregate(e, F.lit(0.0), lambda a, x: a + x),
+            return bind(F.aggregate(e, F.lit(0.0), lambda a, x: a + x),
                          lambda total: F.transform(e, lambda x: F.round(x / total, 2)))
 
         def posterior(values: Column) -> Column:
-            return _bind(F.array_max(values), lambda top: _bind(F.transform(values, lambda x: F.exp(x - top)), shares))
+            return bind(F.array_max(values), lambda top: bind(F.transform(values, lambda x: F.exp(x - top)), shares))
 
-        return _bind(words(text), lambda w: F.struct(F.size(w).alias("n_tokens"), _bind(logits(w), posterior).alias("posterior")))
-
-
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: lambda variables are values, not expressions."""
-    return F.get(F.transform(F.array(value), use), 0)
+        return bind(words(text), lambda w: F.struct(F.size(w).alias("n_tokens"), bind(logits(w), posterior).alias("posterior")))
 
 
 def fit_domains(labelled: DataFrame, most: int = MAX_SAMPLE) -> Domains:
@@ -101,7 +96,7 @@ def _rate(posterior: Column, steps: list[list[float]], least: float) -> Column:
     if not steps:
         return F.lit(1.0)
     history = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    return _bind(posterior, lambda q: F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(
+    return bind(posterior, lambda q: F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(
         F.lit(float(least)), r - F.aggregate(F.zip_with(q, g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))))
 
 

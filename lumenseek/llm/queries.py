@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
-from lumenseek.llm import decontaminate, language, mixing, near_dedup, quality, sharding, tokens, toxicity
+from lumenseek.llm import decontaminate, fingerprints, language, mixing, near_dedup, quality, sharding, tokens, toxicity
 from lumenseek.llm.common import table
 
-#: The vocabulary whose tokens are counted.
-VOCABULARY = "word_bpe_49k.json"
+
+def _vocabulary() -> str:
+    """Path of the vocabulary whose tokens are counted."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 QUERIES = {
     "op1_mixing": lambda spark, sf: mixing.op1_mixing(table(spark, sf, "documents")),
@@ -16,7 +19,8 @@ QUERIES = {
     "op3_sharding": lambda spark, sf: sharding.manifest(table(spark, sf, "documents")),
     "op4_near_dedup": lambda spark, sf: near_dedup.op4_near_dedup(table(spark, sf, "documents")),
     "op5_language": lambda spark, sf: language.op5_language(table(spark, sf, "documents")),
-    "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY)),
+    "op7_fingerprints": lambda spark, sf: fingerprints.op7_fingerprints(table(spark, sf, "documents")),
+    "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), _vocabulary()),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_quality": lambda spark, sf: quality.op10_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
