@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontaminate, fingerprints, language, mixing, near_dedup, quality, sharding, tokens, toxicity
+from lumenseek.llm import decontaminate, fingerprints, language, mixing, near_dedup, quality, revisits, sharding, tokens, toxicity
 from lumenseek.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_sharding": lambda spark, sf: sharding.manifest(table(spark, sf, "documents")),
     "op4_near_dedup": lambda spark, sf: near_dedup.op4_near_dedup(table(spark, sf, "documents")),
     "op5_language": lambda spark, sf: language.op5_language(table(spark, sf, "documents")),
+    "op6_revisits": lambda spark, sf: revisits.op6_revisits(table(spark, sf, "pages")),
     "op7_fingerprints": lambda spark, sf: fingerprints.op7_fingerprints(table(spark, sf, "documents")),
     "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), _vocabulary()),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality": lambda spark, sf: quality.op10_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
 }
 
-ORACLES = {"op9_decontaminate": decontaminate.OP9_SQL}
+ORACLES = {"op6_revisits": revisits.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
