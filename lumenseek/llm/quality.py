@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, most: int = MAX_SAMPLE)
     sample = labelled_sample(docs, labels, "quality", keep, most)
     rows = sample.select("label", statistics_udf()("text").alias("x"), F.xxhash64("doc_id", "text").alias("o")).toPandas()
     rows = rows.sort_values("o", kind="stable")  # the same order whatever the partitions were
-    return fit(np.array(rows["x"].tolist()).reshape(len(rows), -1), rows["label"].to_numpy(dtype=float))
+    x = np.array(rows["x"].tolist()) if len(rows) else statistics(pa.array([], pa.string()))
+    return fit(x, rows["label"].to_numpy(dtype=float))
 
 
 def scored(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:

@@ -38,13 +38,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     row = ["doc_id", "source", "size", "text_crc32"]
     rows = staged(docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("bigint").alias("size"),
                               F.crc32(text).alias("text_crc32")).groupBy(*row).agg(F.count(F.lit(1)).alias("m"))
-                  .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32")), "shard-rows")
+                  .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), 1)), "shard-rows")
     total = rows.agg(F.sum("m")).first()[0] or 0
     stratum = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = rows.withColumn("stratum", stratum)
     sources = rows.groupBy("stratum").agg(F.sum("m").alias("rows"), F.count(F.lit(1)).alias("different"))
     # Range of the hash: its upper 31 bits scaled to the number of ranges of the source.
-    ranged = rows.join(sources, "stratum").withColumn("range", F.shiftright(F.shiftrightunsigned("h", 33) * F.ceil(
+    ranged = rows.join(sources, "stratum").withColumn("range", F.shiftright(F.shiftright("h", 32) * F.ceil(
         F.col("different") / BUCKET_ROWS), 31))
     counts = ranged.groupBy("stratum", "range").agg(F.sum("m").alias("n"))
     inside = Window.partitionBy("stratum", "range").orderBy("h", "doc_id", "size", "text_crc32")

@@ -24,7 +24,7 @@ from lumenseek.llm.common import fold, labelled_sample, ready, staged
 
 #: Most labelled rows that weights are learned from; they are chosen by hash of the id.
 MAX_SAMPLE = 12_000
-MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT = 2_000, 3, 2.0
+MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT = 2_000, 3, 1.5
 STEMS, LEAST_WORD = (4, 5, 6), 3
 THRESHOLD = 0.7
 
@@ -136,7 +136,7 @@ def learn(sample: DataFrame, toxic: int, other: int) -> Lexicon:
         return out
 
     shown = _counted(phrases, sample).where(f"n0 >= {2 * LEAST_DOCS}").limit(MAX_TERMS).toPandas()
-    harmless = shown[_bound(shown["n0"], shown["n1"], other, toxic) > 0] if len(shown) else shown
+    harmless = shown[(shown["n0"] + 0.5) * (toxic + 1) > (shown["n1"] + 0.5) * (other + 1)]
     return Lexicon(lexicon.weights, sorted(harmless["what"]))
 
 
