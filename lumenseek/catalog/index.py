@@ -9,6 +9,7 @@ from lumenseek.catalog.chunks import _TS_FILES, sql_chunks
 from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import batching, reports
 from lumenseek.plans.chunking import chunk_files
+from lumenseek.plans.indexing import run_errors
 from lumenseek.providers.embedding import HashProvider
 from lumenseek.session import shared_folder
 from lumenseek.sources.chunk_store import ChunkStore, index_stats as stats_of, valid_rows
@@ -47,6 +48,13 @@ def index_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.index_report(_embedded(spark, sf))
 
 
+def index_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of a build whose failed vectors have a reason and which meets French files it cannot chunk."""
+    embedded = _embedded(spark, sf).withColumn("embed_error", F.when(F.size("vector") == 0, "empty vector"))
+    sources = t.document_chunks(spark, sf).select("file_path", F.when(F.col("language") == "fr", "fr").otherwise("ts").alias("language"))
+    return run_errors(sources, embedded)
+
+
 def embedding_counts(spark: SparkSession, sf: str) -> DataFrame:
     return batching.embedding_counts(_embedded(spark, sf))
 
@@ -168,7 +176,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    type_histogram, chunk_averages, index_stats, index_report, embedding_counts, valid_chunks, failed_chunks,
+    type_histogram, chunk_averages, index_stats, index_report, index_errors, embedding_counts, valid_chunks, failed_chunks,
     merge_retry, wrong_dimensions, batch_assignment, progress, insert_chunks, delete_file, upsert_file,
     latest_change_per_file, stream_upsert)}
 
@@ -197,6 +205,10 @@ ORACLES = {
         count(*) FILTER (len(vector) > 0) AS successful_chunks, count(*) FILTER (len(vector) = 0) AS failed_chunks FROM embedded),
       y AS (SELECT *, floor(successful_chunks / chunks * 100 * 10 + 0.5)::BIGINT AS k FROM x)
       SELECT files, chunks, successful_chunks, failed_chunks, (k // 10) || '.' || (k % 10) AS success_rate FROM y""",
+    "index_errors": f"""WITH {_EMBEDDED}
+      SELECT file_path, 'chunking' AS stage, 'Failed to chunk ' || file_path || ': Unsupported file extension: fr' AS error
+      FROM document_chunks WHERE language = 'fr'
+      UNION ALL SELECT file_path, 'embedding', 'Failed to embed ' || id || ': empty vector' FROM embedded WHERE len(vector) = 0""",
     "embedding_counts": f"""WITH {_EMBEDDED} SELECT count(*) FILTER (len(vector) > 0) AS success_count,
       count(*) FILTER (len(vector) = 0) AS failure_count FROM embedded""",
     "valid_chunks": f"WITH {_EMBEDDED} SELECT id, vector FROM embedded WHERE len(vector) > 0",

@@ -20,8 +20,8 @@ _BOUNDS = {
 class Settings:
     """Everything that can change a result, plus the provider choices.
 
-    ``chunk_size``, ``auto_index``, ``preferred_chunker`` and
-    ``tree_sitter_enabled`` are accepted so that existing settings load; like
+    ``chunk_size``, ``auto_index``, ``preferred_chunker``, ``tree_sitter_enabled``
+    and ``index_model`` are accepted so that existing settings load; like
     in the tool being replaced, they do not influence any result.
     """
 

@@ -90,7 +90,6 @@ OVERLAP_LINES = 10
 SPLIT_LOOK_BACK = 50
 VARIABLE_MERGE_GAP = 2
 JSX_MIN_LINES = 3
-MAX_SYNTAX_DEPTH = 3
 RRF_K = 60
 OVER_FETCH = 2
 LOW_RELEVANCE_BELOW = 0.4
@@ -134,10 +133,6 @@ SAMPLE_EXCLUDE_GLOBS = [
     "**/package.json", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/tsconfig.json",
 ]
 CHUNKABLE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "css", "vue"]
-GRAMMARS = {
-    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript",
-    "css": "css", "vue": "vue",
-}
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 
 # --- embedding models: dimensions, max tokens, prefixes, unit length ---------------

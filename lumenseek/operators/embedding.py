@@ -19,17 +19,20 @@ def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: i
     """Adds ``vector``, ``tokens_used`` and ``embed_error`` for a prepared text column.
 
     The vector stays in its text's row, so nothing is ever joined by position.
-    ``max_concurrency`` bounds how many tasks call a service at a time; leave
-    it out for providers that run inside the task.
+    ``max_concurrency`` bounds how many tasks call a service at a time, by an
+    exchange that leaves the stages before it their own partitions; leave it out
+    for providers that run inside the task. A request budget is divided by it,
+    or by the session's cores.
     """
     ship_package(df.sparkSession)
+    provider.shared_by(max_concurrency or df.sparkSession.sparkContext.defaultParallelism)
     if max_concurrency:
-        df = df.coalesce(max_concurrency)
+        df = df.repartition(max_concurrency)
 
     @F.pandas_udf(EMBEDDED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         provider.open()
-        embedder = BatchEmbedder(provider.embed, batch_size=min(batch_size, provider.batch_limit or batch_size),
+        embedder = BatchEmbedder(provider.embed, failures=lambda: provider.failures, batch_size=min(batch_size, provider.batch_limit or batch_size),
                                  pause=pause, item_pause=pause / 2, tries=tries)
         try:
             for texts in batches:

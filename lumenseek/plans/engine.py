@@ -21,6 +21,10 @@ from lumenseek.sources.chunk_store import ChunkStore, IndexStats
 from lumenseek.streaming.change_feed import apply_changes
 
 
+#: Most results of one search; what is collected and broadcast grows with it.
+MAX_LIMIT = 100
+
+
 @dataclass(frozen=True)
 class SearchParams:
     query: str
@@ -47,7 +51,7 @@ class CodeSearch:
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), *,
                  provider: EmbeddingProvider | None = None, expander: QueryExpander | None = None,
-                 api_key: str | None = None, buckets: int = 64):
+                 api_key: str | None = None, buckets: int | None = None):
         self.spark, self.settings = spark, settings
         self.store = ChunkStore(spark, path, buckets)
         self.provider = provider or create_provider(settings, api_key)
@@ -114,10 +118,12 @@ class CodeSearch:
         if not query:
             raise ValueError("Search query cannot be empty")
         limit = self.settings.search_result_limit if params.limit is None else params.limit
+        if not 1 <= limit <= MAX_LIMIT:
+            raise ValueError(f"limit={limit} is outside [1, {MAX_LIMIT}]")
         floor = self.settings.min_similarity if params.min_similarity is None else params.min_similarity
         hybrid = self.settings.enable_hybrid_search if params.hybrid is None else params.hybrid
         text = self.expander.expand(query) if self.expander.enabled else query
-        vector = self.provider.embed([self.provider.model.prepare(text, is_query=True)])[0]
+        vector = self.provider.embed_query(self.provider.model.prepare(text, is_query=True))
         self.store.check_dimension(len(vector))
         chunks = self.store.read()
         # Rank on narrow columns first, then read the texts of the few hits.

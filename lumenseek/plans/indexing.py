@@ -21,9 +21,6 @@ from lumenseek.streaming.change_feed import embedded_chunks
 
 log = logging.getLogger("lumenseek.index")
 
-#: How many error texts a report carries; all of them stay in the error table.
-SHOWN_ERRORS = 20
-
 
 @dataclass(frozen=True)
 class IndexReport:
@@ -33,7 +30,10 @@ class IndexReport:
     successful_chunks: int
     failed_chunks: int
     duration_ms: int
+    #: Why the whole run ended early; errors of files and chunks are in the error table.
     errors: list[str] = field(default_factory=list)
+    error_count: int = 0
+    error_table: str | None = None
 
     @property
     def success_rate(self) -> float:
@@ -47,6 +47,15 @@ class Progress:
     message: str
 
 
+def run_errors(sources: DataFrame, embedded: DataFrame) -> DataFrame:
+    """What could not be indexed: files that cannot be chunked, chunks that got no vector."""
+    files = chunk_errors(sources).select("file_path", F.lit("chunking").alias("stage"), F.concat(
+        F.lit("Failed to chunk "), "file_path", F.lit(": "), "error").alias("error"))
+    chunks = embedded.where("embed_error is not null").select("file_path", F.lit("embedding").alias("stage"), F.concat(
+        F.lit("Failed to embed "), "id", F.lit(": "), "embed_error").alias("error"))
+    return files.union(chunks)
+
+
 def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provider: EmbeddingProvider,
                 settings: Settings = Settings(), *, append: bool = False,
                 on_progress: Callable[[Progress], None] | None = None, **options) -> IndexReport:
@@ -85,11 +94,10 @@ def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provid
     embedded = spark.read.parquet(staging)
 
     counts = index_report(embedded).first()
-    failures = chunk_errors(sources).select(
-        F.concat(F.lit("Failed to chunk "), "file_path", F.lit(": "), "error").alias("error"))
-    errors = [r[0] for r in failures.limit(SHOWN_ERRORS).collect()]
+    error_table = store.write_errors(run_errors(sources, embedded))
+    errors = {"error_count": store.errors().count(), "error_table": error_table}
     if counts.chunks == 0:
-        return finished(False, ["No code chunks extracted"], total_files=total_files)
+        return finished(False, ["No code chunks extracted"], total_files=total_files, **errors)
     tell("embedding", f"Embedded {counts.successful_chunks} of {counts.chunks} chunks")
 
     tell("storing", "Storing chunks...")
@@ -103,5 +111,5 @@ def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provid
     target = spark._jvm.org.apache.hadoop.fs.Path(staging)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     tell("complete", "Indexing complete")
-    return finished(True, errors, total_files=total_files, total_chunks=counts.chunks,
+    return finished(True, [], **errors, total_files=total_files, total_chunks=counts.chunks,
                     successful_chunks=counts.successful_chunks, failed_chunks=counts.failed_chunks)

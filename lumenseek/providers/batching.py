@@ -47,15 +47,16 @@ class BatchPolicy:
 class BatchEmbedder:
     """Runs texts through a provider batch by batch; order in is order out.
 
-    A batch is tried up to ``tries`` times, then its texts one by one. Texts
+    A batch whose request fails is tried up to ``tries`` times, then its texts
+    one by one; a text that the provider gave up on is not sent again. Texts
     that still fail get an empty vector and their error text, and the run
     goes on, so one bad text never fails a Spark task.
     """
 
     def __init__(self, embed: Callable[[list[str]], list[list[float]]], *, batch_size: int = 32,
-                 tries: int = 3, pause: float = fv.PAUSE_BETWEEN_BATCHES,
+                 failures: Callable[[], dict[int, str]] = dict, tries: int = 3, pause: float = fv.PAUSE_BETWEEN_BATCHES,
                  item_pause: float = fv.PAUSE_BETWEEN_ITEMS, sleep: Callable[[float], None] = time.sleep):
-        self.embed, self.tries, self.sleep = embed, tries, sleep
+        self.embed, self.failures, self.tries, self.sleep = embed, failures, tries, sleep
         self.pause, self.item_pause = pause, item_pause
         self.policy = BatchPolicy(batch_size)
 
@@ -79,7 +80,8 @@ class BatchEmbedder:
     def _batch(self, batch: list[str]) -> tuple[list[list[float]], dict[int, str]]:
         for attempt in range(self.tries):
             try:
-                return self._checked(batch), {}
+                vectors = self._checked(batch)
+                return vectors, {i: e for i, e in self.failures().items() if not vectors[i]}
             except Exception:
                 self.sleep(fv.RETRY_SECONDS[min(attempt, len(fv.RETRY_SECONDS) - 1)])
         vectors: list[list[float]] = []

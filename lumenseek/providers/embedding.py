@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from abc import ABC, abstractmethod
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 from lumenseek import fixed_values as fv
@@ -31,6 +33,7 @@ class EmbeddingProvider(ABC):
     model: EmbeddingModel
     batch_limit: int | None = None
     tokens_used: int = 0
+    failures: dict[int, str] = {}
 
     @property
     def dimensions(self) -> int:
@@ -38,14 +41,28 @@ class EmbeddingProvider(ABC):
 
     @abstractmethod
     def embed(self, texts: list[str]) -> list[list[float]]:
-        """Vectors in input order; ``[]`` marks a text that failed."""
+        """Vectors in input order; ``[]`` marks a text that failed.
+
+        ``failures`` then says why, by position in the texts of this call.
+        """
+
+    def embed_query(self, text: str) -> list[float]:
+        """Vector of one search text; a failure is an error, as there is nothing to go on with."""
+        vector = self.embed([text])[0]
+        if not vector:
+            raise ServiceError(self.failures.get(0, "empty vector"))
+        return vector
 
     def check_connection(self) -> bool:
         return True
 
-    def is_model_available(self) -> bool:
+    def is_model_available(self, model: str | None = None) -> bool:
+        """Whether the service has ``model``, by default the provider's own."""
         return True
 
+    def shared_by(self, tasks: int) -> None:
+        """Told how many tasks call the service at a time."""
+
     def open(self) -> None:
         """Called once per task before the first text."""
 
@@ -80,13 +97,14 @@ class HashProvider(EmbeddingProvider):
 
 
 class LocalServerProvider(EmbeddingProvider):
-    """Local model server: one request per text."""
+    """Local model server: one request per text, each text tried by itself."""
 
     name = "ollama"
 
-    def __init__(self, model: str, url: str = "http://localhost:11434", transport=None):
+    def __init__(self, model: str, url: str = "http://localhost:11434", transport=None, *,
+                 sleep: Callable[[float], None] = time.sleep):
         self.model = embedding_model("ollama", model)
-        self.url, self._transport = url, transport
+        self.url, self._transport, self.sleep = url, transport, sleep
 
     @property
     def transport(self):
@@ -121,8 +139,22 @@ class LocalServerProvider(EmbeddingProvider):
             raise local_error(error) from error
         return normalize(vector) if self.model.normalize else vector
 
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed_one(text)
+
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed_one(t) for t in texts]
+        self.failures = {}
+        return [self._tried(i, t) for i, t in enumerate(texts)]
+
+    def _tried(self, place: int, text: str) -> list[float]:
+        """The vector after up to three tries; the other texts are not sent again."""
+        for wait in fv.RETRY_SECONDS:
+            try:
+                return self.embed_one(text)
+            except ServiceError as error:
+                self.failures[place] = str(error)
+                self.sleep(wait)
+        return []
 
 
 class HostedProvider(EmbeddingProvider):
@@ -135,12 +167,16 @@ class HostedProvider(EmbeddingProvider):
                  url: str = "https://api.openai.com/v1", concurrency: int = 1, transport=None):
         self.model = embedding_model("openai", model)
         self.url, self.api_key, self.organization = url, api_key, organization
-        self.per_minute = max(1.0, fv.HOSTED_EMBED_PER_MINUTE / concurrency)
-        self._transport, self._budget = transport, None
+        self._transport = transport
+        self.shared_by(concurrency)
 
     def __getstate__(self):
         return {**self.__dict__, "_budget": None}
 
+    def shared_by(self, tasks: int) -> None:
+        """Every task may send its share of the requests per minute."""
+        self.per_minute, self._budget = max(1.0, fv.HOSTED_EMBED_PER_MINUTE / tasks), None
+
     @property
     def transport(self):
         if self._transport is None:
@@ -163,9 +199,9 @@ class HostedProvider(EmbeddingProvider):
         except Exception:
             return False
 
-    def is_model_available(self) -> bool:
+    def is_model_available(self, model: str | None = None) -> bool:
         try:
-            return any(m.get("id") == self.model.name for m in self.transport.call("/models").get("data", []))
+            return any(m.get("id") == (model or self.model.name) for m in self.transport.call("/models").get("data", []))
         except HttpFailure:
             return False
 

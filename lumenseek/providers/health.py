@@ -6,7 +6,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
-#: The health check asks for this model whatever model is configured.
+#: The health check of the local server asks for this model whatever model is configured.
 CHECKED_MODEL = "nomic-embed-text"
 
 
@@ -21,7 +21,7 @@ def check_health(provider) -> HealthStatus:
     try:
         if not provider.check_connection():
             return HealthStatus(False, False, "Ollama is not running")
-        if not provider.is_model_available(CHECKED_MODEL):
+        if not provider.is_model_available(CHECKED_MODEL if provider.name == "ollama" else None):
             return HealthStatus(True, False, "Model not installed")
         return HealthStatus(True, True, "Ollama ready")
     except Exception as error:

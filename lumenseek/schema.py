@@ -22,22 +22,6 @@ CHUNK_SCHEMA = T.StructType([
 
 CHUNK_COLUMNS = [f.name for f in CHUNK_SCHEMA.fields if f.name != "vector"]
 
-#: One syntax point of interest: 0-based line, position in visit order, label.
-#: The field order makes a plain sort the stable sort by line.
-POINT = T.StructType([
-    T.StructField("line", T.IntegerType()),
-    T.StructField("seq", T.IntegerType()),
-    T.StructField("label", T.StringType()),
-])
-
-#: What the syntax scan yields for a file.
-SYNTAX = T.StructType([
-    T.StructField("points", T.ArrayType(POINT)),
-    T.StructField("comments", T.ArrayType(T.IntegerType())),
-    T.StructField("kinds", T.ArrayType(T.StringType())),
-    T.StructField("error", T.StringType()),
-])
-
 #: One embedding call's outcome; an empty vector marks a failed text.
 EMBEDDED = T.StructType([
     T.StructField("vector", VECTOR),

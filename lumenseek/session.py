@@ -41,11 +41,14 @@ def build_session(app_name: str = "lumenseek", master: str | None = None,
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, is a temporary
-    folder of this machine used.
+    Where ``spark.checkpoint.dir`` is unset, a local session uses a temporary
+    folder of its machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lumenseek-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -4,6 +4,11 @@ All rows of a file live in one bucket, so changing files rewrites their
 buckets only. Replacement rows are first written to a staging folder and the
 live partitions are then overwritten from there, never from themselves: if a
 job dies half-way, ``recover`` repeats the second step from the staged rows.
+
+``layout.json`` names the folder of the live table and its number of buckets. A
+rebuild writes a new folder and then moves the pointer, so a reader or a crash
+never sees half of it. One writer at a time: ``recover`` takes what it finds
+staged for the rest of a job that died.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from lumenseek.functions.vector import checked_dimension, has_vector
 from lumenseek.schema import CHUNK_SCHEMA
 
 BUCKET = "bucket"
+#: Buckets of a table that starts empty, and rows of a bucket that a rebuild aims at.
+DEFAULT_BUCKETS, ROWS_PER_BUCKET = 64, 250_000
 
 
 @dataclass(frozen=True)
@@ -52,9 +59,35 @@ def valid_rows(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.table = f"{self.path}/chunks"
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """``buckets`` is for new tables; an existing one keeps its own, and another number is refused."""
+        self.spark, self.path, self.wanted = spark, path.rstrip("/"), buckets
+        stored = (self._layout() or {}).get("buckets")
+        if buckets and stored and stored != buckets:
+            raise ValueError(f"the table below {self.path} has {stored} buckets, not {buckets}")
+
+    # -- layout -------------------------------------------------------------------------
+    def _layout(self) -> dict | None:
+        return self._read_json(f"{self.path}/layout.json") if self._exists(f"{self.path}/layout.json") else None
+
+    def _point_to(self, folder: str, buckets: int) -> None:
+        """Make a folder the live table: one rename over the old pointer."""
+        fresh = f"{self.path}/layout-{uuid.uuid4().hex}.json"
+        self._write_json(fresh, {"table": folder, "buckets": buckets})
+        fs, source = self._fs(fresh)
+        target = self._fs(f"{self.path}/layout.json")[1]
+        if fs.exists(target):
+            fs.delete(target, False)
+        fs.rename(source, target)
+
+    @property
+    def buckets(self) -> int:
+        return (self._layout() or {}).get("buckets") or self.wanted or DEFAULT_BUCKETS
+
+    @property
+    def table(self) -> str:
+        """Folder of the live table; a table that does not exist yet gets a name."""
+        return f"{self.path}/{(self._layout() or {}).get('table', 'chunks')}"
 
     # -- file system --------------------------------------------------------------------
     def _fs(self, path: str):
@@ -72,8 +105,8 @@ class ChunkStore:
         fs.delete(target, True)
 
     # -- reading ---------------------------------------------------------------------------
-    def bucket_of(self, file_path: Column) -> Column:
-        return F.pmod(F.xxhash64(file_path), F.lit(self.buckets)).cast("int")
+    def bucket_of(self, file_path: Column, buckets: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(file_path), F.lit(buckets or self.buckets)).cast("int")
 
     def exists(self) -> bool:
         return self._exists(self.table)
@@ -124,7 +157,7 @@ class ChunkStore:
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
     # -- writing ----------------------------------------------------------------------------
-    def _laid_out(self, chunks: DataFrame) -> DataFrame:
+    def _laid_out(self, chunks: DataFrame, buckets: int | None = None) -> DataFrame:
         """Table columns, spread for the write.
 
         Rebalancing lets AQE split a bucket that one file dominates and merge
@@ -134,13 +167,19 @@ class ChunkStore:
         vector = checked_dimension(F.col("vector"), meta.dimension) if meta else F.col("vector")
         shaped = valid_rows(chunks).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields if f.name != "vector"],
-            vector.cast("array<float>").alias("vector"), self.bucket_of(F.col("file_path")).alias(BUCKET))
+            vector.cast("array<float>").alias("vector"), self.bucket_of(F.col("file_path"), buckets).alias(BUCKET))
         return shaped.hint("rebalance", BUCKET)
 
     def insert(self, chunks: DataFrame) -> None:
         """Append rows that have a vector; the first insert creates the table."""
+        self._settle()
         self._laid_out(chunks).write.partitionBy(BUCKET).mode("append").parquet(self.table)
 
+    def _settle(self) -> None:
+        """Fix the number of buckets before the first rows are written."""
+        if self._layout() is None:
+            self._point_to("chunks", self.buckets)
+
     def delete_files(self, paths: DataFrame) -> None:
         """Delete every chunk of the files in ``paths(file_path)``."""
         self.upsert(paths, None)
@@ -152,6 +191,7 @@ class ChunkStore:
         numbers come to the driver; paths and chunks stay distributed.
         """
         self.recover()
+        self._settle()
         paths = paths.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n")).select("file_path")
         touched = [r[0] for r in paths.select(self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct().collect()]
         if not touched:
@@ -192,13 +232,35 @@ class ChunkStore:
         self._delete(staged)
 
     def replace_all(self, chunks: DataFrame) -> None:
-        """Make ``chunks``, which must not be read from this table, the whole content."""
-        self._laid_out(chunks).write.partitionBy(BUCKET).mode("overwrite").parquet(self.table)
+        """Make ``chunks`` the whole content, in as many buckets as their number asks for.
+
+        The rows go to a new folder; the old table is whole until the pointer has moved.
+        """
+        old = self.table
+        buckets = self.wanted or max(1, -(-valid_rows(chunks).count() // ROWS_PER_BUCKET))
+        folder = f"chunks-{uuid.uuid4().hex}"
+        self._laid_out(chunks, buckets).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        self._point_to(folder, buckets)
+        if self._exists(old):
+            self._delete(old)
 
     def clear(self) -> None:
-        for name in ("chunks", "_staged", "_work", "metadata.json"):
-            if self._exists(f"{self.path}/{name}"):
-                self._delete(f"{self.path}/{name}")
+        fs, target = self._fs(self.path)
+        if fs.exists(target):
+            for status in fs.listStatus(target):
+                self._delete(f"{self.path}/{status.getPath().getName()}")
+
+    def write_errors(self, errors: DataFrame) -> str:
+        """Replace the table of what the last build could not index; returns its folder."""
+        errors.write.mode("overwrite").parquet(f"{self.path}/errors")
+        return f"{self.path}/errors"
+
+    def errors(self) -> DataFrame:
+        """``file_path``, ``stage`` and ``error`` of the last build."""
+        schema = "file_path string, stage string, error string"
+        if not self._exists(f"{self.path}/errors"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/errors")
 
     @contextmanager
     def staged(self, df: DataFrame, name: str):

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lumenseek import fixed_values as fv
 from lumenseek.config import Settings
 from lumenseek.functions import paths as p
-from lumenseek.functions.text import is_blank
 
 TOO_LARGE, EMPTY, NO_ACCESS = "File too large", "Empty file", "File access error"
 
@@ -111,9 +110,5 @@ def scan_summary(files: DataFrame, max_size: int) -> DataFrame:
 
 def decoded(files: DataFrame) -> DataFrame:
     """UTF-8 text of binary files, bad bytes replaced, with the language of the path."""
-    text = F.decode(F.col("content"), "UTF-8") if "content" in files.columns else F.col("text")
+    text = F.make_valid_utf8(F.col("content").cast("string")) if "content" in files.columns else F.col("text")
     return files.select("file_path", F.lower(p.extension(F.col("file_path"))).alias("language"), text.alias("text"))
-
-
-def has_code(files: DataFrame) -> Column:
-    return ~is_blank(F.col("text"))

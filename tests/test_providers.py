@@ -119,7 +119,35 @@ def test_local_provider():
         api_embeddings=HttpFailure(code="ECONNREFUSED"), api_tags=HttpFailure(code="ECONNREFUSED")))
     assert not down.check_connection() and not down.is_model_available()
     with pytest.raises(ServiceError, match="Is it running"):
-        down.embed(["a"])
+        down.embed_query("a")
+
+
+def test_one_bad_text_disturbs_no_other():
+    def reply(body):
+        if body["prompt"] == "bad":
+            raise HttpFailure(status=500)
+        return {"embedding": [3.0, 4.0]}
+
+    waits = []
+    transport = FakeTransport(api_embeddings=reply)
+    provider = em.LocalServerProvider("nomic-embed-text", transport=transport, sleep=waits.append)
+    texts = ["good"] * 31 + ["bad"]
+    done = BatchEmbedder(provider.embed, failures=lambda: provider.failures, sleep=waits.append, pause=0).run(texts)
+    assert done.vectors == [[0.6, 0.8]] * 31 + [[]] and done.failed == [31] and set(done.errors) == {31}
+    assert len(transport.sent) == 31 + 3 and waits == [1, 2, 4]
+
+
+def test_tasks_share_the_request_budget():
+    provider = em.HostedProvider("text-embedding-3-small", "k", transport=FakeTransport())
+    provider.shared_by(4)
+    assert provider.per_minute == provider.budget.per_minute == 125
+
+
+def test_health_of_real_providers():
+    assert health.check_health(em.HashProvider(8)) == health.HealthStatus(True, True, "Ollama ready")
+    hosted = em.HostedProvider("text-embedding-3-small", "k", transport=FakeTransport(
+        models={"data": [{"id": "text-embedding-3-small"}]}))
+    assert health.check_health(hosted).model_installed
 
 
 def test_hosted_provider_sorts_slices_and_counts_tokens():
@@ -200,6 +228,8 @@ def test_expansion_services():
 
 def test_health():
     class Server:
+        name = "ollama"
+
         def __init__(self, up, model):
             self.up, self.model = up, model
 

@@ -133,7 +133,9 @@ def test_index_search_update(spark, engine, workspace):
     seen = []
     report = engine.index_folder(workspace, on_progress=seen.append)
     assert report.success and (report.total_files, report.total_chunks, report.failed_chunks) == (5, 4, 0)
-    assert report.errors == [f"Failed to chunk {workspace}/src/tool.py: Unsupported file extension: py"]
+    assert report.errors == [] and report.error_count == 1
+    assert [r.error for r in engine.store.errors().collect()] == [
+        f"Failed to chunk {workspace}/src/tool.py: Unsupported file extension: py"]
     assert [p.phase for p in seen] == ["scanning", "chunking", "embedding", "storing", "complete"]
     assert [p.percentage for p in seen] == [0, 10, 80, 80, 100]
     assert report.success_rate == 100 and engine.chunk_count() == 4 and engine.is_ready()
@@ -269,3 +271,50 @@ def test_latest_change_of_a_hot_path_combines_in_the_map_tasks(spark):
     assert latest.where("file_path = 'hot'").first().change_id == 999
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "Window" not in plan
+
+
+def test_bad_bytes_and_all_errors_are_kept(spark, engine, tmp_path):
+    folder = tmp_path / "bad"
+    folder.mkdir()
+    (folder / "latin.ts").write_bytes(b"// caf\xe9\nconst a = 1;\n")
+    for i in range(30):
+        (folder / f"f{i}.py").write_text("x = 1\n")
+    report = engine.index_folder(str(folder))
+    assert report.success and report.total_files == 31 and report.error_count == 30
+    assert engine.store.errors().select("file_path").distinct().count() == 30
+    assert "\ufffd" in engine.store.read().first().text
+
+
+def test_number_of_buckets_is_stored(spark, tmp_path, engine, workspace):
+    engine.index_folder(workspace)
+    path = str(tmp_path / "index")
+    assert ChunkStore(spark, path).buckets == 4 and ChunkStore(spark, path).count() == engine.chunk_count()
+    with pytest.raises(ValueError, match="has 4 buckets"):
+        ChunkStore(spark, path, buckets=16)
+    other = CodeSearch(spark, path, engine.settings)
+    query = SearchParams("user", limit=10)
+    assert [r["id"] for r in other.search(query).results] == [r["id"] for r in engine.search(query).results]
+    other.delete_files(engine.store.read().select("file_path").distinct())
+    assert engine.chunk_count() == 0
+
+
+def test_failed_rebuild_keeps_the_old_table(spark, engine, workspace, monkeypatch):
+    engine.index_folder(workspace)
+    before = sorted(r.id for r in engine.store.read().collect())
+    rows = engine.store.read().withColumn("id", F.concat("id", F.lit("-new")))
+
+    def stop(*_):
+        raise RuntimeError("driver lost")
+    with monkeypatch.context() as m:
+        m.setattr(ChunkStore, "_point_to", stop)
+        with pytest.raises(RuntimeError):
+            engine.store.replace_all(rows)
+    assert sorted(r.id for r in engine.store.read().collect()) == before
+    engine.store.replace_all(rows)
+    assert sorted(r.id for r in engine.store.read().collect()) == [f"{i}-new" for i in before]
+
+
+def test_limit_is_checked(engine, workspace):
+    engine.index_folder(workspace)
+    assert "outside" in engine.search(SearchParams("user", limit=0)).error
+    assert "outside" in engine.search(SearchParams("user", limit=101)).error
