@@ -21,11 +21,12 @@ def _short_sums(block: Column) -> Column:
         F.slice(block, F.lit(1), i + 1), F.lit(0), lambda total, v: total + v))
 
 
-def running_sum(values: Column) -> Column:
+def running_sum(values: Column, levels: int = 2) -> Column:
     """Inclusive running sums of an int array.
 
     Sums are formed inside short blocks and shifted by the sum of the blocks
-    before; appending over the whole array would copy it once per element.
+    before, which is found the same way; appending over the whole array would
+    copy it once per element.
     """
     def block_sums(bound: Column) -> Column:
         last = F.greatest(F.floor((F.size(bound) - 1) / BLOCK).cast("int"), F.lit(0))
@@ -34,7 +35,7 @@ def running_sum(values: Column) -> Column:
 
     def shifted(sums: Column) -> Column:
         totals = F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)))
-        return let(_appended_sums(totals), lambda ends: F.flatten(F.zip_with(sums, shifted_back(ends), lambda s, before: (
+        return let(running_sum(totals, levels - 1) if levels > 1 else _appended_sums(totals), lambda ends: F.flatten(F.zip_with(sums, shifted_back(ends), lambda s, before: (
             F.transform(s, lambda v: v + F.coalesce(before, F.lit(0)))))))
 
     return let(let(values, block_sums), shifted)

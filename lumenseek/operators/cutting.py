@@ -59,26 +59,36 @@ def lift_over_comments(points: Column, comments: Column) -> Column:
     Returns ``struct(line, label)`` sorted by line. Where several points end
     up on one line the lowest of them gives the label.
     """
-    runs = F.array_sort(F.array_distinct(comments))
-    # First line of every run of comment lines.
-    heads = F.transform(F.filter(F.zip_with(runs, shifted_back(runs), lambda c, b: F.struct(
-        c.alias("c"), (b.isNotNull() & (b == c - 1)).alias("inner"))), lambda x: ~x["inner"]), lambda x: x["c"])
-
-    def lift(known: Column) -> Column:
+    def lift(heads: Column) -> Column:
         def lifted(p: Column) -> Column:
-            above = p["line"] - 1
-            head = F.array_max(F.filter(known, lambda h: h <= above))
-            return F.struct(
-                F.when(F.array_contains(comments, above), head).otherwise(p["line"]).alias("line"),
-                p["line"].alias("origin"), p["label"].alias("label"))
+            head = F.when(p["line"] > 0, F.get(heads, p["line"] - 1))
+            return F.struct(F.coalesce(head, p["line"]).alias("line"), p["line"].alias("origin"), p["label"].alias("label"))
 
         return F.array_sort(F.transform(points, lifted))
 
-    moved = F.when(F.size(comments) > 0, let(heads, lift)).otherwise(F.transform(
+    moved = F.when(F.size(comments) > 0, let(let(F.array_sort(F.array_distinct(comments)), _run_heads), lift)).otherwise(F.transform(
         points, lambda p: F.struct(p["line"].alias("line"), p["line"].alias("origin"), p["label"].alias("label"))))
     return let(moved, _last_per_line)
 
 
+def _run_heads(lines: Column) -> Column:
+    """By line number: the first line of the run of comment lines it is in, else NULL.
+
+    One pass over sorted lines: gaps become NULLs, and a line's run is found by
+    the running number of runs.
+    """
+    pairs = F.zip_with(lines, shifted_back(lines), lambda c, b: F.struct(
+        c.alias("line"), (c - F.coalesce(b, F.lit(-1)) - 1).alias("gap"), (b.isNull() | (b != c - 1)).alias("opens")))
+
+    def spread_out(rows: Column) -> Column:
+        heads = F.transform(F.filter(rows, lambda r: r["opens"]), lambda r: r["line"])
+        numbers = running_sum(F.transform(rows, lambda r: r["opens"].cast("int")))
+        return let(heads, lambda known: F.flatten(F.zip_with(rows, numbers, lambda r, n: F.concat(
+            F.array_repeat(F.lit(None).cast("int"), r["gap"]), F.array(F.get(known, n - 1))))))
+
+    return let(pairs, spread_out)
+
+
 def _last_per_line(moved: Column) -> Column:
     pairs = F.zip_with(moved, shifted_on(moved), lambda p, n: F.struct(
         p["line"].alias("line"), p["label"].alias("label"),

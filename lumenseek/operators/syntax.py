@@ -27,8 +27,19 @@ _MARK = "\x01"  # stands for the start of a comment
 _BLOCK_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)"
 _STRINGS = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
 _TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-_REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,4})/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\n]*+\])[^/\\\[\n]*+)*+/[a-z]*"
-_SCRIPT_LEX = rf"//[^\n]*|{_BLOCK_COMMENT}|{_STRINGS}|{_TEMPLATE}|{_REGEX}|[^/\"'`]++|."
+
+
+def _nesting_template(inner: str) -> str:
+    """A template literal whose placeholders hold strings, one more pair of braces and ``inner`` templates."""
+    plain, item = r"[^`{}\"']*+", rf"(?:{_STRINGS}|{inner})"
+    braces = rf"\{{{plain}(?:{item}{plain})*+\}}"
+    placeholder = rf"\$\{{{plain}(?:(?:{item}|{braces}){plain})*+\}}"
+    return rf"`[^`\\$]*+(?:(?:\\[\s\S]|{placeholder}|\$(?!\{{))[^`\\$]*+)*+`"
+
+
+_TEMPLATES = rf"{_nesting_template(_nesting_template(_TEMPLATE))}|{_TEMPLATE}"
+_REGEX = r"(?<=(?:[(,=:\[!&|?{};]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|else|do|yield|await))\s{0,4})/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\n]*+\])[^/\\\[\n]*+)*+/[a-z]*"
+_SCRIPT_LEX = rf"//[^\n]*|{_BLOCK_COMMENT}|{_STRINGS}|{_TEMPLATES}|{_REGEX}|[^/\"'`]++|."
 _CSS_LEX = rf"{_BLOCK_COMMENT}|{_STRINGS}|[^/\"']++|."
 
 _FUNCTION_VALUE = (r"(?:async\s+)?(?:function\b(?!\s*\*)|\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*(?::[^=]+)?=>"
@@ -37,7 +48,7 @@ _MODIFIER = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstr
 _NOT_METHOD = r"(?!(?:if|for|while|switch|catch|return|function|new|await|throw|typeof)\b)"
 _NAME = r"(?:[\w$#]+|\"\"|\[[^\]]*\])"
 
-FUNCTION_DECLARATION = r"^(?:async\s+)?function\b"
+FUNCTION_DECLARATION = r"^(?:async\s+)?function\b(?!\s*\*)"
 FUNCTION_VARIABLE = rf"^(?:const|let|var)\s.*?=\s*{_FUNCTION_VALUE}"
 RETURNED_FUNCTION = rf"^return\s+{_FUNCTION_VALUE}"
 RETURNED_MARKUP = r"^return\s*(?:\((?!.*=>)|<)"
@@ -46,7 +57,7 @@ FUNCTION_FIELD = rf"^{_MODIFIER}{_NAME}\s*[?!]?(?::[^=]+)?=\s*{_FUNCTION_VALUE}"
 FUNCTION_PAIR = rf"^{_NAME}\s*:\s*{_FUNCTION_VALUE}"
 FUNCTION_ARGUMENT = r"^[\w$.\[\]]+\([^{}]*(?:=>|\bfunction\b)|^;?\((?:async\s+)?(?:function\b|\([^()]*\)\s*=>)"
 ASSIGNED_FUNCTION = rf"^[\w$.\[\]\"]+\s*=\s*{_FUNCTION_VALUE}"
-EXPORTED_FUNCTION = (rf"^export\s+(?:default\s+)?(?:(?:async\s+)?function\b|{_FUNCTION_VALUE}"
+EXPORTED_FUNCTION = (rf"^export\s+(?:default\s+)?(?:(?:async\s+)?function\b(?!\s*\*)|{_FUNCTION_VALUE}"
                      rf"|(?:const|let|var)\s.*?=\s*{_FUNCTION_VALUE})")
 
 # Start of a top statement -> its syntax labels, most specific first. The
@@ -123,16 +134,20 @@ def blanked(text: Column, language: Column) -> Column:
 
 def _only_script(lines: Column) -> Column:
     """A component's lines with everything outside its script blocks emptied."""
-    rows = F.sequence(F.lit(0), F.size(lines) - 1)
-    heads = F.filter(rows, lambda i: F.get(lines, i).rlike(r"^<script\b"))
-    tails = F.filter(rows, lambda i: F.startswith(F.get(lines, i), F.lit("</script")))
+    def opens(line: Column) -> Column:
+        return line.rlike(r"^<script\b").cast("int")
 
-    def inside(i: Column) -> Column:
-        opened = F.size(F.filter(heads, lambda h: h < i))
-        closed = F.size(F.filter(tails, lambda t: t <= i))
-        return opened > closed
+    def closes(line: Column) -> Column:
+        return F.contains(line, F.lit("</script")).cast("int")
 
-    return F.transform(rows, lambda i: F.when(inside(i), F.get(lines, i)).otherwise(""))
+    def code(line: Column, level: Column) -> Column:
+        # Code may stand on the line of a tag.
+        own = F.regexp_replace(F.regexp_replace(line, r"^<script\b[^>]*>", ""), r"</script[\s\S]*$", "")
+        return F.when(level - opens(line) + closes(line) > 0, F.when(closes(line) > 0, own).otherwise(line)).when(
+            opens(line) > 0, F.when(line.rlike("^<script\\b[^>]*>"), own).otherwise("")).otherwise("")
+
+    levels = running_sum(F.transform(lines, lambda line: opens(line) - closes(line)))
+    return F.zip_with(lines, levels, code)
 
 
 def _line_facts(lines: Column, after: Column) -> Column:
@@ -240,6 +255,13 @@ def _script_points(facts: Column, tops: Column, language: Column, compat: bool)
     return F.flatten(F.transform(stated, of_top))
 
 
+def _without_own_braces(tops: Column) -> Column:
+    """Top lines without a brace that opens the body of the statement above it."""
+    pairs = F.zip_with(tops, shifted_back(tops), lambda x, b: F.struct(x.alias("x"), F.coalesce(
+        (x["code"] == "{") & (b["after"] <= 0) & b["code"].rlike(r"[^;{}]$"), F.lit(False)).alias("opens")))
+    return F.transform(F.filter(pairs, lambda p: ~p["opens"]), lambda p: p["x"])
+
+
 def _css_points(tops: Column) -> Column:
     """A rule starts on the first line at bracket level 0 after the one before ended."""
     label = F.when(F.lit(False), F.lit(""))
@@ -275,6 +297,7 @@ def _scan_steps(compat: bool):
     steps.append(("_after", running_sum(F.transform("_blank", _balance))))
     steps.append(("_facts", _line_facts(F.col("_blank"), F.col("_after"))))
     steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & ((x["code"] != "") | (x["after"] > 0)))))
+    steps.append(("_tops", F.when(language == "css", F.col("_tops")).otherwise(_without_own_braces(F.col("_tops")))))
     script = _script_points(F.col("_facts"), F.col("_tops"), language, compat)
     if compat:
         script = F.transform(script, lambda p: _point(p["line"] - F.when(is_vue, 1).otherwise(0), p["label"]))

@@ -374,3 +374,51 @@ def test_every_filled_line_is_in_exactly_one_chunk(spark):
 def test_diagnostic_kinds(spark):
     row = top_level_kinds(scan_syntax(files(spark, ("f.ts", "ts", "import a\nclass B {}\n")))).first()
     assert [(k.line, k.kind) for k in row.kinds] == [(0, "import_statement"), (1, "class_declaration")]
+
+
+LABELLED = [
+    ("nested template", "const a = `x ${b ? `{` : ''} y`;\nfunction f() {\n}\nclass A {\n}\n", ["Variable", "Function", "Class"]),
+    ("template in a template", "const a = `a ${ `b ${ `c ${'}'}` } {` } d`;\nclass A {\n}\n", ["Variable", "Class"]),
+    ("regex after return", "function f(s) {\n  return /[{(]/.test(s);\n}\nfunction g() {\n}\nclass A {\n}\n",
+     ["Function", "Function", "Class"]),
+    ("regex after an arrow", "const f = s => /\\{/.test(s);\nfunction g() {\n}\nclass A {\n}\n", ["Function", "Function", "Class"]),
+    ("division", "const a = b / c;\nconst d = (e) / 2 / f;\nclass A {\n}\n", ["Variable", "Variable", "Class"]),
+    ("braces on their own lines", "class A\n{\n  run()\n  {\n  }\n}\nfunction f()\n{\n  function g() {\n  }\n}\n",
+     ["Class", "Function", "Function", "Function"]),
+    ("generator", "function* g() {\n}\nfunction f() {\n}\n", ["Function"]),
+]
+
+
+@pytest.mark.parametrize("name, code, labels", LABELLED, ids=[c[0] for c in LABELLED])
+def test_lexer_keeps_the_rest_of_the_file(spark, name, code, labels):
+    from lumenseek.operators.syntax import scan_syntax
+    df = spark.createDataFrame([("a.ts", "ts", code)], "file_path string, language string, text string")
+    assert [p.label for p in scan_syntax(df).first().points] == labels
+
+
+def test_script_on_one_line(spark):
+    from lumenseek.operators.syntax import scan_syntax
+    code = "<template>\n</template>\n<script>const a = 1;</script>\n<script setup>\nfunction f() {\n}\nlet b = 2;</script>\n<style>\n</style>\n"
+    df = spark.createDataFrame([("a.vue", "vue", code)], "file_path string, language string, text string")
+    found = sorted((p.line, p.label) for p in scan_syntax(df).first().points)
+    assert found == [(0, "Template"), (2, "Script"), (2, "Variable"), (3, "Script"), (4, "Function"), (6, "Variable"), (7, "Style")]
+
+
+def test_comment_lifting_is_linear(spark):
+    import time
+
+    from lumenseek.plans.chunking import chunk_files
+
+    def seconds(lines):
+        text = "".join(f"// note {i}\nconst v{i} = {i};\n" for i in range(lines))
+        df = spark.createDataFrame([("a.ts", "ts", text)], "file_path string, language string, text string")
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            chunk_files(df, timestamp=0).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(100)
+    small, large = seconds(2000), seconds(4000)
+    assert large <= 3 * small + 1, (small, large)
