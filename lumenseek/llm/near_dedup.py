@@ -7,14 +7,17 @@
    hashes are kept in the order in which the text has them; the hash of that
    sequence is the entry. Equal entries want the same shingles in the same
    order, so the chance follows edit similarity.
-3. *Candidates.* The members of an entry are compared with two pivots, its
-   smallest and its largest node, which are minima and maxima that combine in
-   the map tasks, and with its node of the most links so far. Entries whose members still belong to different classes take
-   the next two pivots, and so on, until their members are of one class or all
-   were pivots. So pairs grow with the members of a group, not its square. The
-   search ends when ``ROUNDS`` rounds are done, in which every entry of up to
-   2 * ``ROUNDS`` nodes has met all its pairs, and the last round joined no two
-   classes; ``exhaustive=True`` goes on until no pair of an entry is left.
+3. *Candidates.* The nodes that share an entry are compared with pivots, not with
+   each other: first each node with the smallest node of its entries, then, in
+   rounds, the nodes outside an entry's largest class with one node of that class
+   (in the first round the one with the most links) and with one node of the next
+   largest class. Entries whose nodes are of one class are done. Pivots are
+   aggregates that combine in the map tasks, and every node has a few tests per
+   entry and round, so pairs grow with the nodes of a group, not with their
+   square. Rounds go on, with other pivots, while at least ``YIELD`` of their
+   tests join two classes. A near pair may be left apart only if both its nodes
+   failed against all pivots of all the entries that they share; ``exhaustive=True``
+   compares all pairs of different classes that are left in an entry.
 4. *Verification.* Both shingle sequences are aligned inside a band: with M
    shingles aligned, similarity = M / (a + b - M), the ordered form of Jaccard.
    At 0.8 or more at most (a + b) / 9 shingles are unaligned, which is the width
@@ -43,7 +46,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: An entry of two texts of similarity 0.8 is equal with a chance of about 0.8 ** PICKED = 0.41, so 24
 #: entries miss such a pair with a chance of 3e-6; at similarity 0.2 an entry is equal with 0.002.
 ENTRIES, PICKED = 24, 4
-ROUNDS = 3
+#: The search for more links ends when a round links a smaller share of its tests.
+YIELD = 0.001
 _SEEDS = ta.mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _CELLS = 1 << 18
 
@@ -169,11 +173,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """Verified links of nodes, found entry by entry."""
+    """Classes of nodes, joined entry by entry."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
-        self.links = self.tested = self.labels = self.texts = None
+        self.labels = self.texts = None
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
         """Text of each of ``nodes(node)``, from the row that stands for it."""
@@ -182,67 +186,72 @@ class _Search:
         rows = rows.select("text", _identity().alias("same")).where("same is not null")
         return rows.join(wanted, "same").select("node", "text").dropDuplicates(["node"])
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Align ``pairs(a, b)``, a < b, that were not tested before; true if a link was found."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
-        if pairs.isEmpty():
-            return False
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Align ``pairs(a, b, class_a, class_b)`` of different classes and join the classes of near ones."""
+        near = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.groupBy(near.alias("p")).agg(F.first("class_a").alias("class_a"), F.first("class_b").alias("class_b"))
         left, right = (self.texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity_udf()("text_a", "text_b").alias("similarity"))
-        found = staged(scored.where(F.col("similarity") >= SIMILARITY), "near-found")
-        if found.isEmpty():
-            return False
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links)
-        return True
-
-    def classed(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        scored = staged(pairs.select("p.*", "class_a", "class_b").join(left, "a").join(right, "b").select(
+            "a", "b", "class_a", "class_b", similarity_udf()("text_a", "text_b").alias("similarity")), "near-tests")
+        found = scored.where(F.col("similarity") >= SIMILARITY)
+        if not found.isEmpty():
+            joined = components(found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+            old = joined.select("node", F.col("node").alias("class"))
+            if self.labels is not None:
+                old = self.labels.union(old.join(self.labels, "node", "left_anti"))
+            to = joined.select(F.col("node").alias("class"), F.col("class").alias("to"))
+            self.labels = staged(old.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class")), "near-labels")
+        return scored
+
+    def classed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the class of its column ``node``."""
         if self.labels is None:
-            return df.withColumn(name, F.col(node))
-        label = self.labels.select(F.col("node").alias(node), F.col("class").alias(name))
-        return df.join(label, node, "left").withColumn(name, F.coalesce(name, node))
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Ordered pairs without repeats whose nodes are of different classes so far."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return self.classed(self.classed(pairs, "a", "class_a"), "b", "class_b").where("class_a <> class_b").select("a", "b")
+            return df.withColumn("class", F.col("node"))
+        return df.join(self.labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    def entries(self, members: DataFrame, number: int, degree: DataFrame | None) -> DataFrame:
+        """Members of entries with several classes, with a pivot of the largest and one of the next largest class."""
+        state = self.classed(members)
+        weight = F.xxhash64("node", F.lit(number))
+        if degree is not None:
+            state, weight = state.join(degree, "node", "left"), F.coalesce("degree", F.lit(0))
+        own = state.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(weight.alias("w"), "node")).alias("top"))
+        ranked = F.struct("n", F.xxhash64("class", F.lit(number)).alias("w"), "class", F.col("top.node").alias("node"))
+        keys = (own.groupBy("key").agg(F.max(ranked).alias("one"), F.count(F.lit(1)).alias("classes"))
+                .where("classes > 1").select("key", "one"))
+        two = (own.join(keys, "key").where(F.col("class") != F.col("one.class"))
+               .groupBy("key", "one").agg(F.max(ranked).alias("two")))
+        return staged(state.select("key", "node", "class").join(two, "key"), "near-members")
 
     def run(self, members: DataFrame, exhaustive: bool) -> None:
         """Compare ``members(key, node)``."""
         pivots = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        open_ = staged(members.join(pivots, "key"), "near-members")
-        self.texts = staged(self.fetch(open_.select("node").distinct()), "near-texts")
-        # One test for each node joins most of every group.
-        self.verify(open_.where("node <> low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
-        if self.links is not None:  # then against the node of each entry that has the most links, which is central
-            ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            hubs = (open_.join(ends, "node").groupBy("key")
-                    .agg(F.max(F.struct("degree", F.col("node").alias("hub"))).alias("top")).select("key", F.col("top.hub").alias("b")))
-            self.verify(self.apart(open_.select("key", F.col("node").alias("a")).join(hubs, "key").select("a", "b")))
-        done, found = 0, True
-        while found or done < ROUNDS or exhaustive:
-            found = self.verify(self.apart(open_.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))))
-            done += 1
-            between = F.when((F.col("node") > F.col("low")) & (F.col("node") < F.col("high")), F.col("node"))
-            keys = (self.classed(open_, "node", "class").groupBy("key")
-                    .agg(F.min("class").alias("c0"), F.max("class").alias("c1"),
-                         F.min(between).alias("low"), F.max(between).alias("high"))
-                    .where("c0 <> c1 and low is not null").select("key", "low", "high"))
-            open_ = staged(open_.select("key", "node").join(keys, "key"), "near-members")
-            if open_.isEmpty():
-                return
-
-
-def near_classes(docs: DataFrame, exhaustive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, links) of ``docs(doc_id, text)``.
-
-    ``rows``: doc_id, same (identity of the text), class_id (smallest doc_id of
-    the class) and kept (identity and id of the row that stands for the class).
-    ``links``: similarity of pairs of nodes with different texts.
-    """
+        members = staged(members.join(pivots, "key").select("key", "node", "low"), "near-members")
+        self.texts = staged(self.fetch(members.select("node").distinct()), "near-texts")
+        first = members.where("node <> low").groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))
+        tests = self.verify(first.select("a", "b", F.col("a").alias("class_a"), F.col("b").alias("class_b")))
+        links = tests.where(F.col("similarity") >= SIMILARITY).select(F.explode(F.array("a", "b")).alias("node"))
+        degree, number = links.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), 0
+        members = members.select("key", "node")
+        while True:
+            open_ = self.entries(members, number, degree)
+            members, degree, number = open_.select("key", "node"), None, number + 1
+            outside = open_.where("class <> one.class")
+            pairs = outside.select(F.col("node").alias("a"), F.col("class").alias("class_a"),
+                                   F.explode(F.array("one", "two")).alias("p")).where("class_a <> p.class")
+            tests = self.verify(pairs.select("a", F.col("p.node").alias("b"), "class_a", F.col("p.class").alias("class_b")))
+            seen = tests.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("similarity") >= SIMILARITY, 1)).alias("near")).first()
+            if seen.near <= YIELD * seen.n:
+                break
+        if exhaustive:
+            rest = self.classed(members)
+            other = rest.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))
+            self.verify(rest.select("key", F.col("node").alias("a"), F.col("class").alias("class_a")).join(other, "key")
+                        .where("a < b and class_a <> class_b"))
+
+
+def near_classes(docs: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """``same`` (identity of a text), ``head`` (doc and same of the row that stands for its class) and ``class_size``."""
     ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = docs.select("doc_id", _identity().alias("same"), sketch_udf()("text").alias("sketch"))
@@ -251,16 +260,16 @@ def near_classes(docs: DataFrame, exhaustive: bool = False) -> tuple[DataFrame,
     nodes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     search = _Search(docs, nodes)
     search.run(nodes.select(F.explode("sketch").alias("key"), "node"), exhaustive)
-    classed = search.classed(nodes.select("node", "same", "doc", "copies"), "node", "class")
+    classed = search.classed(nodes.select("node", "same", "doc", "copies"))
     heads = classed.groupBy("class").agg(F.min(F.struct("doc", "same")).alias("head"), F.sum("copies").alias("class_size"))
     out = classed.join(heads, "class").select("same", "head", "class_size")
-    return staged(out, "near-classes"), search.links
+    return staged(out, "near-classes")
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``class_id``, ``class_size`` and ``stays`` (this text stands for its class) for every row."""
     ready(docs.sparkSession)
-    classes, _ = near_classes(docs)
+    classes = near_classes(docs)
     rows = docs.select("doc_id", _identity().alias("same"))
     return rows.join(classes, "same", "left").select(
         "doc_id", F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("head.doc")).alias("class_id"),
@@ -272,7 +281,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, one of each class: that with the smallest ``doc_id``; null texts all stay."""
     ready(docs.sparkSession)
-    classes, _ = near_classes(docs)
+    classes = near_classes(docs)
     heads = classes.select(F.col("head.doc").alias("__doc"), F.col("head.same").alias("__head")).distinct()
     marked = docs.withColumn("__same", _identity())
     kept = (marked.where("__same is not null")
