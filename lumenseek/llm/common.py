@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lumenseek.session import shared_folder, ship_package
 
 
+#: Most texts that a Python worker and its executor hold at a time; long ones are few.
+TEXTS_PER_BATCH = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,4 +46,8 @@ def bind(value: Column, use) -> Column:
 
 
 def ready(spark: SparkSession) -> None:
+    """Before Python runs in tasks: the package is there, and Arrow batches of whole texts stay small."""
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXTS_PER_BATCH:
+        spark.conf.set(rows, TEXTS_PER_BATCH)

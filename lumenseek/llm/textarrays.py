@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 #: Words are runs of 0-9, a-z and bytes from 0x80 after A-Z is lower-cased.
 _LOWER = np.arange(256, dtype=np.uint8)
