@@ -10,7 +10,7 @@ from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import grouping, ranking
 from lumenseek.operators.embedding import embed
 from lumenseek.providers.preparation import tokenize
-from lumenseek.session import spread
+from lumenseek.session import shared_folder, spread
 
 LIMIT = 20
 LOW_THRESHOLD = 0.1
@@ -24,8 +24,22 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*_SHOWN)
 
 
+#: Vectors of whole documents that this process has written, by application and tables.
+_written: dict[tuple[str, str], str] = {}
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``id`` and ``vector`` of all documents, embedded and written on the first use, like an index."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _written:
+        folder = shared_folder(spark, "hashed")
+        _hashed(spark, sf).select("id", "vector").write.parquet(folder)
+        _written[key] = folder
+    return spark.read.schema("id string, vector array<float>").parquet(_written[key])
+
+
 def vector_topk_default_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    found = ranking.vector_search(_hashed(spark, sf), t.query_vector("the and of to in is that"))
+    found = ranking.vector_search(_vectors(spark, sf), t.query_vector("the and of to in is that"))
     return found.select("rank", "id", "similarity", "score", "low_relevance")
 
 
@@ -52,13 +66,23 @@ def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("keyword_rank", "doc_id", "id", "type")
 
 
-def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The hybrid search on ids, paths and vectors; the vector side reads no text."""
     return ranking.hybrid_search(t.search_chunks(spark, sf), t.query_vector(t.QUERY_TEXT), t.KEYWORD, LIMIT,
-                                 LOW_THRESHOLD)
+                                 LOW_THRESHOLD, carry=["file_path"])
+
+
+def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Full rows of the hybrid search: the at most ``LIMIT`` hits are fetched by their ids."""
+    top = _ranked(spark, sf)
+    hits = top.collect()
+    ids = [int(h["id"].rsplit(":", 1)[1]) for h in hits]
+    rows = t.document_chunks(spark, sf).where(F.col("doc_id").isin(ids)).drop("doc_id")
+    return ranking.attach_rows(hits, top.schema, rows, repeats=False)
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf).select("rank", "id", "vector_rank", "keyword_rank", "rrf", "similarity", "score",
+    return _ranked(spark, sf).select("rank", "id", "vector_rank", "keyword_rank", "rrf", "similarity", "score",
                                      "low_relevance")
 
 

@@ -94,8 +94,11 @@ def expand_query_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Expansion parsing over plain JSON that has neither list: always empty."""
-    syn = tx.expansion_terms(F.col("props"), "synonyms")
+    """Expansion parsing of every event: a list of two, a text where a list should be, or JSON with neither."""
+    reply = (F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('{"synonyms": ["'), "event_type", F.lit('", "again"]}')))
+             .when(F.col("user_id") % 3 == 1, F.concat(F.lit('{"synonyms": "'), "event_type", F.lit('"}')))
+             .otherwise(F.col("props")))
+    syn = tx.expansion_terms(reply, "synonyms")
     return t.table(spark, sf, "events").groupBy("event_type").agg(
         F.sum(F.size(syn)).alias("terms"), F.count(F.lit(1)).alias("replies"))
 
@@ -198,6 +201,7 @@ ORACLES = {
       terms AS (SELECT conv_id, turn, text, {_sql_terms('synonyms')} AS synonyms, {_sql_terms('related')} AS related FROM checked)
       SELECT conv_id, turn, synonyms, related,
         array_to_string(list_concat([text], list_concat(synonyms, related)), ' ') AS expanded FROM terms""",
-    "event_replies": """SELECT event_type, sum(CASE WHEN json_type(props, '$.synonyms') = 'ARRAY' THEN 1 ELSE 0 END)::BIGINT AS terms,
+    "event_replies": """SELECT event_type, sum(CASE WHEN user_id % 3 = 0 THEN 2
+        WHEN user_id % 3 = 2 AND json_type(props, '$.synonyms') = 'ARRAY' THEN 1 ELSE 0 END)::BIGINT AS terms,
       count(*) AS replies FROM events GROUP BY event_type""",
 }

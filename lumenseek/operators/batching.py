@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lumenseek.session import ship_package
+from lumenseek.session import shared_folder
 
-MAX_SLICES = 4096
+#: Rows that one task numbers, on average.
+ROWS_PER_SLICE = 50_000
 
 
-def global_index(df: DataFrame, key: str, *, slices: int | None = None) -> DataFrame:
-    """0-based position of every row in the order of a unique numeric key.
+def global_index(df: DataFrame, key: str, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """0-based position of every row in the order of a unique key.
 
-    A window over the whole table would sort it in one task. Here the key
-    range is cut at approximate quantiles (at most ``MAX_SLICES``, so the
-    driver's share does not grow with the table), rows are counted per slice
-    and numbered inside their slice, and the slice's offset is added. Bounds
-    and offsets are literals: a task re-run after an executor loss sees the
-    same ones, and any bounds give the same numbers.
+    A window over the whole table would sort it in one task. Here rows are
+    range-partitioned by the key into slices, and written once to the shared
+    folder so that a task re-run sees the same slices. Rows are counted per
+    slice and numbered inside their slice, and the rows before the slice are
+    added; only the counts, one row per slice, meet in one task.
     """
-    ship_package(df.sparkSession)
-    slices = slices or min(max(df.sparkSession.sparkContext.defaultParallelism * 4, 16), MAX_SLICES)
-    bounds = sorted(set(df.approxQuantile(key, [i / slices for i in range(1, slices)], 0.25 / slices)))
-    edges = np.asarray(bounds, dtype=np.float64)
-
-    @F.arrow_udf("int")
-    def slice_of(keys: pa.Array) -> pa.Array:
-        values = keys.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(edges, values, side="left"), pa.int32())
-
-    sliced = df.withColumn("_slice", slice_of(F.col(key)))
-    counts = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
-    offsets = [0, *accumulate(counts.get(i, 0) for i in range(len(bounds)))]
-    starts = F.array(*[F.lit(o).cast("long") for o in offsets])
+    spark = df.sparkSession
+    slices = max(1, -(-df.count() // rows_per_slice))
+    folder = shared_folder(spark, "sliced")
+    df.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id()).write.parquet(folder)
+    sliced = spark.read.parquet(folder)
+    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_slice").orderBy(key)) - 1
-    return sliced.withColumn("position", F.element_at(starts, F.col("_slice") + 1) + inside).drop("_slice")
+    numbered = sliced.withColumn("_inside", inside).join(offsets, "_slice")
+    return numbered.withColumn("position", F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before")
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int = 32) -> DataFrame:

@@ -74,7 +74,8 @@ def attach_rows(hits: list, schema: T.StructType, rows: DataFrame, *, repeats: b
 
     The list has at most ``limit`` entries, which bounds what is broadcast.
     Where an index holds an id more than once, ``repeats`` decides whether
-    every stored row shows up, at consecutive ranks, or one of them.
+    every stored row shows up, at consecutive ranks, or one of them: the first
+    by its place in the file, then by time.
     """
     first: dict = {}
     for hit in sorted(hits, key=lambda h: h["rank"]):
@@ -82,7 +83,9 @@ def attach_rows(hits: list, schema: T.StructType, rows: DataFrame, *, repeats: b
     top = rows.sparkSession.createDataFrame(list(first.values()), schema).drop("file_path")
     joined = rows.drop("vector").join(F.broadcast(top), "id")
     if not repeats:
-        return joined.dropDuplicates(["id"])
+        place = [c for c in ("chunk_index_in_file", "timestamp") if c in joined.columns]
+        one = F.row_number().over(W.partitionBy("id").orderBy(*place, F.xxhash64("text")))
+        return joined.withColumn("_one", one).where("_one = 1").drop("_one")
     order = [F.asc("_rank"), F.asc("id"), F.asc("chunk_index_in_file")]
     joined = joined.withColumnRenamed("rank", "_rank").orderBy(*order).limit(len(hits))
     return _ranked(joined, "rank", *order).drop("_rank")

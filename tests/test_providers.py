@@ -275,7 +275,7 @@ def test_embedding_isolates_bad_texts_and_retries_them(spark):
 def test_global_index_with_gaps_and_skewed_keys(spark):
     keys = [1, 2, 3, 1000, 10 ** 12] + list(range(5000, 5200))
     df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(7)
-    got = {r.k: r.position for r in batching.global_index(df, "k", slices=5).collect()}
+    got = {r.k: r.position for r in batching.global_index(df, "k", rows_per_slice=40).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
