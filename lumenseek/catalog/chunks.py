@@ -143,6 +143,16 @@ def chunk_components(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_files(_components(spark, sf), timestamp=0).select(*_SHOWN)
 
 
+def chunk_css(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as style sheets."""
+    return chunk_files(t.source_files(spark, sf, "text", t.CSS_TEMPLATES, "css"), timestamp=0).select(*_SHOWN)
+
+
+def chunk_tsx(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as components with markup."""
+    return chunk_files(t.source_files(spark, sf, "text", t.TSX_TEMPLATES, "tsx"), timestamp=0).select(*_SHOWN)
+
+
 def top_node_kinds(spark: SparkSession, sf: str) -> DataFrame:
     kinds = top_level_kinds(scan_syntax(_files(spark, sf)))
     return kinds.select("file_path", F.explode_outer("kinds").alias("k")).where("k is not null").groupBy("k.kind").agg(
@@ -160,28 +170,34 @@ QUERIES = {f.__name__: f for f in (
     line_explode, fixed_chunks, breakpoint_chunks, split_large_chunks, syntax_points, import_grouping,
     comment_breakpoints, small_chunk_merge, chunk_overlap, chunk_metadata, consolidated, content_type_fallback,
     content_type_pages, chunk_source_code, chunk_source_code_compat, variable_merge, chunk_components,
-    top_node_kinds, unsupported_files)}
+    chunk_css, chunk_tsx, top_node_kinds, unsupported_files)}
 
 # -- SQL: known templates give known points, windows do the rest ---------------------------------
 
 _WS = fv.WS
 
 
-def _values() -> str:
+def _values(known: dict = t.CODE_POINTS) -> str:
     rows, seq = [], 0
-    for kind, points in t.CODE_POINTS.items():
+    for kind, points in known.items():
         for offset, label in points:
             rows.append(f"({kind}, {offset}, {seq}, '{label}')")
             seq += 1
     return ", ".join(rows)
 
 
-_TS_FILES = f"""{t.SQL_UNITS},
+def _sql_files(units: str, known: dict) -> str:
+    return f"""{units},
 files AS (SELECT doc_id, file_path, language, text FROM source_files),
-known(kind, off, seq, label) AS (VALUES {_values()}),
-pts AS (SELECT doc_id, start_row + off AS line, i * 10 + seq AS seq, label FROM units JOIN known USING (kind)),
+known(kind, off, seq, label) AS (VALUES {_values(known)}),
+pts AS (SELECT doc_id, start_row + off AS line, i * 100 + seq AS seq, label FROM units JOIN known USING (kind)),
 marks AS (SELECT doc_id, start_row AS line FROM units WHERE kind = {t.COMMENT_KIND})"""
 
+
+_TS_FILES = _sql_files(t.SQL_UNITS, t.CODE_POINTS)
+_CSS_FILES = _sql_files(t.sql_units(t.CSS_TEMPLATES, "css"), t.CSS_POINTS)
+_TSX_FILES = _sql_files(t.sql_units(t.TSX_TEMPLATES, "tsx"), t.TSX_POINTS)
+
 _OFFSET = HEAD.count("\n")
 _sql_text = "'" + HEAD.replace("\n", "' || chr(10) || '") + "' || text || '" + TAIL.replace("\n", "' || chr(10) || '") + "'"
 _VUE_FILES = f"""{t.SQL_UNITS},
@@ -190,7 +206,7 @@ files AS (SELECT doc_id, replace(file_path, '.ts', '.vue') AS file_path, 'vue' A
 known(kind, off, seq, label) AS (VALUES {_values()}),
 sizes AS (SELECT doc_id, len(string_split(text, chr(10))) AS nl FROM source_files),
 pts AS (
-  SELECT doc_id, start_row + off + {_OFFSET} AS line, i * 10 + seq AS seq, label FROM units JOIN known USING (kind)
+  SELECT doc_id, start_row + off + {_OFFSET} AS line, i * 100 + seq AS seq, label FROM units JOIN known USING (kind)
   WHERE label NOT IN ('Interface', 'Type Alias')
   UNION ALL SELECT doc_id, 0, -3, 'Template' FROM files
   UNION ALL SELECT doc_id, {_OFFSET - 1}, -2, 'Script' FROM files
@@ -339,6 +355,8 @@ ORACLES = {
     "chunk_source_code_compat": f"{sql_chunks(_TS_FILES, True)} SELECT * FROM chunk_rows",
     "variable_merge": f"{sql_chunks(_TS_FILES)} SELECT id, start_line, end_line, text FROM chunk_rows WHERE type = 'variable'",
     "chunk_components": f"{sql_chunks(_VUE_FILES)} SELECT * FROM chunk_rows",
+    "chunk_css": f"{sql_chunks(_CSS_FILES)} SELECT * FROM chunk_rows",
+    "chunk_tsx": f"{sql_chunks(_TSX_FILES)} SELECT * FROM chunk_rows",
     "top_node_kinds": f"""WITH {_TS_FILES}, k(label, kind) AS (VALUES {_KINDS})
       SELECT kind, count(*) AS nodes, count(DISTINCT doc_id) AS files FROM pts JOIN k USING (label) GROUP BY kind""",
     "unsupported_files": f"""WITH {t.SQL_DOCUMENT_CHUNKS}

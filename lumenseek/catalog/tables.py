@@ -116,17 +116,46 @@ CODE_TEMPLATES = [
     "interface V{i} {{\n  name: string;\n}}",
     'type V{i} = "{b}";',
     'run("{b}");',
+    'const v{i} = `x ${{b ? `{{` : "{b}"}} y`;',
+    "function v{i}(s) {{\n  return /[{{(]/.test(s);\n}}",
+    'class V{i}\n{{\n  run(a)\n  {{\n    return "{b}";\n  }}\n}}',
+    'function* v{i}() {{\n  yield "{b}";\n}}',
     "",
 ]
-BLANK_KIND = len(CODE_TEMPLATES) - 1
 #: Line kind -> syntax points as (line offset, label), in visit order.
 CODE_POINTS = {
     0: [(0, "Import")], 1: [(0, "Variable")], 2: [(0, "Function")],
     3: [(0, "Class"), (1, "Function")], 4: [(0, "Export"), (0, "Function")],
     6: [(0, "Export")], 7: [(0, "Interface")], 8: [(0, "Type Alias")],
+    10: [(0, "Variable")], 11: [(0, "Function")], 12: [(0, "Class"), (2, "Function")],
 }
 COMMENT_KIND = 5
 
+#: The same for style sheets and for components with markup.
+CSS_TEMPLATES = [
+    ".v{i} {{\n  color: red;\n}}",
+    "#v{i},\n.w{i} > a:hover {{ margin: 0; }}",
+    "@media (max-width: {i}px) {{\n  .v{i} {{\n    color: red;\n  }}\n}}",
+    "@keyframes v{i} {{\n  from {{ left: 0; }}\n}}",
+    '@import "{b}.css";',
+    "/* {b} */",
+    '.q{i}::after {{ content: "{{ {b}"; }}',
+    "",
+]
+CSS_POINTS = {0: [(0, "Rule")], 1: [(0, "Rule")], 2: [(0, "Media Query")], 3: [(0, "Keyframes")], 6: [(0, "Rule")]}
+TSX_TEMPLATES = [
+    'import {{ v{i} }} from "{b}";',
+    "function V{i}() {{\n  return (\n    <p>{b}</p>\n  );\n}}",
+    "const V{i} = (a: string) => {{\n  return a;\n}};",
+    "function W{i}() {{\n  return <b>{b}</b>;\n}}",
+    "interface P{i} {{\n  name: string;\n}}",
+    "// {b}",
+    "enum E{i} {{\n  A,\n}}",
+    "",
+]
+TSX_POINTS = {0: [(0, "Import")], 1: [(0, "Function"), (1, "JSX")], 2: [(0, "Function")], 3: [(0, "Function")],
+              4: [(0, "Interface")], 6: [(0, "Enum")]}
+
 
 def _parts(template: str) -> list[tuple[str, str]]:
     """Split a template into ('text'|'i'|'b', value) parts."""
@@ -140,16 +169,19 @@ def _parts(template: str) -> list[tuple[str, str]]:
     return out
 
 
-def source_files(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
-    """Every document as a .ts file, built line by line from its text."""
+def source_files(spark: SparkSession, sf_dir: str, text: str = "text", templates: list[str] = CODE_TEMPLATES,
+                 extension: str = "ts") -> DataFrame:
+    """Every document as a source file, built line by line from its text; the last template is for blank lines."""
+    blank = len(templates) - 1
+
     def facts(line: Column, i: Column) -> Column:
-        kind = F.when(line == "", BLANK_KIND).otherwise((F.length(line) * 7 + i * 3) % BLANK_KIND)
+        kind = F.when(line == "", blank).otherwise((F.length(line) * 7 + i * 3) % blank)
         return F.struct(kind.alias("kind"), i.cast("string").alias("i"),
                         F.regexp_replace(line, "[^A-Za-z ]", "").alias("b"))
 
     def unit(x: Column) -> Column:
         out = None
-        for k, template in enumerate(CODE_TEMPLATES):
+        for k, template in enumerate(templates):
             parts = [F.lit(v) if kind == "text" else x[kind] for kind, v in _parts(template)]
             made = F.concat(*parts) if parts else F.lit("")
             out = F.when(x["kind"] == k, made) if out is None else out.when(x["kind"] == k, made)
@@ -157,39 +189,44 @@ def source_files(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFr
 
     docs = spread(table(spark, sf_dir, "documents"))
     code = F.array_join(F.transform(F.transform(split_lines(F.col("text")), facts), unit), "\n")
-    path = F.concat(F.lit("/ws/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".ts"))
-    return docs.select("doc_id", path.alias("file_path"), F.lit("ts").alias("language"), code.alias(text))
+    path = F.concat(F.lit("/ws/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(f".{extension}"))
+    return docs.select("doc_id", path.alias("file_path"), F.lit(extension).alias("language"), code.alias(text))
 
 
-def _sql_unit() -> str:
+def _sql_unit(templates: list[str]) -> str:
     cases = []
-    for k, template in enumerate(CODE_TEMPLATES):
+    for k, template in enumerate(templates):
         parts = ["'" + v.replace("\n", "' || chr(10) || '") + "'" if t == "text" else
                  "i::VARCHAR" if t == "i" else "body" for t, v in _parts(template)]
         cases.append(f"WHEN {k} THEN {' || '.join(parts) or repr('')}")
     return "CASE kind " + " ".join(cases) + " END"
 
 
-#: units: one row per document line with its kind, code and place in the file.
-SQL_UNITS = f"""doc_lines AS (
+def sql_units(templates: list[str] = CODE_TEMPLATES, extension: str = "ts") -> str:
+    """units: one row per document line with its kind, code and place in the file; source_files."""
+    blank = len(templates) - 1
+    return f"""doc_lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS i
   FROM documents),
 kinds AS (
-  SELECT *, CASE WHEN line = '' THEN {BLANK_KIND} ELSE (length(line) * 7 + i * 3) % {BLANK_KIND} END AS kind,
+  SELECT *, CASE WHEN line = '' THEN {blank} ELSE (length(line) * 7 + i * 3) % {blank} END AS kind,
          regexp_replace(line, '[^A-Za-z ]', '', 'g') AS body
   FROM doc_lines),
-unit_code AS (SELECT *, {_sql_unit()} AS code FROM kinds),
+unit_code AS (SELECT *, {_sql_unit(templates)} AS code FROM kinds),
 units AS (
   SELECT *, len(string_split(code, chr(10))) AS n_lines,
          (sum(len(string_split(code, chr(10)))) OVER (PARTITION BY doc_id ORDER BY i)
           - len(string_split(code, chr(10))))::INTEGER AS start_row
   FROM unit_code),
 source_files AS (
-  SELECT doc_id, '/ws/' || any_value(source) || '/doc_' || doc_id || '.ts' AS file_path, 'ts' AS language,
+  SELECT doc_id, '/ws/' || any_value(source) || '/doc_' || doc_id || '.{extension}' AS file_path, '{extension}' AS language,
          string_agg(code, chr(10) ORDER BY i) AS text
   FROM units GROUP BY doc_id)"""
 
+
+SQL_UNITS = sql_units()
+
 # -- hashed vectors of whole document texts ------------------------------------------------
 
 
