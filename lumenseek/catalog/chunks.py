@@ -153,6 +153,17 @@ def chunk_tsx(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_files(t.source_files(spark, sf, "text", t.TSX_TEMPLATES, "tsx"), timestamp=0).select(*_SHOWN)
 
 
+OPTIONS_HEAD = "<script>\nexport default {\n  data() {\n    return {};\n  },\n  methods: {\n"
+OPTIONS_TAIL = "\n  },\n  mounted() {\n    go();\n  },\n};\n</script>\n"
+
+
+def chunk_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as components whose options object has a method for every line."""
+    files = t.source_files(spark, sf, "text", t.OPTION_TEMPLATES, "vue")
+    whole = files.withColumn("text", F.concat(F.lit(OPTIONS_HEAD), "text", F.lit(OPTIONS_TAIL)))
+    return chunk_files(whole, timestamp=0).select(*_SHOWN)
+
+
 def top_node_kinds(spark: SparkSession, sf: str) -> DataFrame:
     kinds = top_level_kinds(scan_syntax(_files(spark, sf)))
     return kinds.select("file_path", F.explode_outer("kinds").alias("k")).where("k is not null").groupBy("k.kind").agg(
@@ -170,7 +181,7 @@ QUERIES = {f.__name__: f for f in (
     line_explode, fixed_chunks, breakpoint_chunks, split_large_chunks, syntax_points, import_grouping,
     comment_breakpoints, small_chunk_merge, chunk_overlap, chunk_metadata, consolidated, content_type_fallback,
     content_type_pages, chunk_source_code, chunk_source_code_compat, variable_merge, chunk_components,
-    chunk_css, chunk_tsx, top_node_kinds, unsupported_files)}
+    chunk_css, chunk_tsx, chunk_options, top_node_kinds, unsupported_files)}
 
 # -- SQL: known templates give known points, windows do the rest ---------------------------------
 
@@ -213,6 +224,21 @@ pts AS (
   UNION ALL SELECT doc_id, {_OFFSET} + nl + 1, 1000000000, 'Style' FROM sizes),
 marks AS (SELECT doc_id, 3 AS line FROM files)"""
 
+_options_text = ("'" + OPTIONS_HEAD.replace("\n", "' || chr(10) || '") + "' || text || '"
+                 + OPTIONS_TAIL.replace("\n", "' || chr(10) || '") + "'")
+_OPTIONS_AT = OPTIONS_HEAD.count("\n")
+_OPTION_FILES = f"""{t.sql_units(t.OPTION_TEMPLATES, "vue")},
+files AS (SELECT doc_id, file_path, language, {_options_text} AS text FROM source_files),
+known(kind, off, seq, label) AS (VALUES {_values(t.OPTION_POINTS)}),
+sizes AS (SELECT doc_id, len(string_split(text, chr(10))) AS nl FROM source_files),
+pts AS (
+  SELECT doc_id, start_row + off + {_OPTIONS_AT} AS line, i * 100 + seq AS seq, label FROM units JOIN known USING (kind)
+  UNION ALL SELECT doc_id, 0, -3, 'Script' FROM files
+  UNION ALL SELECT doc_id, 1, -2, 'Export' FROM files
+  UNION ALL SELECT doc_id, 2, -1, 'Data Function' FROM files
+  UNION ALL SELECT doc_id, {_OPTIONS_AT} + nl + 1, 1000000000, 'Lifecycle Hook' FROM sizes),
+marks AS (SELECT doc_id, 0 AS line FROM files WHERE false)"""
+
 _STEPS = """flagged AS (
   SELECT *, label IN ('Import', 'Export') AS imp,
          coalesce(lag(label IN ('Import', 'Export')) OVER (PARTITION BY doc_id ORDER BY line, seq), false) AS pimp FROM pts),
@@ -357,6 +383,7 @@ ORACLES = {
     "chunk_components": f"{sql_chunks(_VUE_FILES)} SELECT * FROM chunk_rows",
     "chunk_css": f"{sql_chunks(_CSS_FILES)} SELECT * FROM chunk_rows",
     "chunk_tsx": f"{sql_chunks(_TSX_FILES)} SELECT * FROM chunk_rows",
+    "chunk_options": f"{sql_chunks(_OPTION_FILES)} SELECT * FROM chunk_rows",
     "top_node_kinds": f"""WITH {_TS_FILES}, k(label, kind) AS (VALUES {_KINDS})
       SELECT kind, count(*) AS nodes, count(DISTINCT doc_id) AS files FROM pts JOIN k USING (label) GROUP BY kind""",
     "unsupported_files": f"""WITH {t.SQL_DOCUMENT_CHUNKS}

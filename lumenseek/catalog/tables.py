@@ -155,6 +155,9 @@ TSX_TEMPLATES = [
 ]
 TSX_POINTS = {0: [(0, "Import")], 1: [(0, "Function"), (1, "JSX")], 2: [(0, "Function")], 3: [(0, "Function")],
               4: [(0, "Interface")], 6: [(0, "Enum")]}
+#: Methods of a component's options object.
+OPTION_TEMPLATES = ['    m{i}(a) {{\n      return "{b}";\n    }},', ""]
+OPTION_POINTS = {0: [(0, "Vue Methods Method")]}
 
 
 def _parts(template: str) -> list[tuple[str, str]]:
