@@ -41,7 +41,7 @@ def _pairs(text: Column) -> Column:
 def _syncmer(pairs: Column, first: Column, at: Column) -> Column:
     """32-bit hash of the k-mer that starts at a pair if it is a closed syncmer, else null."""
     return bind(F.get(pairs, at + 2), lambda last: F.when(
-        F.get(pairs, at + 1) >= F.least(first, last), F.shiftrightunsigned(F.xxhash64(first, last), 32)))
+        last.isNotNull() & (F.get(pairs, at + 1) >= F.least(first, last)), F.shiftrightunsigned(F.xxhash64(first, last), 32)))
 
 
 def anchors(text: Column) -> Column:
@@ -96,16 +96,18 @@ def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
     # The first row of each range: the largest id, and of those the smallest hash.
     firsts = rows.groupBy("range").agg(F.max(F.struct("key", F.bitwise_not("tie").alias("tie"))).alias("head")).collect()
     firsts.sort(key=lambda r: -r.range)
-    following = [(r.range, n.head.key, ~n.head.tie) for r, n in zip(firsts, firsts[1:] + firsts[:1])]
-    edges = docs.sparkSession.createDataFrame(following, "range int, key bigint, tie bigint")  # one row per range
-    fetched = (rows.drop("range").join(F.broadcast(edges), ["key", "tie"]).dropDuplicates(["range"])
-               .select("range", F.lit(True).alias("last"), "text"))
+    following = ";".join(f"{r.range},{n.head.key},{~n.head.tie}" for r, n in zip(firsts, firsts[1:] + firsts[:1]))
+    edges = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(following), ";")).alias("e"))  # one row per range
+    edges = edges.where("e <> ''").select(*[F.split("e", ",")[i].cast("bigint").alias(c) for i, c in enumerate(("to", "k", "t"))])
+    fetched = (rows.select("key", "tie", "text").join(F.broadcast(edges), F.expr("key = k and tie = t"))
+               .groupBy("to").agg(F.first("text").alias("text")))
     carried = ["text", *more]
-    fetched = fetched.withColumns(more).select("range", "last", *[F.col(c).alias(f"edge_{c}") for c in carried])
+    fetched = fetched.withColumns(more).select("to", *[F.col(c).alias(f"edge_{c}") for c in carried])
     order = Window.partitionBy("range").orderBy(F.desc("key"), "tie")
     placed = rows.repartition("range").withColumns(more)
     placed = placed.withColumns({**{f"next_{c}": F.lead(c).over(order) for c in carried}, "last": F.lead(F.lit(True)).over(order).isNull()})
-    out = placed.join(fetched, ["range", "last"], "left")
+    # Not equal by name: the optimizer would carry the formula of the range over to the other side, where it has no key.
+    out = placed.join(fetched, (F.col("range") == F.abs(F.col("to")).cast("int")) & F.col("last"), "left")
     return out.select("doc_id", *carried, *[F.coalesce(f"next_{c}", f"edge_{c}").alias(f"next_{c}") for c in carried])
 
 
