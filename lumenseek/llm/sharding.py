@@ -46,6 +46,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     # Range of the hash: its upper 31 bits scaled to the number of ranges of the source.
     ranged = rows.join(sources, "stratum").withColumn("range", F.shiftright(F.shiftright("h", 32) * F.ceil(
         F.col("different") / BUCKET_ROWS), 31))
+    # Else the windows would take the exchange of the join, and a hot source would be one task.
+    ranged = ranged.repartition("stratum", "range")
     counts = ranged.groupBy("stratum", "range").agg(F.sum("m").alias("n"))
     inside = Window.partitionBy("stratum", "range").orderBy("h", "doc_id", "size", "text_crc32")
     ranked = (ranged.withColumn("rank", F.sum("m").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
