@@ -87,8 +87,15 @@ def _plain_likeness(a, b):
     return len(set(a) & set(b) & set(union)) / len(union)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("rows", [512, 3])
-def test_fingerprints_equal_plain_ones(spark, monkeypatch, rows):
+def test_fingerprints_equal_plain_ones(spark, monkeypatch, no_broadcast, rows):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
     docs = edge_documents(spark).union(edge_documents(spark).where("doc_id > 3").selectExpr(
         "doc_id + 100", "concat(text, ' more words at the end')", "lang", "source", "n_chars", "score", "key", "found"))
