@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.functions.text import literal_map
-from lumenseek.operators.arrays import part, running_sum, shifted_back, shifted_on
+from lumenseek.operators.arrays import let, part, running_sum, shifted_back, shifted_on
 from lumenseek.session import apply_steps, cached_steps
 
 _MARK = "\x01"  # stands for the start of a comment
@@ -60,6 +60,10 @@ ASSIGNED_FUNCTION = rf"^[\w$.\[\]\"]+\s*=\s*{_FUNCTION_VALUE}"
 EXPORTED_FUNCTION = (rf"^export\s+(?:default\s+)?(?:(?:async\s+)?function\b(?!\s*\*)|{_FUNCTION_VALUE}"
                      rf"|(?:const|let|var)\s.*?=\s*{_FUNCTION_VALUE})")
 
+#: Starts in the first column that are not inside anything, as files are commonly laid out.
+FIRST_COLUMN = (r"^(?:import\b(?!\s*[.(])|export\b|(?:async\s+)?function\b|(?:abstract\s+)?class\b|interface\s|enum\s"
+                r"|declare\s)")
+
 # Start of a top statement -> its syntax labels, most specific first. The
 # typed rules only hold for ts and tsx.
 _TYPED, _ANY = ("ts", "tsx"), ("js", "jsx", "ts", "tsx", "vue")
@@ -161,6 +165,24 @@ def _balance(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[({\[]")) - F.regexp_count(line, F.lit(r"[)}\]]"))
 
 
+def _recovered(lines: Column, after: Column) -> Column:
+    """Levels that start again at declarations in the first column.
+
+    A literal that the lexer cannot tell from operators may leave a bracket
+    open; this keeps it from hiding the rest of the file.
+    """
+    before = F.transform(F.arrays_zip(lines.alias("line"), after.alias("after")), lambda x: let(
+        x["after"] - _balance(x["line"]), lambda level: F.when((level > 0) & x["line"].rlike(FIRST_COLUMN), level)))
+
+    def lowered(stuck: Column) -> Column:
+        resets = F.filter(stuck, lambda level: level.isNotNull())
+        passed = running_sum(F.transform(stuck, lambda level: level.isNotNull().cast("int")))
+        return F.when(F.exists(stuck, lambda level: level.isNotNull()), let(resets, lambda known: F.zip_with(
+            after, passed, lambda level, n: level - F.coalesce(F.get(known, n - 1), F.lit(0))))).otherwise(after)
+
+    return let(before, lowered)
+
+
 def _point(row: Column, label: Column) -> Column:
     return F.struct(row.alias("line"), label.alias("label"))
 
@@ -295,6 +317,7 @@ def _scan_steps(compat: bool):
     steps.append(("_code", F.when(is_vue, F.array_join(_only_script(F.col("lines")), "\n")).otherwise(F.col("text"))))
     steps.append(("_blank", F.split(blanked(F.col("_code"), language), "\n", -1)))
     steps.append(("_after", running_sum(F.transform("_blank", _balance))))
+    steps.append(("_after", F.when(language == "css", F.col("_after")).otherwise(_recovered(F.col("_blank"), F.col("_after")))))
     steps.append(("_facts", _line_facts(F.col("_blank"), F.col("_after"))))
     steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & ((x["code"] != "") | (x["after"] > 0)))))
     steps.append(("_tops", F.when(language == "css", F.col("_tops")).otherwise(_without_own_braces(F.col("_tops")))))

@@ -385,6 +385,8 @@ LABELLED = [
     ("division", "const a = b / c;\nconst d = (e) / 2 / f;\nclass A {\n}\n", ["Variable", "Variable", "Class"]),
     ("braces on their own lines", "class A\n{\n  run()\n  {\n  }\n}\nfunction f()\n{\n  function g() {\n  }\n}\n",
      ["Class", "Function", "Function", "Function"]),
+    ("unknown literal", "if (x) /{/.test(y);\nfunction f() {\n  return 1;\n}\nexport class A {\n  run() {\n  }\n}\n",
+     ["Function", "Export", "Function"]),
     ("generator", "function* g() {\n}\nfunction f() {\n}\n", ["Function"]),
 ]
 
