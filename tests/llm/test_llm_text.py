@@ -42,7 +42,8 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Sa
 @pytest.mark.parametrize("block", [1 << 20, 30])
 def test_decontamination_equals_sql(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    docs = [r[:2] for r in ROWS] + [(20, "zero One, two three four five six seven eight nine TEN eleven one two"), (21, "one")]
+    # The SQL copies a text's words for every window, so long texts are shorter here.
+    docs = [(r[0], r[1] and r[1][:3000]) for r in ROWS] + [(20, "zero One, two three four five six seven eight nine TEN eleven one two"), (21, "one")]
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     out = decontaminate.op9_decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), items)
     db = duckdb.connect()
@@ -54,6 +55,20 @@ def test_decontamination_equals_sql(spark, monkeypatch, block):
     assert got == sorted(map(str, db.execute(decontaminate.OP9_SQL).fetchall()))
 
 
+def test_decontamination_of_long_texts(spark):
+    items = spark.createDataFrame([(1, "thing3 word3"), (2, "word960 thing12 word961 thing0 word962 thing1 word963 thing2 word964 thing3 x")],
+                                  "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, LONG), (2, LONG + " thing3 word3")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in decontaminate.op9_decontaminate(docs, items).collect()}
+    found = words(LONG)
+    pairs = [i for i in range(len(found) - 1) if found[i:i + 2] == ["thing3", "word3"]]
+    window = words("word960 thing12 word961 thing0 word962 thing1 word963 thing2 word964 thing3")
+    hit = {j for i in pairs for j in (i, i + 1)}
+    hit |= {j for i in range(len(found) - 9) if found[i:i + 10] == window for j in range(i, i + 10)}
+    assert rows[1].n_words == len(found) == 60_000 and rows[1].n_hit == len(hit)
+    assert rows[2].n_words == len(found) + 2 and rows[2].n_hit == len(hit) + 2
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     out = decontaminate.op9_decontaminate(edge_documents(spark), none)
