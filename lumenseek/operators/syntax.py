@@ -171,8 +171,7 @@ def _recovered(lines: Column, after: Column) -> Column:
     A literal that the lexer cannot tell from operators may leave a bracket
     open; this keeps it from hiding the rest of the file.
     """
-    before = F.transform(F.arrays_zip(lines.alias("line"), after.alias("after")), lambda x: let(
-        x["after"] - _balance(x["line"]), lambda level: F.when((level > 0) & x["line"].rlike(FIRST_COLUMN), level)))
+    before = F.zip_with(lines, shifted_back(after), lambda line, level: F.when((level > 0) & line.rlike(FIRST_COLUMN), level))
 
     def lowered(stuck: Column) -> Column:
         resets = F.filter(stuck, lambda level: level.isNotNull())
