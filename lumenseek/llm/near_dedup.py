@@ -14,10 +14,14 @@
    largest class. Entries whose nodes are of one class are done. Pivots are
    aggregates that combine in the map tasks, and every node has a few tests per
    entry and round, so pairs grow with the nodes of a group, not with their
-   square. Rounds go on, with other pivots, while at least ``YIELD`` of their
-   tests join two classes. A near pair may be left apart only if both its nodes
-   failed against all pivots of all the entries that they share; ``exhaustive=True``
-   compares all pairs of different classes that are left in an entry.
+   square. Once a round joins few classes, the pairs that are left are searched
+   without pivots: all shingles have one order, rare ones first, and of two nodes
+   of similarity 0.8 the first aligned shingle is among the first fifth of both,
+   at nearly the same place of the text. Nodes of entries with several classes
+   are joined by the shingles of that fifth, which loses no pair, and each pair of
+   two classes is tested that has lengths and places to match and was not tested
+   before. ``exhaustive=True`` then compares all pairs of different classes that
+   share an entry; it is for tests.
 4. *Verification.* Both shingle sequences are aligned inside a band: with M
    shingles aligned, similarity = M / (a + b - M), the ordered form of Jaccard.
    At 0.8 or more at most (a + b) / 9 shingles are unaligned, which is the width
@@ -46,8 +50,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: An entry of two texts of similarity 0.8 is equal with a chance of about 0.8 ** PICKED = 0.41, so 24
 #: entries miss such a pair with a chance of 3e-6; at similarity 0.2 an entry is equal with 0.002.
 ENTRIES, PICKED = 24, 4
-#: The search for more links ends when a round links a smaller share of its tests.
+#: Pivots give way to the search by rare shingles when a round links a smaller share of its tests. This and
+#: the next two decide what the search costs, not what it finds.
 YIELD = 0.001
+#: Nodes whose shingles are counted to learn the frequent ones, and the most frequent ones known.
+COUNTED, FREQUENT = 20_000, 100_000
 _SEEDS = ta.mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _CELLS = 1 << 18
 
@@ -127,6 +134,44 @@ def sketch_udf():
     return F.arrow_udf(compute, "array<bigint>")
 
 
+def shingles_udf():
+    def compute(text: pa.Array) -> pa.Array:
+        return pa.array([shingle_codes(h).view(np.int64) for h in _each_text(text)], pa.list_(pa.int64()))
+    return F.arrow_udf(compute, "array<bigint>")
+
+
+def first_shingles(codes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first fifth of a text's shingles in the common order: by place in ``frequent`` (the others first), then by code.
+
+    ``frequent`` has two rows: codes in ascending order, and the place of each. With M >= 0.8 of the
+    shingles of a and b aligned, a - M of a and b - M of b are not, so the first aligned shingle comes
+    before place a - M + 1 and b - M + 1.
+    """
+    at = np.minimum(np.searchsorted(frequent[0], codes), max(len(frequent[0]) - 1, 0))
+    weight = np.where(frequent[0][at] == codes, frequent[1][at], 0) if len(frequent[0]) else np.zeros(len(codes), np.uint64)
+    most = len(codes) - int(np.ceil(SIMILARITY * len(codes) - 1e-9)) + 1
+    return np.lexsort((codes, weight))[:most]
+
+
+_FIRST = "code bigint, rank int, at int, size int"
+
+
+def first_udf(frequent: np.ndarray):
+    fields = [("code", pa.int64()), ("rank", pa.int32()), ("at", pa.int32()), ("size", pa.int32())]
+
+    def compute(text: pa.Array) -> pa.Array:
+        ends, columns = [0], ([], [], [], [])
+        for h in _each_text(text):
+            codes = shingle_codes(h)
+            at = first_shingles(codes, frequent) if len(codes) else np.zeros(0, np.int64)
+            for column, values in zip(columns, (codes[at].view(np.int64), np.arange(len(at)), at, np.full(len(at), len(codes)))):
+                column.append(values)
+            ends.append(ends[-1] + len(at))
+        flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), t) for c, (_, t) in zip(columns, fields)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=[n for n, _ in fields]))
+    return F.arrow_udf(compute, f"array<struct<{_FIRST.replace(' ', ':').replace(',:', ',')}>>")
+
+
 def words_udf():
     """128-bit hash of the word sequence; null for a text without words."""
     def compute(text: pa.Array) -> pa.Array:
@@ -177,7 +222,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
-        self.labels = self.texts = None
+        self.labels = self.texts = self.tested = None
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
         """Text of each of ``nodes(node)``, from the row that stands for it."""
@@ -193,6 +238,8 @@ class _Search:
         left, right = (self.texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         scored = staged(pairs.select("p.*", "class_a", "class_b").join(left, "a").join(right, "b").select(
             "a", "b", "class_a", "class_b", similarity_udf()("text_a", "text_b").alias("similarity")), "near-tests")
+        failed = scored.where(F.col("similarity") < SIMILARITY).select("a", "b")
+        self.tested = failed if self.tested is None else self.tested.union(failed)
         found = scored.where(F.col("similarity") >= SIMILARITY)
         if not found.isEmpty():
             joined = components(found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
@@ -223,6 +270,29 @@ class _Search:
                .groupBy("key", "one").agg(F.max(ranked).alias("two")))
         return staged(state.select("key", "node", "class").join(two, "key"), "near-members")
 
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Pairs of different classes among the nodes of ``members`` that may be near and were not tested."""
+        nodes = self.classed(members.select("node").distinct())
+        counted = self.texts.orderBy(F.xxhash64("node"), "node").select("node").limit(COUNTED)
+        counts = (self.texts.join(counted, "node").select(F.explode(shingles_udf()("text")).alias("code"))
+                  .groupBy("code").count().where("count > 2").orderBy(F.desc("count"), "code").limit(FREQUENT))
+        codes = np.array([r.code for r in counts.collect()][::-1], dtype=np.int64).view(np.uint64)
+        order = np.argsort(codes)
+        frequent = np.stack([codes[order], (order + 1).astype(np.uint64)])
+        firsts = (self.texts.join(nodes, "node").select("node", "class", F.explode(first_udf(frequent)("text")).alias("f"))
+                  .select("node", "class", "f.*"))
+        firsts = staged(firsts, "near-firsts")
+        left, right = (firsts.select("code", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "class", "rank", "at", "size")]) for s in "ab")
+        total, least = F.col("size_a") + F.col("size_b"), F.col("least")
+        pairs = left.join(right, "code").where("node_a < node_b and class_a <> class_b")
+        pairs = pairs.withColumn("least", F.lit(SIMILARITY / (1 + SIMILARITY)) * total - 1e-6)
+        pairs = pairs.where((F.least("size_a", "size_b") >= least) & (F.col("rank_a") <= F.col("size_a") - least)
+                            & (F.col("rank_b") <= F.col("size_b") - least)
+                            & (F.least("at_a", "at_b") + 1 + F.least(F.expr("size_a - at_a - 1"), F.expr("size_b - at_b - 1")) >= least))
+        pairs = (pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+                 .agg(F.first("class_a").alias("class_a"), F.first("class_b").alias("class_b")))
+        return pairs.join(self.tested.distinct(), ["a", "b"], "left_anti")
+
     def run(self, members: DataFrame, exhaustive: bool) -> None:
         """Compare ``members(key, node)``."""
         pivots = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -243,6 +313,7 @@ class _Search:
             seen = tests.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("similarity") >= SIMILARITY, 1)).alias("near")).first()
             if seen.near <= YIELD * seen.n:
                 break
+        self.verify(self.rest(members))
         if exhaustive:
             rest = self.classed(members)
             other = rest.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))

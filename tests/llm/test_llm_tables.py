@@ -169,6 +169,25 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def _around_a_passage():
+    """Three lots of texts that share most of a long passage and are too different to be near, but for one pair of each lot."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10 ** 8)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        passage = fresh(100)
+        texts += [passage + fresh(n) for n in [38] * 250 + [10, 10]]
+    rng.shuffle(texts)
+    return [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_pairs_in_crowded_entries(spark):
+    rows = _around_a_passage()
+    got = {r.doc_id: r.class_id for r in near_dedup.with_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = _plain_classes(rows)
+    assert got == want and len(rows) - len(set(want.values())) == 3
+
+
 def test_exhaustive_search_finds_all(spark):
     rows = _near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
