@@ -6,7 +6,8 @@
    each of ``ENTRIES`` seeds the ``PICKED`` labelled shingles with the smallest
    hashes are kept in the order in which the text has them; the hash of that
    sequence is the entry. Equal entries want the same shingles in the same
-   order, so the chance follows edit similarity.
+   order, so the chance follows edit similarity. Texts of few shingles have
+   entries of single shingles beside these.
 3. *Candidates.* The nodes that share an entry are compared with pivots, not with
    each other: first each node with the smallest node of its entries, then, in
    rounds, the nodes outside an entry's largest class with one node of that class
@@ -48,8 +49,11 @@ from lumenseek.llm.common import ready, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: An entry of two texts of similarity 0.8 is equal with a chance of about 0.8 ** PICKED = 0.41, so 24
-#: entries miss such a pair with a chance of 3e-6; at similarity 0.2 an entry is equal with 0.002.
+#: entries miss such a pair of long texts with a chance of 3e-6; at similarity 0.2 an entry is equal with 0.002.
+#: Few shingles are equal less often (four of five: 0.2), so texts of at most FEW shingles also have their first
+#: fifth by code as entries: near texts of at most FEW shingles always share one of those.
 ENTRIES, PICKED = 24, 4
+FEW = 64
 #: Pivots give way to the search by rare shingles when a round links a smaller share of its tests. This and
 #: the next two decide what the search costs, not what it finds.
 YIELD = 0.001
@@ -76,6 +80,11 @@ def shingle_codes(hashes: np.ndarray) -> np.ndarray:
     return np.where(number > 0, ta.mix(codes + number * np.uint64(0xD1B54A32D192ED03)), codes)
 
 
+def _fifth(size: int) -> int:
+    """Shingles of a text, in any common order, among which is the first that is aligned with a near text's."""
+    return size - int(np.ceil(SIMILARITY * size - 1e-9)) + 1
+
+
 def sketch(codes: np.ndarray) -> np.ndarray:
     """Order MinHash of one text's labelled shingles."""
     picked, step = min(PICKED, len(codes)), max(1, _CELLS // len(codes))
@@ -91,6 +100,8 @@ def sketch(codes: np.ndarray) -> np.ndarray:
         for column in codes[np.sort(where, axis=1)].T:
             value = value * np.uint64(0x9E3779B97F4A7C15) + column
         out.append(ta.mix(value))
+    if len(codes) <= FEW:
+        out.append(ta.mix(np.sort(codes)[:_fifth(len(codes))] + np.uint64(0xA0761D6478BD642F)))
     return np.concatenate(out)
 
 
@@ -149,8 +160,7 @@ def first_shingles(codes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray,
     """
     at = np.minimum(np.searchsorted(frequent[0], codes), max(len(frequent[0]) - 1, 0))
     weight = np.where(frequent[0][at] == codes, frequent[1][at], 0) if len(frequent[0]) else np.zeros(len(codes), np.uint64)
-    most = len(codes) - int(np.ceil(SIMILARITY * len(codes) - 1e-9)) + 1
-    return np.lexsort((codes, weight))[:most]
+    return np.lexsort((codes, weight))[:_fifth(len(codes))]
 
 
 _FIRST = "code bigint, rank int, at int, size int"

@@ -188,6 +188,14 @@ def test_near_pairs_in_crowded_entries(spark):
     assert got == want and len(rows) - len(set(want.values())) == 3
 
 
+def test_near_short_texts_share_an_entry():
+    import numpy as np
+    random_codes = np.random.RandomState(0)
+    for _ in range(2000):
+        codes = random_codes.randint(0, 2 ** 62, 5).astype(np.uint64)
+        assert set(near_dedup.sketch(codes).tolist()) & set(near_dedup.sketch(codes[:4]).tolist())
+
+
 def test_exhaustive_search_finds_all(spark):
     rows = _near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
