@@ -7,10 +7,9 @@ the same passage gives the same anchors wherever it stands, and an edit changes
 only the anchors of the k-mers it touches. About two thirds of all k-mers are
 anchors.
 
-The fingerprint is the set of the ``KEPT`` smallest anchor hashes (32 bits, eight
-hex digits each); a text with no more anchors than that has all of them. The
-likeness of two fingerprints is the estimate of the Jaccard similarity of their
-anchor sets, exact where both are whole.
+The fingerprint is the set of all anchor hashes (32 bits, eight hex digits each),
+however long the text. The likeness of two fingerprints is the Jaccard similarity
+of the two sets. Positions are given by ``anchors`` and play no part in either.
 
 Words are runs of letters and digits; an ideograph is a word of its own. A text
 without an anchor (fewer than four words, mostly) has one: the hash of the text.
@@ -24,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenseek.llm.common import bind
 
-KEPT = 128
+#: Hashes that a fingerprint may have: as many as an array can hold, so none is left out.
+KEPT = (1 << 31) - 1
 #: Rows of an id range, on average, and the most ranges; ranges grow beyond that.
 RANGE_ROWS, MAX_RANGES = 512, 20_000
 _SPLIT = r"[^\p{L}\p{N}]+|(?<=[\x{2E80}-\x{9FFF}])|(?=[\x{2E80}-\x{9FFF}])"
@@ -54,7 +54,7 @@ def codes(text: Column) -> Column:
     """The fingerprint as a sorted array of hashes."""
     found = bind(_pairs(text), lambda s: F.filter(F.transform(s, lambda x, i: _syncmer(s, x, i)), lambda c: c.isNotNull()))
     whole = F.array(F.shiftrightunsigned(F.xxhash64(text, F.lit("text")), 32))
-    return bind(found, lambda c: F.when(F.size(c) == 0, whole).otherwise(F.slice(F.sort_array(F.array_distinct(c)), 1, KEPT)))
+    return bind(found, lambda c: F.when(F.size(c) == 0, whole).otherwise(F.sort_array(F.array_distinct(c))))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -62,11 +62,8 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two anchor sets, estimated from the smallest hashes of their union."""
-    exact = (F.size(a) < KEPT) & (F.size(b) < KEPT)
-    return bind(F.sort_array(F.array_union(a, b)), lambda u: bind(
-        F.slice(u, 1, F.when(exact, F.size(u)).otherwise(F.least(F.size(u), F.lit(KEPT)))),
-        lambda low: F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low)))
+    """Jaccard similarity of two anchor sets without repeats."""
+    return bind(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:

@@ -127,6 +127,17 @@ def test_fingerprints_equal_plain_ones(spark, monkeypatch, no_broadcast, rows):
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+def test_fingerprints_of_long_texts_are_whole(spark):
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"{c}{i}" for i in range(2500)] + passage + [f"{c}{i}" for i in range(2500, 5000)]) for c in "ab"]
+    rows = fingerprints.op7_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    shared = set(_plain_codes(" ".join(passage)))
+    for r in rows:
+        found = {int(r.fingerprint[i:i + 8], 16) for i in range(0, len(r.fingerprint), 8)}
+        assert len(found) > 3000 and shared <= found
+        assert r.near_next >= len(shared) / (2 * len(found))
+
+
 def test_fingerprints_of_little(spark):
     assert fingerprints.op7_fingerprints(no_documents(spark)).count() == 0
     one = fingerprints.op7_fingerprints(edge_documents(spark).where("doc_id = 4")).collect()
