@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontaminate, fingerprints, language, mixing, near_dedup, quality, revisits, sharding, tokens, toxicity
+from lumenseek.llm import alignment, decontaminate, fingerprints, language, mixing, near_dedup, quality, revisits, sharding, tokens, toxicity
 from lumenseek.llm.common import table
 
 
-def _vocabulary() -> str:
-    """Path of the vocabulary whose tokens are counted."""
+def _file(name: str) -> str:
+    """Path of a vocabulary file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES = {
@@ -21,9 +21,11 @@ QUERIES = {
     "op5_language": lambda spark, sf: language.op5_language(table(spark, sf, "documents")),
     "op6_revisits": lambda spark, sf: revisits.op6_revisits(table(spark, sf, "pages")),
     "op7_fingerprints": lambda spark, sf: fingerprints.op7_fingerprints(table(spark, sf, "documents")),
-    "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), _vocabulary()),
+    "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), _file("word_bpe_49k.json")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op13_alignment": lambda spark, sf: alignment.op13_alignment(
+        spark, table(spark, sf, "documents"), _file("byte_bpe_50k.json"), _file("piece_bpe_32k.model")),
     "op10_quality": lambda spark, sf: quality.op10_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
 }
 
