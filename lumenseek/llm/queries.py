@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import (alignment, decontaminate, fingerprints, language, mixing, near_dedup, quality, revisits, sharding,
+from lumenseek.llm import (alignment, decontaminate, extraction, fingerprints, language, mixing, near_dedup, quality, revisits, sharding,
                            tokens, toxicity, variants)
 from lumenseek.llm.common import table
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_tokens": lambda spark, sf: tokens.op8_tokens(spark, table(spark, sf, "documents"), _file("word_bpe_49k.json")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op11_extraction": lambda spark, sf: extraction.op11_extraction(table(spark, sf, "pages")),
     "op12_variants": lambda spark, sf: variants.op12_variants(table(spark, sf, "documents")),
     "op13_alignment": lambda spark, sf: alignment.op13_alignment(
         spark, table(spark, sf, "documents"), _file("byte_bpe_50k.json"), _file("piece_bpe_32k.model")),
