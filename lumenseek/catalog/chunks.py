@@ -197,17 +197,18 @@ def _values(known: dict = t.CODE_POINTS) -> str:
     return ", ".join(rows)
 
 
-def _sql_files(units: str, known: dict) -> str:
+def _sql_files(units: str, known: dict, marks: dict) -> str:
     return f"""{units},
 files AS (SELECT doc_id, file_path, language, text FROM source_files),
 known(kind, off, seq, label) AS (VALUES {_values(known)}),
 pts AS (SELECT doc_id, start_row + off AS line, i * 100 + seq AS seq, label FROM units JOIN known USING (kind)),
-marks AS (SELECT doc_id, start_row AS line FROM units WHERE kind = {t.COMMENT_KIND})"""
+marked(kind, off) AS (VALUES {", ".join(f"({k}, {off})" for k, offsets in marks.items() for off in offsets)}),
+marks AS (SELECT doc_id, start_row + off AS line FROM units JOIN marked USING (kind))"""
 
 
-_TS_FILES = _sql_files(t.SQL_UNITS, t.CODE_POINTS)
-_CSS_FILES = _sql_files(t.sql_units(t.CSS_TEMPLATES, "css"), t.CSS_POINTS)
-_TSX_FILES = _sql_files(t.sql_units(t.TSX_TEMPLATES, "tsx"), t.TSX_POINTS)
+_TS_FILES = _sql_files(t.SQL_UNITS, t.CODE_POINTS, t.CODE_MARKS)
+_CSS_FILES = _sql_files(t.sql_units(t.CSS_TEMPLATES, "css"), t.CSS_POINTS, {t.COMMENT_KIND: [0]})
+_TSX_FILES = _sql_files(t.sql_units(t.TSX_TEMPLATES, "tsx"), t.TSX_POINTS, {t.COMMENT_KIND: [0]})
 
 _OFFSET = HEAD.count("\n")
 _sql_text = "'" + HEAD.replace("\n", "' || chr(10) || '") + "' || text || '" + TAIL.replace("\n", "' || chr(10) || '") + "'"

@@ -120,6 +120,9 @@ CODE_TEMPLATES = [
     "function v{i}(s) {{\n  return /[{{(]/.test(s);\n}}",
     'class V{i}\n{{\n  run(a)\n  {{\n    return "{b}";\n  }}\n}}',
     'function* v{i}() {{\n  yield "{b}";\n}}',
+    'const v{i} = "{b}"; function w{i}(a) {{ return a; }}',
+    'class V{i} {{ run(a) {{ return "{b}"; }} stop() {{}} }}',
+    '@Part({{\n  name: "{b}",\n}})\nclass V{i} {{\n  @Bound("{b}", [\n    1,\n  ])\n  run(a) {{\n  }}\n}}',
     "",
 ]
 #: Line kind -> syntax points as (line offset, label), in visit order.
@@ -128,8 +131,12 @@ CODE_POINTS = {
     3: [(0, "Class"), (1, "Function")], 4: [(0, "Export"), (0, "Function")],
     6: [(0, "Export")], 7: [(0, "Interface")], 8: [(0, "Type Alias")],
     10: [(0, "Variable")], 11: [(0, "Function")], 12: [(0, "Class"), (2, "Function")],
+    14: [(0, "Variable"), (0, "Function")], 15: [(0, "Class"), (0, "Function"), (0, "Function")],
+    16: [(3, "Class"), (7, "Function")],
 }
 COMMENT_KIND = 5
+#: Lines of comments and of decorators, which breakpoints are lifted over.
+CODE_MARKS = {COMMENT_KIND: [0], 16: [0, 1, 2, 4, 5, 6]}
 
 #: The same for style sheets and for components with markup.
 CSS_TEMPLATES = [
@@ -151,10 +158,13 @@ TSX_TEMPLATES = [
     "interface P{i} {{\n  name: string;\n}}",
     "// {b}",
     "enum E{i} {{\n  A,\n}}",
+    "const M{i} = <div>\n  <p>\n    {b}\n  </p>\n</div>;",
+    "const N{i} = (\n  <div>\n    <p>{b}</p>\n  </div>\n);",
     "",
 ]
 TSX_POINTS = {0: [(0, "Import")], 1: [(0, "Function"), (1, "JSX")], 2: [(0, "Function")], 3: [(0, "Function")],
-              4: [(0, "Interface")], 6: [(0, "Enum")]}
+              4: [(0, "Interface")], 6: [(0, "Enum")], 7: [(0, "Variable"), (0, "JSX"), (1, "JSX")],
+              8: [(0, "Variable"), (1, "JSX")]}
 #: Methods of a component's options object.
 OPTION_TEMPLATES = ['    m{i}(a) {{\n      return "{b}";\n    }},', ""]
 OPTION_POINTS = {0: [(0, "Vue Methods Method")]}

@@ -1,12 +1,15 @@
 """Syntax points of source files: what starts where, as array expressions.
 
-Two facts per line are enough to find the points: how deep in brackets it
-starts, and how its code begins. Comments and literals are blanked first, so
-neither is fooled by them. What a line that starts one bracket deep means
-depends on the statement around it (function body, class, object); the tables
-below say which of its starts are points, following the depth rule of the tool
-being replaced: every declaration at the top, only functions and JSX of three
-or more lines down to syntax depth 3.
+A file is a sequence of units: its lines, cut again where a statement ends or a
+block opens and more code follows on the same line. Two facts per unit are
+enough to find the points: how deep in brackets it starts, and how its code
+begins. Comments and literals are blanked first, so neither is fooled by them.
+What a unit that starts one bracket deep means depends on the statement around
+it (function body, class, object); the tables below say which of its starts are
+points, following the depth rule of the tool being replaced: every declaration
+at the top, only functions and JSX of three or more lines down to syntax depth
+3. In files that may hold markup a second level counts open elements, so markup
+over many lines stays one statement and its elements have a depth.
 
 Everything runs in the JVM on one row per file, without a shuffle.
 """
@@ -39,6 +42,35 @@ def _nesting_template(inner: str) -> str:
 
 _TEMPLATES = rf"{_nesting_template(_nesting_template(_TEMPLATE))}|{_TEMPLATE}"
 _REGEX = r"(?<=(?:[(,=:\[!&|?{};]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|else|do|yield|await))\s{0,4})/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\n]*+\])[^/\\\[\n]*+)*+/[a-z]*"
+_CUT = "\x02"  # stands where a line is cut into units
+
+def _balanced(depth: int) -> str:
+    """A pair of parentheses with pairs inside, so many deep."""
+    inner = rf"(?:{_balanced(depth - 1)}[^()]*+)*+" if depth > 1 else ""
+    return rf"\([^()]*+{inner}\)"
+
+
+#: A brace that opens a block, a class or an object that is assigned, with code behind it.
+_OPENS = (r"(?<=(?:[)\w$>\]]|=>?)\s{0,4})(?<!\b(?:import|export|const|let|var|from|return|type|of|in|case)\s{0,4})"
+          r"\{(?=\s*[^\s}])")
+#: A closing brace with the start of another statement or member behind it.
+_CLOSES = (r"\}(?=\s*(?!(?:else|catch|finally|while|from|as|satisfies|instanceof|in|of|extends|implements|with)\b)[A-Za-z_$@#])")
+_ENDS = r";(?=\s*[^\s;)])"
+_CUTS = rf"{_OPENS}|{_CLOSES}|{_ENDS}"
+_WHOLE_OR_CUT = rf"({_balanced(5)})|({_CUTS})"
+_CSS_CUTS = r"(?<=\})(?=\s*[^\s}])"
+
+_MARKUP_LANGUAGES = ("js", "jsx", "tsx")
+#: Tags as they begin in markup: not type arguments, which follow a name, nor type parameters.
+_TAG = r"(?<![\w$)\].])<(?:[A-Za-z][\w.:-]*(?=[\s/>]|$)(?!>\(|\s+extends\b)|>(?!\())"
+_TAG_ENDS = r"</|/>"
+# Start of a top statement that holds markup -> syntax depth of its outermost element.
+_BINDING = r"(?:const|let|var)\s[^()<]*=\s*"
+MARKUP_HEADS = [
+    (r"^(?:export\s+default\s*)?<[\w>]", 1), (rf"^{_BINDING}<[\w>]", 2), (rf"^{_BINDING}\($", 3),
+    (rf"^export\s+{_BINDING}<[\w>]", 3), (r"^[\w$.]+\((?:<[\w>].*)?$", 3),
+]
+
 _SCRIPT_LEX = rf"//[^\n]*|{_BLOCK_COMMENT}|{_STRINGS}|{_TEMPLATES}|{_REGEX}|[^/\"'`]++|."
 _CSS_LEX = rf"{_BLOCK_COMMENT}|{_STRINGS}|[^/\"']++|."
 
@@ -154,11 +186,35 @@ def _only_script(lines: Column) -> Column:
     return F.zip_with(lines, levels, code)
 
 
-def _line_facts(lines: Column, after: Column) -> Column:
-    """struct(row, before, after, code): bracket level around each line, and its code."""
-    return F.transform(F.arrays_zip(lines.alias("line"), after.alias("after")), lambda x, i: F.struct(
-        i.alias("row"), (x["after"] - _balance(x["line"])).alias("before"), x["after"].alias("after"),
-        F.btrim(x["line"], F.lit(f" \t\r{_MARK}")).alias("code")))
+def _units(lines: Column, language: Column) -> Column:
+    """struct(row, code): the lines, cut where another statement begins on the same line.
+
+    Only what follows a cut outside of balanced parentheses becomes a unit of
+    its own; it never starts in the first column.
+    """
+    def cut(line: Column) -> Column:
+        # A pair of parentheses is matched to be passed over, and marked as the cuts are; its mark goes again.
+        marked = F.regexp_replace(line, _WHOLE_OR_CUT, f"$1$2{_CUT}")
+        script = F.when(line.rlike(_CUTS), F.split(F.replace(marked, F.lit(f"){_CUT}"), F.lit(")")), _CUT)).otherwise(F.array(line))
+        return F.when(language == "css", F.when(line.rlike(_CSS_CUTS), F.split(F.regexp_replace(line, _CSS_CUTS, _CUT), _CUT))
+                      .otherwise(F.array(line))).otherwise(script)
+
+    return F.flatten(F.transform(lines, lambda line, row: F.transform(cut(line), lambda code, n: F.struct(
+        row.alias("row"), F.when(n > 0, F.concat(F.lit(" "), code)).otherwise(code).alias("code")))))
+
+
+def _tag_balance(code: Column) -> Column:
+    return F.regexp_count(code, F.lit(_TAG)) - F.regexp_count(code, F.lit(_TAG_ENDS))
+
+
+def _unit_facts(units: Column, after: Column, tags: Column) -> Column:
+    """struct(at, row, before, after, tags, code): a unit's place and line, the bracket level around it, open tags
+    before it and its code."""
+    joined = F.arrays_zip(units.alias("unit"), after.alias("after"), tags.alias("tags"))
+    return F.transform(joined, lambda x, at: F.struct(
+        at.alias("at"), x["unit"]["row"].alias("row"), (x["after"] - _balance(x["unit"]["code"])).alias("before"),
+        x["after"].alias("after"), F.coalesce(x["tags"], F.lit(0)).alias("tags"),
+        F.btrim(x["unit"]["code"], F.lit(f" \t\r{_MARK}")).alias("code")))
 
 
 def _balance(line: Column) -> Column:
@@ -212,25 +268,55 @@ def _surrounding(code: Column) -> Column:
 
 
 def _nested_points(top: Column, language: Column) -> Column:
-    """Points among the lines one bracket deep in a top statement."""
+    """Points among the units one bracket deep in a top statement."""
     around, body = top["around"], top["body"]
 
     def label(x: Column) -> Column:
         function = F.lit(False)
         for kind, patterns in NESTED_FUNCTIONS.items():
             function = function | ((around == kind) & x["head"].rlike(_any_of(patterns)))
-        last = F.get(F.filter(body, lambda y: (y["row"] >= x["row"]) & (y["after"] <= 1)), F.lit(0))["row"]
+        last = F.get(F.filter(x["own"], lambda y: y["after"] <= 1), F.lit(0))["row"]
         tall = (last - x["row"] + 1 >= fv.JSX_MIN_LINES) | x["code"].rlike(r"^return\s*<[^;]*[^;/]>$|^return\s*<\w+$")
         markup = (around.isin("body", "deep body") & (language != "vue") & x["code"].rlike(RETURNED_MARKUP) & tall)
         return F.when(markup, "JSX").when(function, "Function")
 
     level_one = F.filter(body, lambda x: (x["before"] == 1) & x["code"].rlike(r"^[\w$#*\[\"]"))
-    headed = F.transform(level_one, lambda x: F.struct(
-        x["row"].alias("row"), x["code"].alias("code"),
-        _header(x, F.filter(body, lambda y: y["row"] > x["row"])).alias("head")))
+    # Each with the units up to the next one.
+    spans = F.zip_with(level_one, shifted_on(level_one), lambda x, after: F.struct(x.alias("x"), part(
+        body, x["at"] - top["at"] - 1, F.coalesce(after["at"] - top["at"] - 1, F.size(body)) - (x["at"] - top["at"] - 1)).alias("own")))
+    headed = F.transform(spans, lambda s: F.struct(
+        s["x"]["row"].alias("row"), s["x"]["code"].alias("code"), s["own"].alias("own"),
+        _header(s["x"], F.filter(s["own"], lambda y: y["at"] > s["x"]["at"])).alias("head")))
     return F.filter(F.transform(headed, lambda x: _point(x["row"], label(x))), lambda p: p["label"].isNotNull())
 
 
+def _markup_points(top: Column) -> Column:
+    """JSX points of a top statement that is or holds markup: its elements of three or more lines down to depth 3.
+
+    An element counts where it begins a line, directly in the element around it.
+    """
+    depth = F.when(F.lit(False), F.lit(0))
+    for pattern, outermost in MARKUP_HEADS:
+        depth = depth.when(top["code"].rlike(pattern), outermost)
+
+    def found(d: Column) -> Column:
+        units = F.concat(F.array(F.struct(top["at"].alias("at"), top["row"].alias("row"), F.lit(0).alias("before"),
+                                          top["after"].alias("after"), top["tags"].alias("tags"),
+                                          F.regexp_replace(top["code"], r"^[^<]*(?=<[\w>])", "").alias("code"))), top["body"])
+        inside = F.when(top["code"].rlike(r"\((?:<[\w>].*)?$"), 1).otherwise(0)
+        starts = F.filter(units, lambda x: x["code"].rlike(r"^<[\w>]") & (d + x["tags"] - top["tags"] <= 3)
+                          & ((x["before"] == inside) | (x["at"] == top["at"])))
+
+        def tall(x: Column) -> Column:
+            end = F.get(F.filter(units, lambda y: (y["at"] >= x["at"]) & (y["tags"] + _tag_balance(y["code"]) <= x["tags"])), F.lit(0))
+            return end["row"] - x["row"] + 1 >= fv.JSX_MIN_LINES
+
+        return F.transform(F.filter(starts, tall), lambda x: _point(x["row"], F.lit("JSX")))
+
+    return F.when(depth.isNotNull() & ~top["code"].rlike(FUNCTION_VARIABLE), let(depth, found)).otherwise(
+        F.array().cast("array<struct<line:int,label:string>>"))
+
+
 def _option_points(body: Column) -> Column:
     """Points of a component's options object: hooks, data, nested functions, props, emits."""
     ones = F.filter(body, lambda x: x["before"] == 1)
@@ -242,8 +328,8 @@ def _option_points(body: Column) -> Column:
             method & (name == "data"), "Data Function").when(
             x["code"].rlike(r"^\w+\s*:"), F.element_at(literal_map(fv.OPTION_PAIRS), name))
         nested = F.element_at(literal_map(fv.NESTED_OPTIONS), name)
-        end = F.coalesce(after["row"], F.lit(2**31 - 1))
-        inner = F.filter(body, lambda y: (y["row"] > x["row"]) & (y["row"] < end) & (y["before"] == 2)
+        end = F.coalesce(after["at"], F.lit(2**31 - 1))
+        inner = F.filter(body, lambda y: (y["at"] > x["at"]) & (y["at"] < end) & (y["before"] == 2)
                          & y["code"].rlike(_any_of([METHOD, FUNCTION_PAIR])))
         return F.concat(
             F.filter(F.array(_point(x["row"], own)), lambda p: p["label"].isNotNull()),
@@ -261,17 +347,19 @@ def _script_points(facts: Column, tops: Column, language: Column, compat: bool)
     """
     nothing = F.array().cast("array<struct<line:int,label:string>>")
     spans = F.zip_with(tops, shifted_on(tops), lambda x, after: F.struct(
-        x.alias("x"), part(facts, x["row"] + 1, F.coalesce(after["row"], F.size(facts)) - x["row"] - 1).alias("body")))
+        x.alias("x"), part(facts, x["at"] + 1, F.coalesce(after["at"], F.size(facts)) - x["at"] - 1).alias("body")))
     stated = F.transform(spans, lambda s: F.struct(
-        s["x"]["row"].alias("row"), _header(s["x"], s["body"]).alias("head"), s["body"].alias("body"),
+        s["x"]["row"].alias("row"), s["x"]["at"].alias("at"), s["x"]["after"].alias("after"), s["x"]["tags"].alias("tags"),
+        s["x"]["code"].alias("code"), _header(s["x"], s["body"]).alias("head"), s["body"].alias("body"),
         F.when(F.size(s["body"]) > 0, _surrounding(s["x"]["code"])).otherwise("").alias("around")))
 
     def of_top(top: Column) -> Column:
         own = F.transform(_top_labels(top["head"], language), lambda label: _point(top["row"], label))
         nested = F.when(top["around"] != "", _nested_points(top, language)).otherwise(nothing)
         options = F.when((language == "vue") & (top["around"] == "options"), _option_points(top["body"])).otherwise(nothing)
+        markup = F.when(language.isin(*_MARKUP_LANGUAGES) & (F.size(top["body"]) > 0), _markup_points(top)).otherwise(nothing)
         # The first point of a line names it; compat lets plain functions shadow the hooks.
-        return F.concat(own, nested, options) if compat else F.concat(own, options, nested)
+        return F.concat(own, nested, options, markup) if compat else F.concat(own, options, nested, markup)
 
     return F.flatten(F.transform(stated, of_top))
 
@@ -283,6 +371,17 @@ def _without_own_braces(tops: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: ~p["opens"]), lambda p: p["x"])
 
 
+def _decorator_rows(facts: Column, level: int) -> Column:
+    """Lines of the decorators that start at a bracket level, up to what they stand above."""
+    starts = F.filter(facts, lambda x: (x["before"] <= level) & (x["code"] != ""))
+    pairs = F.zip_with(starts, shifted_on(starts), lambda x, after: F.struct(x.alias("x"), after.alias("after")))
+    # What stands on a decorator's own line after it is the decorated thing itself.
+    spans = F.filter(pairs, lambda p: (p["x"]["before"] == level) & (p["after"]["row"] > p["x"]["row"]) & (
+        p["x"]["code"].rlike(rf"^@[\w$.]+\s*(?:{_balanced(5)})?$")
+        | p["x"]["code"].rlike(r"^@[\w$.]+\s*\(") & (p["x"]["after"] > level)))
+    return F.flatten(F.transform(spans, lambda p: F.sequence(p["x"]["row"], p["after"]["row"] - 1)))
+
+
 def _css_points(tops: Column) -> Column:
     """A rule starts on the first line at bracket level 0 after the one before ended."""
     label = F.when(F.lit(False), F.lit(""))
@@ -315,10 +414,17 @@ def _scan_steps(compat: bool):
     steps = [("lines", F.split("text", "\n", -1))]
     steps.append(("_code", F.when(is_vue, F.array_join(_only_script(F.col("lines")), "\n")).otherwise(F.col("text"))))
     steps.append(("_blank", F.split(blanked(F.col("_code"), language), "\n", -1)))
-    steps.append(("_after", running_sum(F.transform("_blank", _balance))))
-    steps.append(("_after", F.when(language == "css", F.col("_after")).otherwise(_recovered(F.col("_blank"), F.col("_after")))))
-    steps.append(("_facts", _line_facts(F.col("_blank"), F.col("_after"))))
-    steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & ((x["code"] != "") | (x["after"] > 0)))))
+    steps.append(("_unit", _units(F.col("_blank"), language)))
+    codes = F.transform("_unit", lambda u: u["code"])
+    steps.append(("_after", running_sum(F.transform("_unit", lambda u: _balance(u["code"])))))
+    steps.append(("_after", F.when(language == "css", F.col("_after")).otherwise(_recovered(codes, F.col("_after")))))
+    # Open tags after each unit, then before it.
+    open_tags = _recovered(codes, running_sum(F.transform("_unit", lambda u: _tag_balance(u["code"]))))
+    steps.append(("_tags", F.when(language.isin(*_MARKUP_LANGUAGES) & F.exists("_unit", lambda u: u["code"].rlike(_TAG)),
+                                  shifted_back(open_tags)).otherwise(F.array().cast("array<int>"))))
+    steps.append(("_facts", _unit_facts(F.col("_unit"), F.col("_after"), F.col("_tags"))))
+    steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & (x["tags"] <= 0) & (
+        (x["code"] != "") | (x["after"] > 0)))))
     steps.append(("_tops", F.when(language == "css", F.col("_tops")).otherwise(_without_own_braces(F.col("_tops")))))
     script = _script_points(F.col("_facts"), F.col("_tops"), language, compat)
     if compat:
@@ -328,8 +434,10 @@ def _scan_steps(compat: bool):
     steps.append(("points", F.transform("_found", lambda p, i: F.struct(
         p["line"].alias("line"), i.alias("seq"), p["label"].alias("label")))))
     # Decorators belong to what they stand above, just as comments do.
-    rows = F.transform("_blank", lambda line, i: F.when(
-        F.contains(line, F.lit(_MARK)) | line.rlike(r"^\s*@[\w$.]+(\(.*\))?\s*$"), i))
+    noted = F.array_compact(F.transform("_blank", lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i)))
+    decorated = F.when((language != "css") & F.exists("_blank", lambda line: line.rlike(r"^\s*@")), F.concat(
+        _decorator_rows(F.col("_facts"), 0), _decorator_rows(F.col("_facts"), 1))).otherwise(F.array().cast("array<int>"))
+    rows = F.array_sort(F.array_union(noted, decorated))
     markup = F.transform("lines", lambda line, i: F.when(F.contains(line, F.lit("<!--")), i))
     steps.append(("comments", F.array_compact(F.when(is_vue, markup).otherwise(rows))))
     return steps
@@ -344,7 +452,7 @@ def scan_syntax(files: DataFrame, *, compat: bool = False) -> DataFrame:
     hooks named as plain functions.
     """
     staged = apply_steps(files, _scan_steps(compat))
-    return staged.drop("_code", "_blank", "_after", "_facts", "_tops", "_found")
+    return staged.drop("_code", "_blank", "_unit", "_after", "_tags", "_facts", "_tops", "_found")
 
 
 def top_level_kinds(scanned: DataFrame) -> DataFrame:

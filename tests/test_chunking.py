@@ -424,3 +424,52 @@ def test_comment_lifting_is_linear(spark):
     seconds(100)
     small, large = seconds(2000), seconds(4000)
     assert large <= 3 * small + 1, (small, large)
+
+
+UNITS = [
+    ("two statements", "ts", "const a = 1; function b() {}\n", [(0, "Variable"), (0, "Function")], []),
+    ("one-line class", "ts", "class A { run() { return 1; } stop() {} declared(a: number): void; }\n",
+     [(0, "Class"), (0, "Function"), (0, "Function")], []),
+    ("minified", "js", "describe('x', () => { it('y', () => { a(); b(); }); });function z(){return 1}class Q{m(){} n(){}}var k=function(){a()};",
+     [(0, "Function"), (0, "Function"), (0, "Class"), (0, "Function"), (0, "Function"), (0, "Function")], []),
+    ("headers and types", "ts", "for (let i = 0; i < n; i++) { go(); }\nif (a) { b(); } else { c(); }\nconst g = ({a, b}) => a; let x = {a: 1} as const;\n"
+     "type T = { a: string; b: number }; interface I { m(): void; n: string }\n",
+     [(2, "Function"), (2, "Variable"), (3, "Type Alias"), (3, "Interface")], []),
+    ("imports on a line", "ts", "import { a } from 'a'; import b from 'b'; export { c };\n", [(0, "Import"), (0, "Import"), (0, "Export")], []),
+    ("object on a line", "ts", "const o = { m() { return 1; }, n: 2 }; function f() { return () => 1; }\n",
+     [(0, "Variable"), (0, "Function"), (0, "Function"), (0, "Function")], []),
+    ("decorators", "ts", "@Component({\n  selector: 'x',\n  template: `\n<p>`,\n})\nexport class A {\n  @Input() a: string;\n  @HostListener('x', [\n"
+     "    'y',\n  ])\n  onX() {\n  }\n}\n@Injectable()\nclass B {}\n", [(5, "Export"), (10, "Function"), (14, "Class")],
+     [0, 1, 2, 3, 4, 7, 8, 9, 13]),
+    ("bound markup", "tsx", "const M = <div>\n  <p>\n    x\n  </p>\n</div>;\nfunction f() {}\n", [(0, "Variable"), (0, "JSX"), (1, "JSX"), (5, "Function")], []),
+    ("markup in parentheses", "tsx", "const N = (\n  <div>\n    <p>\n   a\n   </p>\n  </div>\n);\nclass Z {}\n", [(0, "Variable"), (1, "JSX"), (7, "Class")], []),
+    ("bare markup", "jsx", "<div>\n  <section>\n    <p>\n b\n </p>\n    <i/>\n  </section>\n</div>;\nlet a = 1;\n", [(0, "JSX"), (1, "JSX"), (2, "JSX"), (8, "Variable")], []),
+    ("markup as argument", "tsx", "root.render(\n  <App>\n    <X />\n  </App>\n);\nexport const E = <b>\n  {x && <i/>}\n</b>;\n", [(1, "JSX"), (5, "Export"), (5, "JSX")], []),
+    ("no markup", "tsx", "const id = <T,>(a: T) => a;\nconst m = new Map<string, A>();\nclass Z {}\n", [(0, "Function"), (1, "Variable"), (2, "Class")], []),
+    ("rules on a line", "css", ".a{b:c}.d{e:f} @media print{.x{y:z}.q{r:s}}.g{}\n.h {\n}\n",
+     [(0, "Rule"), (0, "Rule"), (0, "Media Query"), (0, "Rule"), (1, "Rule")], []),
+]
+
+
+@pytest.mark.parametrize("name, language, code, found, noted", UNITS, ids=[u[0] for u in UNITS])
+def test_statements_are_units_whatever_the_lines(points, name, language, code, found, noted):
+    assert points(code, language) == (found, noted)
+
+
+def test_decorators_over_lines_stay_with_their_class(chunks):
+    text = "const a = 1;\n@Part({\n  x: 1,\n})\nclass A {\n  @Bound([\n    1,\n  ])\n  run() {\n  }\n}\n"
+    assert chunks(text) == [(1, 1, "variable"), (2, 5, "class"), (6, 12, "function")]
+
+
+def test_long_lines_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        code = "".join(f"function f{i}(a){{return g((a)+(({i})))}}" for i in range(n))
+        start = time.perf_counter()
+        assert len(scan_syntax(files(spark, ("f", "js", code))).first().points) == n
+        return time.perf_counter() - start
+
+    seconds(10)
+    small, large = seconds(1000), seconds(2000)
+    assert large <= 3 * small + 1, (small, large)
