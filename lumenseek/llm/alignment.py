@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lumenseek.llm.common import ready, staged
 
 #: Segments a worker keeps, and their characters; beyond, it starts anew.
-CACHE, CACHE_CHARS = 400_000, 1 << 25
+CACHE, CACHE_CHARS = 200_000, 1 << 24
 #: Characters of text in a block of several documents.
 BLOCK_CHARS = 1 << 21
 _SHIFT = 32
@@ -48,8 +48,8 @@ _SHIFT = 32
 _segments = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+").findall
 
 BLOCKS = ("block string, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_links array<bigint>, "
-          "sha array<string>, doc_sizes array<int>, codes array<int>, seg_sizes array<int>, seg_links array<int>, "
-          "pairs array<bigint>, pair_n array<bigint>")
+          "sha array<string>, sizes array<int>, doc_pairs array<int>, doc_times array<int>, pairs array<bigint>, "
+          "pair_n array<bigint>")
 RESULT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
           "groups_sha256 string")
 
@@ -221,18 +221,18 @@ class Aligner:
             self.restart()
         of_doc = self.texts(texts)
         sizes = np.array(list(map(len, of_doc)), np.int64)
-        codes = np.concatenate(of_doc) if of_doc else np.zeros(0, np.int64)
+        codes = np.concatenate(of_doc)
         per_doc = [_sums(x.all()[codes], sizes) for x in (self.n_a, self.n_b, self.n_links)]
-        used, local = np.unique(codes, return_inverse=True)
-        times = np.bincount(local, minlength=len(used))
-        n, start = self.n_links.all()[used], self.link_from.all()[used]
+        n, start = self.n_links.all()[codes], self.link_from.all()[codes]
         flat = self.links.all()[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         pairs, of_link = np.unique(flat, return_inverse=True)
-        pair_n = np.bincount(of_link, weights=np.repeat(times, n), minlength=len(pairs)).astype(np.int64)
+        # The distinct pairs of each document and how often it has them.
+        held, times = np.unique(np.repeat(np.arange(len(texts)), per_doc[2]) * len(pairs) + of_link, return_counts=True)
+        doc, pair = np.divmod(held, max(len(pairs), 1))
         sha = [hashlib.sha256(self.groups(x)).hexdigest() if len(x) else "" for x in of_doc]
         return {"block": uuid.uuid4().hex, "doc_id": doc_ids, "n_a": per_doc[0], "n_b": per_doc[1], "n_links": per_doc[2],
-                "sha": sha, "doc_sizes": sizes, "codes": local, "seg_sizes": n, "seg_links": of_link,
-                "pairs": pairs, "pair_n": pair_n}
+                "sha": sha, "sizes": np.bincount(doc, minlength=len(texts)), "doc_pairs": pair, "doc_times": times,
+                "pairs": pairs, "pair_n": np.bincount(of_link, minlength=len(pairs))}
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -253,12 +253,11 @@ def _aligner(key: str, definition, model) -> Aligner:
 
 
 _TYPES = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "sha": pa.string(),
-          "doc_sizes": pa.int32(), "codes": pa.int32(), "seg_sizes": pa.int32(), "seg_links": pa.int32(),
-          "pairs": pa.int64(), "pair_n": pa.int64()}
+          "sizes": pa.int32(), "doc_pairs": pa.int32(), "doc_times": pa.int32(), "pairs": pa.int64(), "pair_n": pa.int64()}
 
 
 def aligned_blocks(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row per block of documents: per document its figures and segments, per segment its links, the pairs of ids."""
+    """One row per block of documents: the figures and distinct pairs of each, and those of all."""
     ready(spark)
     with open(path_a, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
@@ -299,10 +298,8 @@ def _answered(batches):
         for row in range(len(batch)):
             x = {name: batch.column(name)[row].values for name in batch.schema.names if name != "block"}
             get = lambda k: x[k].to_numpy(zero_copy_only=False) if x[k] is not None else np.zeros(0, np.int64)
-            links, sizes = get("seg_links"), get("doc_sizes").astype(np.int64)
-            of_segment = get("seg_sizes").astype(np.int64)
-            codes = get("codes")
-            out = [_sums(_sums(get(k).astype(np.int64)[links], of_segment)[codes], sizes) for k in ("best", "total")]
+            pairs, times, sizes = get("doc_pairs"), get("doc_times").astype(np.int64), get("sizes").astype(np.int64)
+            out = [_sums(get(k).astype(np.int64)[pairs] * times, sizes) for k in ("best", "total")]
             yield pa.RecordBatch.from_arrays(
                 [x["doc_id"], x["n_a"], x["n_b"], x["n_links"], x["n_links"], pa.array(out[0]), pa.array(out[1]), x["sha"]],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
