@@ -6,17 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenseek.catalog import tables as t
 from lumenseek.catalog.chunks import _TS_FILES, sql_chunks
+from lumenseek.catalog.text import sql_trim
+from lumenseek.config import Settings
 from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import batching, reports
-from lumenseek.plans.chunking import chunk_files
-from lumenseek.plans.indexing import run_errors
+from lumenseek.plans.chunking import chunk_files, fallback_chunks
+from lumenseek.plans.indexing import build_index, run_errors
 from lumenseek.providers.embedding import HashProvider
 from lumenseek.session import shared_folder
+from lumenseek.sources import files as fs
 from lumenseek.sources.chunk_store import ChunkStore, index_stats as stats_of, valid_rows
 from lumenseek.streaming import change_feed as feed
 
 FAILED_LABEL = 3
 BATCH = 32
+PIECE_LINES = 10
+#: A provider in trouble cannot embed chunks of this file.
+HARD_FILE = "doc_7.ts"
+
+
+class FailingProvider(HashProvider):
+    """Raises for every request that holds a hard text, so that its texts are tried one by one."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        # Identifiers reach a provider in parts.
+        if any(f" {HARD_FILE.replace('_', ' ')} " in text for text in texts):
+            raise RuntimeError("hard text")
+        return super().embed(texts)
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +71,30 @@ def index_errors(spark: SparkSession, sf: str) -> DataFrame:
     return run_errors(sources, embedded)
 
 
+def isolated_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole build in which chunking raises for the largest files and the provider for some texts.
+
+    The errors it leaves, and how many files are in the index all the same.
+    """
+    docs = t.table(spark, sf, "documents")
+    files = docs.select(F.concat(F.lit("/ws/doc_"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_path"), "text")
+    largest = files.agg(F.max(F.length("text"))).first()[0]
+    path = F.col("file_path")
+
+    def chunker(sources: DataFrame) -> DataFrame:
+        bad = F.when(F.length("text") == largest, F.raise_error(F.lit("no way to chunk this"))).otherwise(F.col("text"))
+        return fallback_chunks(sources.withColumn("text", bad), PIECE_LINES)
+
+    store = ChunkStore(spark, shared_folder(spark, "store"), buckets=8)
+    settings = Settings(max_file_size=1048576, embedding_provider="hash")
+    build_index(spark, fs.files_from_table(files, "file_path", "text"), store, FailingProvider(t.DIMENSIONS), settings,
+                chunker=chunker, tries=1)
+    indexed = store.read().select("file_path").distinct().groupBy().count()
+    return store.errors().select(path, "stage", "error").unionByName(
+        indexed.select(F.lit(None).cast("string").alias("file_path"), F.lit("indexed").alias("stage"),
+                       F.col("count").cast("string").alias("error")))
+
+
 def embedding_counts(spark: SparkSession, sf: str) -> DataFrame:
     return batching.embedding_counts(_embedded(spark, sf))
 
@@ -177,7 +217,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     type_histogram, chunk_averages, index_stats, index_report, index_errors, embedding_counts, valid_chunks, failed_chunks,
-    merge_retry, wrong_dimensions, batch_assignment, progress, insert_chunks, delete_file, upsert_file,
+    merge_retry, isolated_errors, wrong_dimensions, batch_assignment, progress, insert_chunks, delete_file, upsert_file,
     latest_change_per_file, stream_upsert)}
 
 # -- SQL --------------------------------------------------------------------------------------
@@ -209,6 +249,15 @@ ORACLES = {
       SELECT file_path, 'chunking' AS stage, 'Failed to chunk ' || file_path || ': Unsupported file extension: fr' AS error
       FROM document_chunks WHERE language = 'fr'
       UNION ALL SELECT file_path, 'embedding', 'Failed to embed ' || id || ': empty vector' FROM embedded WHERE len(vector) = 0""",
+    "isolated_errors": f"""WITH source_files AS (SELECT '/ws/doc_' || doc_id || '.ts' AS file_path, text FROM documents WHERE text <> ''),
+      big AS (SELECT file_path FROM source_files WHERE length(text) = (SELECT max(length(text)) FROM source_files)),
+      l AS (SELECT file_path, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line
+            FROM source_files WHERE file_path NOT IN (SELECT file_path FROM big)),
+      good AS (SELECT file_path, file_path || ':' || (min(i) + 1) || '-' || (max(i) + 1) AS id FROM l
+               GROUP BY file_path, i // {PIECE_LINES} HAVING bool_or({sql_trim('line')} <> ''))
+      SELECT file_path, 'chunking' AS stage, 'Failed to chunk ' || file_path || ': no way to chunk this' AS error FROM big
+      UNION ALL SELECT file_path, 'embedding', 'Failed to embed ' || id || ': hard text' FROM good WHERE ends_with(file_path, '/{HARD_FILE}')
+      UNION ALL SELECT NULL, 'indexed', count(DISTINCT file_path)::VARCHAR FROM good WHERE NOT ends_with(file_path, '/{HARD_FILE}')""",
     "embedding_counts": f"""WITH {_EMBEDDED} SELECT count(*) FILTER (len(vector) > 0) AS success_count,
       count(*) FILTER (len(vector) = 0) AS failure_count FROM embedded""",
     "valid_chunks": f"WITH {_EMBEDDED} SELECT id, vector FROM embedded WHERE len(vector) > 0",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.catalog import tables as t
+from lumenseek.config import Settings
 from lumenseek.functions import paths as p
-from lumenseek.sources import files as fs
+from lumenseek.session import shared_folder
+from lumenseek.sources import files as fs, listing
 
 MAX_SIZE = 4096
 GLOBS = ("**/en/**", "**/*.html", "**/de/*", "**/?r/1*", "**/m.*/**")
@@ -66,8 +71,45 @@ def relative_paths(spark: SparkSession, sf: str) -> DataFrame:
         "file_path", p.relative_path(path, "/ws/src1").alias("web"), p.display_path(path, "/ws/src1").alias("tree"))
 
 
+LANGUAGES = ("en", "de", "fr", "es")
+
+
+def _written(spark: SparkSession, sf: str) -> str:
+    """Every document as a file on disk: short ones empty, some hidden, some in a folder that scans exclude."""
+    root = shared_folder(spark, "tree")
+    part = F.when(F.col("doc_id") % 10 == 3, "/node_modules/pkg").when(F.col("doc_id") % 10 == 5, "/.cache").when(
+        F.col("doc_id") % 10 == 7, "/deep/er").otherwise("")
+    path = F.concat("source", part, F.lit("/"), F.when(F.col("doc_id") % 10 == 9, ".").otherwise(""), F.lit("doc_"),
+                    F.col("doc_id").cast("string"), F.lit("."), "lang")
+    text = F.when(F.length("text") < 20, "").otherwise(F.col("text"))
+    folder = listing.local_path(root)
+
+    def write(batches):
+        for batch in batches:
+            for name, body in zip(*(c.to_pylist() for c in batch.columns)):
+                target = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    os.makedirs(folder, exist_ok=True)
+    t.table(spark, sf, "documents").select(path.alias("name"), text.alias("body")).where("name IS NOT NULL AND body IS NOT NULL").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
+def folder_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A real folder scanned: per reason, and for what is kept, the files, their bytes and the bytes of their decoded text."""
+    files = listing.scan_folder(spark, _written(spark, sf), Settings(supported_languages=LANGUAGES))
+    texts = fs.decoded(fs.indexable(files, MAX_SIZE)).select(F.octet_length("text").cast("bigint").alias("read"))
+    reasons = fs.with_skip_reason(files, MAX_SIZE).groupBy("skip_reason").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    read = texts.agg(F.coalesce(F.sum("read"), F.lit(0)).alias("bytes_read"))
+    return reasons.select("*", F.when(F.col("skip_reason").isNull(), F.lit(read.first().bytes_read)).alias("bytes_read"))
+
+
 QUERIES = {f.__name__: f for f in (
-    file_scan_report, scan_skip_reasons, scan_indexable, scan_summary, glob_exclude, extension_of, basename,
+    file_scan_report, folder_scan, scan_skip_reasons, scan_indexable, scan_summary, glob_exclude, extension_of, basename,
     relative_paths)}
 
 # -- SQL -------------------------------------------------------------------------------
@@ -99,6 +141,11 @@ ORACLES = {
              coalesce(sum(size) FILTER (size BETWEEN 1 AND {MAX_SIZE}), 0)::BIGINT AS total_size,
              count(*) FILTER (size = 0 OR size > {MAX_SIZE}) AS skipped_files FROM files)
       SELECT *, {sql_bytes('total_size')} AS total_text FROM s""",
+    "folder_scan": f"""WITH files AS (
+      SELECT CASE WHEN length(text) < 20 THEN 0 ELSE strlen(text) END AS size FROM documents
+      WHERE doc_id % 10 NOT IN (3, 5, 9) AND lang IN ({", ".join(f"'{x}'" for x in LANGUAGES)})),
+      s AS (SELECT {_REASON} AS skip_reason, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1)
+      SELECT *, CASE WHEN skip_reason IS NULL THEN bytes END AS bytes_read FROM s""",
     "scan_skip_reasons": f"WITH {_REASONS} SELECT skip_reason, n AS files FROM reasons WHERE skip_reason IS NOT NULL",
     "scan_indexable": f"""WITH {_FILES} SELECT file_path, size::BIGINT AS size, {sql_bytes('size')} AS size_text FROM files
       WHERE size BETWEEN 1 AND {MAX_SIZE}""",

@@ -16,7 +16,7 @@ from lumenseek.providers import health
 from lumenseek.providers.embedding import EmbeddingProvider, create_provider
 from lumenseek.providers.expansion import QueryExpander, create_expander
 from lumenseek.providers.preparation import trim
-from lumenseek.sources import files as fs
+from lumenseek.sources import files as fs, listing
 from lumenseek.sources.chunk_store import ChunkStore, IndexStats
 from lumenseek.streaming.change_feed import apply_changes
 
@@ -59,7 +59,13 @@ class CodeSearch:
 
     # -- index ------------------------------------------------------------------------------
     def index_folder(self, root: str, **options) -> IndexReport:
-        return self.index(fs.list_files(self.spark, root, self.settings), **options)
+        return self.index(self.folder_files(root), **options)
+
+    def folder_files(self, root: str) -> DataFrame:
+        """Files of a folder, listed by the tasks where they can open it, else by Spark's file source."""
+        if listing.local_path(root) is None:
+            return fs.list_files(self.spark, root, self.settings)
+        return listing.scan_folder(self.spark, root, self.settings)
 
     def index_table(self, df: DataFrame, path: str, text: str, **options) -> IndexReport:
         return self.index(fs.files_from_table(df, path, text), **options)

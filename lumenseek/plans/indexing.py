@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumenseek import fixed_values as fv
 from lumenseek.config import Settings
 from lumenseek.operators.reports import index_report
-from lumenseek.plans.chunking import chunk_errors
+from lumenseek.plans.chunking import chunk_errors, chunk_files
+from lumenseek.plans.isolation import isolated
 from lumenseek.providers.embedding import EmbeddingProvider
 from lumenseek.session import shared_folder
-from lumenseek.sources import files as fs
+from lumenseek.sources import files as fs, listing
 from lumenseek.sources.chunk_store import ChunkStore
-from lumenseek.streaming.change_feed import embedded_chunks
+from lumenseek.streaming.change_feed import embedded_rows
 
 log = logging.getLogger("lumenseek.index")
 
@@ -47,9 +48,12 @@ class Progress:
     message: str
 
 
-def run_errors(sources: DataFrame, embedded: DataFrame) -> DataFrame:
-    """What could not be indexed: files that cannot be chunked, chunks that got no vector."""
-    files = chunk_errors(sources).select("file_path", F.lit("chunking").alias("stage"), F.concat(
+def run_errors(sources: DataFrame, embedded: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """What could not be indexed: files that cannot be chunked or whose chunking ``failed``, chunks that got no vector."""
+    bad = chunk_errors(sources)
+    if failed is not None:
+        bad = bad.unionByName(failed)
+    files = bad.select("file_path", F.lit("chunking").alias("stage"), F.concat(
         F.lit("Failed to chunk "), "file_path", F.lit(": "), "error").alias("error"))
     chunks = embedded.where("embed_error is not null").select("file_path", F.lit("embedding").alias("stage"), F.concat(
         F.lit("Failed to embed "), "id", F.lit(": "), "embed_error").alias("error"))
@@ -58,10 +62,13 @@ def run_errors(sources: DataFrame, embedded: DataFrame) -> DataFrame:
 
 def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provider: EmbeddingProvider,
                 settings: Settings = Settings(), *, append: bool = False,
-                on_progress: Callable[[Progress], None] | None = None, **options) -> IndexReport:
+                on_progress: Callable[[Progress], None] | None = None,
+                chunker: Callable[[DataFrame], DataFrame] = chunk_files, **options) -> IndexReport:
     """Index ``files`` (of ``sources.files``) into the store.
 
-    Vectors are expensive, so they are computed once into a staging table of
+    Chunks are written before they are embedded, by a stage that turns files
+    it fails for into error rows; a text that a provider fails for is an error
+    row of its own. Vectors are expensive, so they are computed once into a staging table of
     the shared folder, from which both the report and the index are made; a
     lost executor repeats its own tasks only. By default the new index takes
     the place of the old one; ``append=True`` adds to it, and running it twice
@@ -88,13 +95,16 @@ def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provid
 
     tell("chunking", f"Chunking {total_files} files...")
     sources = fs.decoded(kept)
-    rows = embedded_chunks(sources, provider, batch_size=settings.batch_size, **options)
+    chunks, failed = isolated(sources, chunker, "file_path")
+    if listing.needs_reading(kept):
+        failed = failed.unionByName(listing.unreadable(kept).withColumn("error", F.lit(fs.NO_ACCESS)))
+    rows = embedded_rows(chunks, provider, batch_size=settings.batch_size, **options)
     staging = shared_folder(spark, "embedded")
     rows.write.parquet(staging)
     embedded = spark.read.parquet(staging)
 
     counts = index_report(embedded).first()
-    error_table = store.write_errors(run_errors(sources, embedded))
+    error_table = store.write_errors(run_errors(sources, embedded, failed))
     errors = {"error_count": store.errors().count(), "error_table": error_table}
     if counts.chunks == 0:
         return finished(False, ["No code chunks extracted"], total_files=total_files, **errors)

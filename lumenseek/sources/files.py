@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lumenseek import fixed_values as fv
 from lumenseek.config import Settings
 from lumenseek.functions import paths as p
+from lumenseek.sources import listing
 
 TOO_LARGE, EMPTY, NO_ACCESS = "File too large", "Empty file", "File access error"
 
@@ -22,7 +23,8 @@ def list_files(spark: SparkSession, root: str, settings: Settings = Settings())
 
     ``content`` is only read by plans that use it; the listing itself and any
     filter on ``size`` never open a file. Spark's file sources leave out
-    zero-byte files, so those are skipped here without being counted.
+    zero-byte files, so those are skipped here without being counted;
+    ``listing.scan_folder`` counts them where tasks can open the folder.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", include_glob(settings.supported_languages)).load(root))
@@ -109,6 +111,11 @@ def scan_summary(files: DataFrame, max_size: int) -> DataFrame:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """UTF-8 text of binary files, bad bytes replaced, with the language of the path."""
+    """UTF-8 text of files, bad bytes replaced, with the language of the path.
+
+    Files with neither ``content`` nor ``text`` are those of ``listing.scan_folder`` and read in the tasks.
+    """
+    if listing.needs_reading(files):
+        files = listing.with_contents(files)
     text = F.make_valid_utf8(F.col("content").cast("string")) if "content" in files.columns else F.col("text")
     return files.select("file_path", F.lower(p.extension(F.col("file_path"))).alias("language"), text.alias("text"))

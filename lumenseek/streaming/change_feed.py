@@ -31,9 +31,8 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file_path").agg(last).select("file_path", "last.*")
 
 
-def embedded_chunks(files: DataFrame, provider: EmbeddingProvider, **options) -> DataFrame:
-    """Chunk and embed files the way the index path does."""
-    chunks = chunk_files(files)
+def embedded_rows(chunks: DataFrame, provider: EmbeddingProvider, **options) -> DataFrame:
+    """Embed chunks the way the index path does."""
     prepared = index_prepared(tx.embedding_input(
         F.col("language"), F.col("file_path"), F.col("type"), F.col("text")))
     return embed(chunks, prepared, provider, **options)
@@ -47,7 +46,7 @@ def apply_changes(batch: DataFrame, store: ChunkStore, provider: EmbeddingProvid
     """
     language: Column = F.lower(extension(F.col("file_path")))
     written = batch.where(F.col("op") != DELETE).select("file_path", language.alias("language"), "text")
-    rows = embedded_chunks(written, provider, **options).drop("tokens_used", "embed_error")
+    rows = embedded_rows(chunk_files(written), provider, **options).drop("tokens_used", "embed_error")
     store.upsert(batch.select("file_path"), rows)
 
 
