@@ -111,12 +111,13 @@ def build_index(spark: SparkSession, files: DataFrame, store: ChunkStore, provid
     tell("embedding", f"Embedded {counts.successful_chunks} of {counts.chunks} chunks")
 
     tell("storing", "Storing chunks...")
-    store.set_metadata(provider.dimensions, provider.model.name, provider.name)
+    made_by = (provider.dimensions, provider.model.name, provider.name)
     found = embedded.drop("tokens_used", "embed_error")
     if append:
         store.insert(found)
+        store.set_metadata(*made_by)
     else:
-        store.replace_all(found)
+        store.replace_all(found, store.next_metadata(*made_by))
     # The staged vectors are in the index now.
     target = spark._jvm.org.apache.hadoop.fs.Path(staging)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,23 +1,32 @@
 """The chunk table: Parquet, partitioned by a hash bucket of the file path.
 
 All rows of a file live in one bucket, so changing files rewrites their
-buckets only. Replacement rows are first written to a staging folder and the
-live partitions are then overwritten from there, never from themselves: if a
-job dies half-way, ``recover`` repeats the second step from the staged rows.
-
-``layout.json`` names the folder of the live table and its number of buckets. A
-rebuild writes a new folder and then moves the pointer, so a reader or a crash
-never sees half of it. One writer at a time: ``recover`` takes what it finds
-staged for the rest of a job that died.
+buckets only. What the table is stands in numbered files below ``_versions``,
+each made once and never changed; the highest whole one counts. It names the
+folders that hold rows, the number of buckets, the metadata of the vectors, and
+a replacement that is being put in place.
+
+* An insert writes a folder of its own and then names it.
+* A rebuild writes a new folder and then names it alone; the folders of the
+  version before stay until the next rebuild, for readers that still use them.
+* An upsert writes new contents of the touched buckets to a staging folder that
+  names the rows it was made from. Once a version names the staging folder,
+  readers take those buckets from there, and the copy into the table can be
+  repeated until it is whole. Staged work of other rows is dropped.
+
+So a crash between any two steps leaves the old or the new table. One writer at
+a time: a second one finds its version number taken and fails.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import time
 import uuid
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -27,6 +36,8 @@ from lumenseek.schema import CHUNK_SCHEMA
 BUCKET = "bucket"
 #: Buckets of a table that starts empty, and rows of a bucket that a rebuild aims at.
 DEFAULT_BUCKETS, ROWS_PER_BUCKET = 64, 250_000
+#: Files of earlier versions that stay.
+KEPT_VERSIONS = 8
 
 
 @dataclass(frozen=True)
@@ -38,6 +49,18 @@ class IndexMetadata:
     last_updated: int
 
 
+@dataclass(frozen=True)
+class Version:
+    """What the table is: ``folders`` with rows, and a name of its ``rows`` that changes when they do."""
+
+    folders: list[str] = field(default_factory=list)
+    buckets: int | None = None
+    metadata: dict | None = None
+    #: Folder below ``_staged`` whose buckets take the place of those in the table.
+    staged: str | None = None
+    rows: str | None = None
+
+
 @dataclass(frozen=True)
 class IndexStats:
     chunk_count: int
@@ -62,32 +85,34 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         """``buckets`` is for new tables; an existing one keeps its own, and another number is refused."""
         self.spark, self.path, self.wanted = spark, path.rstrip("/"), buckets
-        stored = (self._layout() or {}).get("buckets")
+        stored = self._live().buckets
         if buckets and stored and stored != buckets:
             raise ValueError(f"the table below {self.path} has {stored} buckets, not {buckets}")
 
-    # -- layout -------------------------------------------------------------------------
-    def _layout(self) -> dict | None:
-        return self._read_json(f"{self.path}/layout.json") if self._exists(f"{self.path}/layout.json") else None
-
-    def _point_to(self, folder: str, buckets: int) -> None:
-        """Make a folder the live table: one rename over the old pointer."""
-        fresh = f"{self.path}/layout-{uuid.uuid4().hex}.json"
-        self._write_json(fresh, {"table": folder, "buckets": buckets})
-        fs, source = self._fs(fresh)
-        target = self._fs(f"{self.path}/layout.json")[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(source, target)
+    # -- versions -----------------------------------------------------------------------
+    def _numbers(self) -> list[int]:
+        return sorted(int(name[1:-5]) for name in self._names(f"{self.path}/_versions") if re.fullmatch(r"v\d+\.json", name))
+
+    def _live(self) -> Version:
+        """The highest version that was written whole."""
+        for number in reversed(self._numbers()):
+            try:
+                return Version(**self._read_json(f"{self.path}/_versions/v{number:012d}.json"))
+            except (ValueError, TypeError):
+                continue  # its writer died in the middle
+        return Version()
+
+    def _point_to(self, version: Version) -> None:
+        """Make a version the live one: its file must not exist yet."""
+        numbers = self._numbers()
+        target = f"{self.path}/_versions/v{(numbers[-1] if numbers else 0) + 1:012d}.json"
+        self._write_json(target, asdict(version))
+        for number in numbers[:-KEPT_VERSIONS]:
+            self._delete(f"{self.path}/_versions/v{number:012d}.json")
 
     @property
     def buckets(self) -> int:
-        return (self._layout() or {}).get("buckets") or self.wanted or DEFAULT_BUCKETS
-
-    @property
-    def table(self) -> str:
-        """Folder of the live table; a table that does not exist yet gets a name."""
-        return f"{self.path}/{(self._layout() or {}).get('table', 'chunks')}"
+        return self._live().buckets or self.wanted or DEFAULT_BUCKETS
 
     # -- file system --------------------------------------------------------------------
     def _fs(self, path: str):
@@ -104,18 +129,40 @@ class ChunkStore:
         fs, target = self._fs(path)
         fs.delete(target, True)
 
+    def _names(self, path: str) -> list[str]:
+        """Names of what lies in a folder, from one listing."""
+        fs, target = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
     # -- reading ---------------------------------------------------------------------------
     def bucket_of(self, file_path: Column, buckets: int | None = None) -> Column:
         return F.pmod(F.xxhash64(file_path), F.lit(buckets or self.buckets)).cast("int")
 
     def exists(self) -> bool:
-        return self._exists(self.table)
+        return bool(self._folders(self._live()))
 
-    def _read(self) -> DataFrame:
+    def _folders(self, version: Version) -> list[str]:
+        """Folders with rows; one without any rows is never made."""
+        return [f for f in (f"{self.path}/{name}" for name in version.folders) if self._exists(f)]
+
+    def _rows_in(self, *folders: str) -> DataFrame:
         schema = T.StructType([*CHUNK_SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])
-        if not self.exists():
+        there = [f for f in folders if self._exists(f)]
+        if not there:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.table)
+        # One partitioned root per read; Spark does not take several at once.
+        return functools.reduce(DataFrame.union, [self.spark.read.schema(schema).parquet(f) for f in there])
+
+    def _read(self) -> DataFrame:
+        version = self._live()
+        rows = self._rows_in(*(f"{self.path}/{name}" for name in version.folders))
+        if version.staged is None:
+            return rows
+        staged = f"{self.path}/_staged/{version.staged}"
+        return rows.join(self._touched(staged), BUCKET, "left_anti").select(rows.columns).unionByName(self._rows_in(f"{staged}/rows"))
+
+    def _touched(self, staged: str) -> DataFrame:
+        return self.spark.read.schema(f"{BUCKET} int").parquet(f"{staged}/touched")
 
     def read(self) -> DataFrame:
         return self._read().drop(BUCKET)
@@ -157,14 +204,15 @@ class ChunkStore:
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
     # -- writing ----------------------------------------------------------------------------
-    def _laid_out(self, chunks: DataFrame, buckets: int | None = None) -> DataFrame:
+    def _laid_out(self, chunks: DataFrame, buckets: int | None = None, dimension: int | None = None) -> DataFrame:
         """Table columns, spread for the write.
 
         Rebalancing lets AQE split a bucket that one file dominates and merge
         small ones, where repartitioning by bucket would write it in one task.
         """
         meta = self.metadata()
-        vector = checked_dimension(F.col("vector"), meta.dimension) if meta else F.col("vector")
+        dimension = dimension or (meta.dimension if meta else None)
+        vector = checked_dimension(F.col("vector"), dimension) if dimension else F.col("vector")
         shaped = valid_rows(chunks).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields if f.name != "vector"],
             vector.cast("array<float>").alias("vector"), self.bucket_of(F.col("file_path"), buckets).alias(BUCKET))
@@ -172,13 +220,11 @@ class ChunkStore:
 
     def insert(self, chunks: DataFrame) -> None:
         """Append rows that have a vector; the first insert creates the table."""
-        self._settle()
-        self._laid_out(chunks).write.partitionBy(BUCKET).mode("append").parquet(self.table)
-
-    def _settle(self) -> None:
-        """Fix the number of buckets before the first rows are written."""
-        if self._layout() is None:
-            self._point_to("chunks", self.buckets)
+        self.recover()
+        folder = f"chunks-{uuid.uuid4().hex}"
+        self._laid_out(chunks).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        live = self._live()
+        self._point_to(replace(live, folders=[*live.folders, folder], buckets=self.buckets, rows=uuid.uuid4().hex))
 
     def delete_files(self, paths: DataFrame) -> None:
         """Delete every chunk of the files in ``paths(file_path)``."""
@@ -187,68 +233,86 @@ class ChunkStore:
     def upsert(self, paths: DataFrame, chunks: DataFrame | None) -> None:
         """Replace all chunks of the files in ``paths`` by ``chunks``.
 
-        A path without new chunks is thereby deleted. At most ``buckets``
-        numbers come to the driver; paths and chunks stay distributed.
+        A path without new chunks is thereby deleted. Paths, chunks and the
+        numbers of the touched buckets stay distributed.
         """
         self.recover()
-        self._settle()
+        live = self._live()
         paths = paths.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n")).select("file_path")
-        touched = [r[0] for r in paths.select(self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct().collect()]
-        if not touched:
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        paths.select(self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct().write.parquet(f"{staged}/touched")
+        touched = self._touched(staged)
+        if touched.isEmpty():
+            self._delete(staged)
             return
-        kept = self._read().where(F.col(BUCKET).isin(touched)).join(paths, "file_path", "left_anti")
+        kept = self._read().join(touched, BUCKET, "left_semi").join(paths, "file_path", "left_anti")
         columns = [*CHUNK_SCHEMA.fieldNames(), BUCKET]
         rows = kept.select(columns).hint("rebalance", BUCKET)
         if chunks is not None:
             rows = self._laid_out(chunks).select(columns).unionByName(kept.select(columns)).hint("rebalance", BUCKET)
-        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
         rows.write.partitionBy(BUCKET).parquet(f"{staged}/rows")
-        self._write_json(f"{staged}/touched.json", {"touched": touched})
+        self._write_json(f"{staged}/ready.json", {"rows": live.rows})
         self._apply(staged)
 
     def recover(self) -> None:
-        """Finish a replacement whose rows were staged but maybe not all put in place."""
-        fs, target = self._fs(f"{self.path}/_staged")
-        if not fs.exists(target):
-            return
-        for status in fs.listStatus(target):
-            staged = f"{self.path}/_staged/{status.getPath().getName()}"
-            if self._exists(f"{staged}/touched.json"):
+        """Finish a replacement that was staged for the rows that are live, and drop what else lies in staging."""
+        for name in self._names(f"{self.path}/_staged"):
+            staged, live = f"{self.path}/_staged/{name}", self._live()
+            ready = None
+            if self._exists(f"{staged}/ready.json"):
+                try:
+                    ready = self._read_json(f"{staged}/ready.json")
+                except ValueError:
+                    pass  # cut short, as if it were not there
+            if live.staged == name or (live.staged is None and ready is not None and ready["rows"] == live.rows):
                 self._apply(staged)
-            else:
-                # Staging itself was cut short: the live table was never touched.
+            elif live.staged != name:
                 self._delete(staged)
 
     def _apply(self, staged: str) -> None:
-        touched = self._read_json(f"{staged}/touched.json")["touched"]
-        left = [b for b in touched if self._exists(f"{staged}/rows/{BUCKET}={b}")]
-        if left:
-            schema = T.StructType([*CHUNK_SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])
-            rows = self.spark.read.schema(schema).parquet(f"{staged}/rows")
-            (rows.write.option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET)
-             .mode("overwrite").parquet(self.table))
-        for bucket in set(touched) - set(left):
-            self._delete(f"{self.table}/{BUCKET}={bucket}")
+        """Name the staged buckets in a version, copy them into the first folder, and name the table without them."""
+        name, live = staged.rsplit("/", 1)[1], self._live()
+        if live.staged != name:
+            folders = live.folders or [f"chunks-{uuid.uuid4().hex}"]
+            live = replace(live, folders=folders, buckets=self.buckets, staged=name)
+            self._point_to(live)
+        table, *more = (f"{self.path}/{folder}" for folder in live.folders)
+        filled = {n for n in self._names(f"{staged}/rows") if n.startswith(f"{BUCKET}=")}
+        if filled:
+            (self._rows_in(f"{staged}/rows").write.option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET)
+             .mode("overwrite").parquet(table))
+        touched = {f"{BUCKET}={r[0]}" for r in self._touched(staged).collect()}
+        for folder, gone in [(table, touched - filled), *((f, touched) for f in more)]:
+            for bucket in gone & set(self._names(folder)):
+                self._delete(f"{folder}/{bucket}")
+        self._point_to(replace(live, staged=None, rows=uuid.uuid4().hex))
         self._delete(staged)
 
-    def replace_all(self, chunks: DataFrame) -> None:
+    def replace_all(self, chunks: DataFrame, metadata: IndexMetadata | None = None) -> None:
         """Make ``chunks`` the whole content, in as many buckets as their number asks for.
 
-        The rows go to a new folder; the old table is whole until the pointer has moved.
+        ``metadata`` becomes that of the new rows in the same step. Readers of
+        the version before keep its folders until the next rebuild.
         """
-        old = self.table
+        live = self._live()
         buckets = self.wanted or max(1, -(-valid_rows(chunks).count() // ROWS_PER_BUCKET))
         folder = f"chunks-{uuid.uuid4().hex}"
-        self._laid_out(chunks, buckets).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-        self._point_to(folder, buckets)
-        if self._exists(old):
-            self._delete(old)
+        laid_out = self._laid_out(chunks, buckets, metadata.dimension if metadata else None)
+        laid_out.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        self._point_to(Version([folder], buckets, asdict(metadata) if metadata else live.metadata, rows=uuid.uuid4().hex))
+        for name in self._names(self.path):
+            if name.startswith("chunks-") and name != folder and name not in live.folders:
+                self._delete(f"{self.path}/{name}")
+        # Whatever is staged was made from rows that are gone, unless readers of the version before need it.
+        for name in self._names(f"{self.path}/_staged"):
+            if name != live.staged:
+                self._delete(f"{self.path}/_staged/{name}")
 
     def clear(self) -> None:
-        fs, target = self._fs(self.path)
-        if fs.exists(target):
-            for status in fs.listStatus(target):
-                self._delete(f"{self.path}/{status.getPath().getName()}")
+        if self._numbers():
+            self._point_to(Version())
+        for name in sorted(self._names(self.path), key=lambda n: n == "_versions"):
+            self._delete(f"{self.path}/{name}")
 
     def write_errors(self, errors: DataFrame) -> str:
         """Replace the table of what the last build could not index; returns its folder."""
@@ -274,11 +338,17 @@ class ChunkStore:
 
     # -- metadata ------------------------------------------------------------------------------
     def _read_json(self, path: str) -> dict:
-        return json.loads("".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        fs, target = self._fs(path)
+        source = fs.open(target)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def _write_json(self, path: str, value: dict) -> None:
+        """A new file; one that exists is not replaced."""
         fs, target = self._fs(path)
-        out = fs.create(target, True)
+        out = fs.create(target, False)
         try:
             out.write(bytearray(json.dumps(value).encode()))
         finally:
@@ -286,18 +356,20 @@ class ChunkStore:
 
     def metadata(self) -> IndexMetadata | None:
         """What the index was built with; None if unknown or unreadable."""
-        if not self._exists(f"{self.path}/metadata.json"):
-            return None
         try:
-            return IndexMetadata(**self._read_json(f"{self.path}/metadata.json"))
-        except (ValueError, TypeError):
+            return IndexMetadata(**(self._live().metadata or {}))
+        except TypeError:
             return None
 
-    def set_metadata(self, dimension: int, model: str, provider: str) -> IndexMetadata:
+    def next_metadata(self, dimension: int, model: str, provider: str) -> IndexMetadata:
+        """Metadata for new rows; a known index keeps its time of creation."""
         now, old = int(time.time() * 1000), self.metadata()
-        meta = (replace(old, dimension=dimension, model=model, provider=provider, last_updated=now) if old
+        return (replace(old, dimension=dimension, model=model, provider=provider, last_updated=now) if old
                 else IndexMetadata(dimension, model, provider, now, now))
-        self._write_json(f"{self.path}/metadata.json", asdict(meta))
+
+    def set_metadata(self, dimension: int, model: str, provider: str) -> IndexMetadata:
+        meta = self.next_metadata(dimension, model, provider)
+        self._point_to(replace(self._live(), metadata=asdict(meta)))
         return meta
 
     def check_dimension(self, dimension: int) -> None:

@@ -318,3 +318,102 @@ def test_limit_is_checked(engine, workspace):
     engine.index_folder(workspace)
     assert "outside" in engine.search(SearchParams("user", limit=0)).error
     assert "outside" in engine.search(SearchParams("user", limit=101)).error
+
+
+class Stopped(RuntimeError):
+    pass
+
+
+STEPS = ("_write_json", "_point_to", "_delete")
+
+
+@pytest.fixture
+def stop_at(monkeypatch):
+    """Run something on a store and stop before or after its k-th step; says whether there was such a step."""
+    def run(k, after, action):
+        count = 0
+        with monkeypatch.context() as m:
+            for name in STEPS:
+                def step(self, *args, _whole=getattr(ChunkStore, name)):
+                    nonlocal count
+                    count += 1
+                    if count == k and not after:
+                        raise Stopped(k)
+                    mine, done = count, _whole(self, *args)
+                    if mine == k:
+                        raise Stopped(k)
+                    return done
+                m.setattr(ChunkStore, name, step)
+            try:
+                action()
+            except Stopped:
+                return True
+        return False
+    return run
+
+
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("kind", ["upsert", "rebuild", "insert"])
+def test_a_crash_at_any_step_leaves_the_old_or_the_new_table(spark, tmp_path, stop_at, kind, after):
+    old = [(f"f{i}", 1, "old", [1.0]) for i in range(6)]
+    change = [("f0", 1, "new", [1.0]), ("g", 1, "new", [1.0])]
+    touched = spark.createDataFrame([("f0",), ("f1",), ("g",)], "file_path string")
+    before = sorted((p, t) for p, _, t, _ in old)
+    wanted = {"upsert": sorted([(p, t) for p, t in before if p not in ("f0", "f1")] + [("f0", "new"), ("g", "new")]),
+              "rebuild": [("f0", "new"), ("g", "new")], "insert": sorted([*before, ("f0", "new"), ("g", "new")])}[kind]
+    k = 1
+    while True:
+        path = str(tmp_path / f"{kind}-{k}")
+        store = ChunkStore(spark, path, buckets=3)
+        store.insert(rows(spark, *old))
+        new = rows(spark, *change)
+        action = {"upsert": lambda: store.upsert(touched, new), "rebuild": lambda: store.replace_all(new), "insert": lambda: store.insert(new)}[kind]
+        stopped = stop_at(k, after, action)
+        assert texts(ChunkStore(spark, path)) in (before, wanted), k
+        again = ChunkStore(spark, path)
+        again.recover()
+        found = texts(again)
+        assert found in (before, wanted), k
+        if not stopped:
+            assert found == wanted and k > 1
+            return
+        assert again._names(f"{path}/_staged") == []
+        # What was staged is not laid over a table that was rebuilt meanwhile.
+        again.replace_all(rows(spark, *[(f"n{i}", 1, "built", [1.0]) for i in range(5)]))
+        again.delete_files(spark.createDataFrame([("n3",)], "file_path string"))
+        assert texts(again) == [(f"n{i}", "built") for i in (0, 1, 2, 4)], k
+        k += 1
+
+
+def test_rebuild_between_crash_and_recovery_keeps_its_rows(spark, store, monkeypatch):
+    store.insert(rows(spark, *[(f"f{i}", 1, "old", [1.0]) for i in range(20)]))
+    with monkeypatch.context() as m:
+        m.setattr(ChunkStore, "_apply", lambda *_: (_ for _ in ()).throw(Stopped()))
+        with pytest.raises(Stopped):
+            store.upsert(spark.createDataFrame([("f1",), ("f2",)], "file_path string"), rows(spark, ("f1", 1, "changed", [1.0])))
+    store.replace_all(rows(spark, *[(f"n{i}", 1, "new", [1.0]) for i in range(40)]))
+    store.delete_files(spark.createDataFrame([("n0",)], "file_path string"))
+    assert texts(store) == sorted((f"n{i}", "new") for i in range(1, 40))
+
+
+def test_half_written_version_is_passed_over(spark, store):
+    store.insert(rows(spark, ("a", 1, "x", [1.0])))
+    fs_, target = store._fs(f"{store.path}/_versions/v000000000099.json")
+    fs_.create(target, False).close()
+    assert texts(store) == [("a", "x")]
+    store.insert(rows(spark, ("b", 1, "y", [1.0])))
+    assert texts(store) == [("a", "x"), ("b", "y")] and store._numbers()[-1] == 100
+    with pytest.raises(Exception, match="exist"):
+        store._write_json(f"{store.path}/_versions/v000000000100.json", {})
+
+
+def test_readers_keep_the_version_before_a_rebuild(spark, store):
+    store.insert(rows(spark, ("a", 1, "x", [1.0])))
+    reading = store.read()
+    store.replace_all(rows(spark, ("b", 1, "y", [1.0, 2.0])), store.next_metadata(2, "m", "p"))
+    assert [r.text for r in reading.collect()] == ["x"]
+    assert store.metadata().dimension == 2 and texts(store) == [("b", "y")]
+    for _ in range(12):
+        store.replace_all(rows(spark, ("c", 1, "z", [1.0, 2.0])))
+    assert len([n for n in store._names(store.path) if n.startswith("chunks-")]) == 2 and len(store._numbers()) <= 10
+    assert store.metadata().dimension == 2
