@@ -21,6 +21,7 @@ from lumenseek.streaming import change_feed as feed
 FAILED_LABEL = 3
 BATCH = 32
 PIECE_LINES = 10
+FEED_BATCHES = 3
 #: A provider in trouble cannot embed chunks of this file.
 HARD_FILE = "doc_7.ts"
 
@@ -200,13 +201,15 @@ def latest_change_per_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """All events streamed into a store; what is left is the last state of every file."""
+    """All events streamed into a store in batches out of order; what is left is the last state of every file."""
     folder = shared_folder(spark, "feed")
     store = ChunkStore(spark, f"{folder}/store", buckets=8)
     known = t.table(spark, sf, "events")
     text = F.concat(F.lit("export const v"), F.col("event_id").cast("string"), F.lit(" = '"), "event_type", F.lit("';\n"))
     texts = known.select(F.col("event_id").alias("change_id"), text.alias("text"))
-    events = spark.readStream.schema(known.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # Every batch has early and late changes of every file.
+    known.repartition(FEED_BATCHES, "event_id").write.parquet(f"{folder}/inbox")
+    events = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
     query = feed.start_change_feed(
         _changes(events), store, HashProvider(t.DIMENSIONS), f"{folder}/checkpoint", available_now=True,
         load_text=lambda batch: batch.join(texts, "change_id"))

@@ -81,10 +81,12 @@ def valid_rows(chunks: DataFrame) -> DataFrame:
     return chunks.where(has_vector(F.col("vector")))
 
 
-class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+class BucketedTable:
+    """Rows by ``file_path`` that are replaced file by file."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, buckets: int | None = None):
         """``buckets`` is for new tables; an existing one keeps its own, and another number is refused."""
-        self.spark, self.path, self.wanted = spark, path.rstrip("/"), buckets
+        self.spark, self.path, self.schema, self.wanted = spark, path.rstrip("/"), schema, buckets
         stored = self._live().buckets
         if buckets and stored and stored != buckets:
             raise ValueError(f"the table below {self.path} has {stored} buckets, not {buckets}")
@@ -146,7 +148,7 @@ class ChunkStore:
         return [f for f in (f"{self.path}/{name}" for name in version.folders) if self._exists(f)]
 
     def _rows_in(self, *folders: str) -> DataFrame:
-        schema = T.StructType([*CHUNK_SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])
+        schema = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         there = [f for f in folders if self._exists(f)]
         if not there:
             return self.spark.createDataFrame([], schema)
@@ -164,6 +166,11 @@ class ChunkStore:
     def _touched(self, staged: str) -> DataFrame:
         return self.spark.read.schema(f"{BUCKET} int").parquet(f"{staged}/touched")
 
+    def rows_for(self, paths: DataFrame) -> DataFrame:
+        """Rows of the files in ``paths``; only their buckets are read."""
+        wanted = paths.select("file_path").distinct().withColumn(BUCKET, self.bucket_of(F.col("file_path")))
+        return self._read().join(wanted, [BUCKET, "file_path"], "left_semi").drop(BUCKET)
+
     def read(self) -> DataFrame:
         return self._read().drop(BUCKET)
 
@@ -172,54 +179,31 @@ class ChunkStore:
         here = self.bucket_of(F.lit(file_path))
         return self._read().where((F.col(BUCKET) == here) & (F.col("file_path") == file_path)).drop(BUCKET)
 
-    def rows_of(self, hits: list) -> DataFrame:
-        """Full rows of a few known hits with ``id`` and ``file_path``.
-
-        The ids are literals, so whole buckets and row groups are skipped
-        instead of reading the texts of the table to keep a handful.
-        """
-        if not hits:
-            return self.read().limit(0)
-        paths = sorted({h["file_path"] for h in hits})
-        where = self.spark.createDataFrame([(p,) for p in paths], "file_path string").select(
-            self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct()
-        buckets = [r[0] for r in where.collect()]
-        ids = [h["id"] for h in hits]
-        return self._read().where(
-            F.col(BUCKET).isin(buckets) & F.col("file_path").isin(paths) & F.col("id").isin(ids)).drop(BUCKET)
-
     def is_ready(self) -> bool:
         return self.exists() and not self.read().isEmpty()
 
     def count(self) -> int:
         return self.read().count()
 
-    def stats(self) -> IndexStats:
-        row = index_stats(self.read()).first()
-        return IndexStats(row.chunk_count, row.file_count, self.storage_size())
-
     def storage_size(self) -> int:
         """Bytes below the store folder, as the file system sums them."""
         fs, target = self._fs(self.path)
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
     # -- writing ----------------------------------------------------------------------------
-    def _laid_out(self, chunks: DataFrame, buckets: int | None = None, dimension: int | None = None) -> DataFrame:
+    def _shaped(self, rows: DataFrame, dimension: int | None) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in self.schema.fields])
+
+    def _laid_out(self, rows: DataFrame, buckets: int | None = None, dimension: int | None = None) -> DataFrame:
         """Table columns, spread for the write.
 
         Rebalancing lets AQE split a bucket that one file dominates and merge
         small ones, where repartitioning by bucket would write it in one task.
         """
-        meta = self.metadata()
-        dimension = dimension or (meta.dimension if meta else None)
-        vector = checked_dimension(F.col("vector"), dimension) if dimension else F.col("vector")
-        shaped = valid_rows(chunks).select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields if f.name != "vector"],
-            vector.cast("array<float>").alias("vector"), self.bucket_of(F.col("file_path"), buckets).alias(BUCKET))
-        return shaped.hint("rebalance", BUCKET)
+        return self._shaped(rows, dimension).withColumn(BUCKET, self.bucket_of(F.col("file_path"), buckets)).hint("rebalance", BUCKET)
 
     def insert(self, chunks: DataFrame) -> None:
-        """Append rows that have a vector; the first insert creates the table."""
+        """Append rows; the first insert creates the table."""
         self.recover()
         folder = f"chunks-{uuid.uuid4().hex}"
         self._laid_out(chunks).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
@@ -246,7 +230,7 @@ class ChunkStore:
             self._delete(staged)
             return
         kept = self._read().join(touched, BUCKET, "left_semi").join(paths, "file_path", "left_anti")
-        columns = [*CHUNK_SCHEMA.fieldNames(), BUCKET]
+        columns = [*self.schema.fieldNames(), BUCKET]
         rows = kept.select(columns).hint("rebalance", BUCKET)
         if chunks is not None:
             rows = self._laid_out(chunks).select(columns).unionByName(kept.select(columns)).hint("rebalance", BUCKET)
@@ -295,7 +279,7 @@ class ChunkStore:
         the version before keep its folders until the next rebuild.
         """
         live = self._live()
-        buckets = self.wanted or max(1, -(-valid_rows(chunks).count() // ROWS_PER_BUCKET))
+        buckets = self.wanted or max(1, -(-self._shaped(chunks, metadata and metadata.dimension).count() // ROWS_PER_BUCKET))
         folder = f"chunks-{uuid.uuid4().hex}"
         laid_out = self._laid_out(chunks, buckets, metadata.dimension if metadata else None)
         laid_out.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
@@ -314,18 +298,6 @@ class ChunkStore:
         for name in sorted(self._names(self.path), key=lambda n: n == "_versions"):
             self._delete(f"{self.path}/{name}")
 
-    def write_errors(self, errors: DataFrame) -> str:
-        """Replace the table of what the last build could not index; returns its folder."""
-        errors.write.mode("overwrite").parquet(f"{self.path}/errors")
-        return f"{self.path}/errors"
-
-    def errors(self) -> DataFrame:
-        """``file_path``, ``stage`` and ``error`` of the last build."""
-        schema = "file_path string, stage string, error string"
-        if not self._exists(f"{self.path}/errors"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/errors")
-
     @contextmanager
     def staged(self, df: DataFrame, name: str):
         """``df`` as a table written below the store, gone when the block ends."""
@@ -354,6 +326,52 @@ class ChunkStore:
         finally:
             out.close()
 
+
+class ChunkStore(BucketedTable):
+    """The table of chunks and vectors, with the metadata of the vectors and the errors of the last build."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        super().__init__(spark, path, CHUNK_SCHEMA, buckets)
+
+    def _shaped(self, rows: DataFrame, dimension: int | None) -> DataFrame:
+        """Rows that have a vector, of the index's dimension if it is known."""
+        meta = self.metadata()
+        dimension = dimension or (meta.dimension if meta else None)
+        vector = checked_dimension(F.col("vector"), dimension) if dimension else F.col("vector")
+        return super()._shaped(valid_rows(rows).withColumn("vector", vector), dimension)
+
+    def rows_of(self, hits: list) -> DataFrame:
+        """Full rows of a few known hits with ``id`` and ``file_path``.
+
+        The ids are literals, so whole buckets and row groups are skipped
+        instead of reading the texts of the table to keep a handful.
+        """
+        if not hits:
+            return self.read().limit(0)
+        paths = sorted({h["file_path"] for h in hits})
+        where = self.spark.createDataFrame([(p,) for p in paths], "file_path string").select(
+            self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct()
+        buckets = [r[0] for r in where.collect()]
+        ids = [h["id"] for h in hits]
+        return self._read().where(
+            F.col(BUCKET).isin(buckets) & F.col("file_path").isin(paths) & F.col("id").isin(ids)).drop(BUCKET)
+
+    def stats(self) -> IndexStats:
+        row = index_stats(self.read()).first()
+        return IndexStats(row.chunk_count, row.file_count, self.storage_size())
+
+    def write_errors(self, errors: DataFrame) -> str:
+        """Replace the table of what the last build could not index; returns its folder."""
+        errors.write.mode("overwrite").parquet(f"{self.path}/errors")
+        return f"{self.path}/errors"
+
+    def errors(self) -> DataFrame:
+        """``file_path``, ``stage`` and ``error`` of the last build."""
+        schema = "file_path string, stage string, error string"
+        if not self._exists(f"{self.path}/errors"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/errors")
+
     def metadata(self) -> IndexMetadata | None:
         """What the index was built with; None if unknown or unreadable."""
         try:

@@ -417,3 +417,30 @@ def test_readers_keep_the_version_before_a_rebuild(spark, store):
         store.replace_all(rows(spark, ("c", 1, "z", [1.0, 2.0])))
     assert len([n for n in store._names(store.path) if n.startswith("chunks-")]) == 2 and len(store._numbers()) <= 10
     assert store.metadata().dimension == 2
+
+
+def test_change_feed_keeps_no_state_and_repeats_a_batch_that_died(spark, tmp_path, monkeypatch):
+    store, provider = ChunkStore(spark, str(tmp_path / "index"), buckets=2), HashProvider(8)
+    inbox = str(tmp_path / "inbox")
+    at = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    spark.createDataFrame([("a.ts", at(5), 1, "write", "let a = 1;"), ("b.ts", at(5), 2, "delete", None)], CHANGE).write.parquet(inbox)
+
+    def run():
+        stream = spark.readStream.schema(CHANGE).parquet(inbox)
+        query = feed.start_change_feed(stream, store, provider, str(tmp_path / "cp"), available_now=True)
+        query.awaitTermination()
+        return query
+
+    with monkeypatch.context() as m:
+        m.setattr(feed.BucketedTable, "upsert", lambda self, *a, _whole=feed.BucketedTable.upsert: (
+            _whole(self, *a) if isinstance(self, ChunkStore) else (_ for _ in ()).throw(Stopped())))
+        with pytest.raises(Exception):
+            run()
+    assert texts(store) == [("a.ts", "let a = 1;")]
+    query = run()
+    assert query.lastProgress is None or not query.lastProgress["stateOperators"]
+    spark.createDataFrame([("b.ts", at(4), 9, "write", "let b = 1;"), ("a.ts", at(5), 0, "write", "let a = 0;")], CHANGE).write.mode("append").parquet(inbox)
+    run()
+    assert texts(store) == [("a.ts", "let a = 1;")]
+    applied = feed.applied_changes(store, spark.createDataFrame([], CHANGE))
+    assert sorted((r.file_path, r.change_id) for r in applied.read().collect()) == [("a.ts", 1), ("b.ts", 2)]
