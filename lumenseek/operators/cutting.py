@@ -179,16 +179,18 @@ def fixed_cut(lines: Column, cap: int = fv.MAX_CHUNK_LINES) -> Column:
 def merge_small(pieces: Column, floor: int = fv.MIN_CHUNK_LINES) -> Column:
     """Join pieces under ``floor`` lines pairwise: with the next, the last with the one before."""
     def flags(sizes: Column) -> Column:
+        """Whether a piece is joined to the one before: every second one after the start of a run of small pieces."""
         count = F.size(sizes)
+        large = F.array_compact(F.transform(sizes, lambda n, i: F.when(n >= floor, i)))
+        passed = running_sum(F.transform(sizes, lambda n: (n >= floor).cast("int")))
+        before = let(sizes, lambda known: F.zip_with(shifted_back(known), shifted_back(passed), lambda n, k: F.struct(n.alias("n"), k.alias("k"))))
 
-        # taken[i]: piece i was joined to the piece before it.
-        def step(taken: Column, i: Column) -> Column:
-            small_before = F.coalesce(F.get(sizes, i - 1) < floor, F.lit(False))
-            free_before = ~F.coalesce(F.get(taken, i - 1), F.lit(False))
+        def taken(x: Column, i: Column, big: Column) -> Column:
+            run = F.coalesce(F.get(big, x["k"] - 1), F.lit(-1)) + 1
             last_small = (i == count - 1) & (i > 0) & (F.get(sizes, i) < floor)
-            return F.concat(taken, F.array((small_before & free_before) | last_small))
+            return F.coalesce((x["n"] < floor) & ((i - run) % 2 == 1), F.lit(False)) | last_small
 
-        return F.aggregate(F.sequence(F.lit(0), count - 1), F.array().cast("array<boolean>"), step)
+        return let(large, lambda big: F.transform(before, lambda x, i: taken(x, i, big)))
 
     def joined(taken: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(taken) - 1), lambda i: ~F.get(taken, i))
@@ -219,11 +221,16 @@ def running_starts(pieces: Column) -> Column:
 
 def relabel_at_running_starts(pieces: Column, breaks: Column) -> Column:
     """Pieces at their recounted starts, labelled by what breaks there (compat form)."""
-    starts = running_starts(pieces)
-    return F.zip_with(pieces, starts, lambda p, s: F.struct(
-        s.alias("start"),
-        F.get(F.filter(breaks, lambda b: b["line"] == s), F.lit(0))["label"].alias("label"),
-        p["lines"].alias("lines")))
+    kinds = "struct<line:int,piece:int,label:string>"
+    marks = F.concat(F.transform(breaks, lambda b: F.struct(b["line"].alias("line"), F.lit(0).alias("piece"), b["label"].alias("label")).cast(kinds)),
+                     F.transform(running_starts(pieces), lambda s: F.struct(
+                         s.alias("line"), F.lit(1).alias("piece"), F.lit(None).cast("string").alias("label")).cast(kinds)))
+    # Sorted by line, a piece comes right after the break on its line; there is at most one of each on a line.
+    labelled = let(F.array_sort(marks), lambda m: F.filter(F.zip_with(m, shifted_back(m), lambda x, b: F.struct(
+        x["piece"].alias("piece"), x["line"].alias("line"), F.when(b["line"] == x["line"], b["label"]).alias("label"))),
+        lambda x: x["piece"] == 1))
+    return F.zip_with(pieces, labelled, lambda p, x: F.struct(
+        x["line"].alias("start"), x["label"].alias("label"), p["lines"].alias("lines")))
 
 
 # -- chunk types ------------------------------------------------------------------------

@@ -473,3 +473,50 @@ def test_long_lines_take_linear_time(spark):
     seconds(10)
     small, large = seconds(1000), seconds(2000)
     assert large <= 3 * small + 1, (small, large)
+
+
+def brute_merge(sizes, floor):
+    taken = []
+    for i, n in enumerate(sizes):
+        joined = i > 0 and sizes[i - 1] < floor and not taken[i - 1]
+        taken.append(joined or (0 < i == len(sizes) - 1 and n < floor))
+    out = []
+    for i, n in enumerate(sizes):
+        if taken[i]:
+            out[-1] += n
+        else:
+            out.append(n)
+    return out
+
+
+def test_small_pieces_join_like_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    cases = [[rng.choice([1, 2, 3, 9]) for _ in range(n)] for n in list(range(1, 12)) * 6 + [200]]
+    made = [([(sum(sizes[:i]), None, ["x"] * n) for i, n in enumerate(sizes)],) for sizes in cases]
+    df = spark.createDataFrame(made, "p array<struct<start:int,label:string,lines:array<string>>>")
+    got = [[len(m.lines) for m in r[0]] for r in df.select(cut.merge_small(F.col("p"), 3)).collect()]
+    assert got == [brute_merge(sizes, 3) for sizes in cases]
+
+
+@pytest.mark.parametrize("form", ["merge", "compat"])
+def test_piece_steps_take_linear_time(spark, form):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(
+            F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+                (i * 2).cast("int").alias("start"), F.lit("Function").alias("label"), F.array(F.lit("a"), F.lit("b")).alias("lines"))).alias("p"),
+            F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+                (i * 2).cast("int").alias("line"), F.lit("Function").alias("label"))).alias("b"))
+        step = cut.merge_small(F.col("p"), 4) if form == "merge" else cut.relabel_at_running_starts(F.col("p"), F.col("b"))
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            assert df.select(F.size(step)).first()[0] == (n // 2 if form == "merge" else n)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(100)
+    small, large = seconds(20_000), seconds(40_000)
+    assert large <= 3 * small + 1, (small, large)
