@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_cases import LONG, ROWS, duck, edge_documents, no_documents, words
 from lumenseek.llm import decontaminate, fingerprints, tokens
@@ -87,19 +88,34 @@ def _hash(value, seed=42):
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(raw, seed=seed & 0xFFFFFFFFFFFFFFFF).intdigest()))[0]
 
 
-def _plain_codes(text: str) -> list[int]:
+def _plain_codes(text: str) -> dict:
+    """Hash and first word position of every anchor."""
     found = [w for w in regex.split(r"[^\p{L}\p{N}]+|(?<=[⺀-鿿])|(?=[⺀-鿿])", text, flags=regex.V1) if w]
     h = [_hash(w) for w in found]
     s = [_hash(b, _hash(a)) for a, b in zip(h, h[1:])]
-    codes = {(_hash(z, _hash(x)) >> 32) & 0xFFFFFFFF for x, y, z in zip(s, s[1:], s[2:]) if y >= min(x, z)}
-    return sorted(codes)[:fingerprints.KEPT] or [(_hash("text", _hash(text)) >> 32) & 0xFFFFFFFF]
+    codes: dict = {}
+    for i, (x, y, z) in enumerate(zip(s, s[1:], s[2:])):
+        if y >= min(x, z):
+            codes.setdefault((_hash(z, _hash(x)) >> 32) & 0xFFFFFFFF, i)
+    return codes or {(_hash("text", _hash(text)) >> 32) & 0xFFFFFFFF: 0}
+
+
+def _plain_text(codes) -> str:
+    return ",".join(f"{c:08x}{i:x}" for c, i in sorted(codes.items(), key=lambda x: x[1]))
 
 
 def _plain_likeness(a, b):
-    union = sorted(set(a) | set(b))
-    if len(a) >= fingerprints.KEPT or len(b) >= fingerprints.KEPT:
-        union = union[:fingerprints.KEPT]
-    return len(set(a) & set(b) & set(union)) / len(union)
+    runs: list[list] = []
+    for x, y in sorted((a[c], b[c]) for c in a.keys() & b.keys()):
+        if runs and x - y == runs[-1][3]:
+            runs[-1][1:3] = y, runs[-1][2] + 1
+        else:
+            runs.append([y, y, 1, x - y])
+    best: list = []
+    for first, _, n, _ in runs:
+        best.append(n + max((m for (_, last, _, _), m in zip(runs, best) if last < first), default=0))
+    both = max(best, default=0)
+    return both / (len(a) + len(b) - both)
 
 
 @pytest.fixture
@@ -121,8 +137,8 @@ def test_fingerprints_equal_plain_ones(spark, monkeypatch, no_broadcast, rows):
         half = len(text) // 2
         edited = text[:len(text) - half] + after[:half]
         a, e, n = _plain_codes(text), _plain_codes(edited), _plain_codes(after)
-        expected.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{c:08x}" for c in a),
-                         "".join(f"{c:08x}" for c in e), _plain_likeness(a, e), _plain_likeness(a, n)))
+        expected.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), _plain_text(a),
+                         _plain_text(e), _plain_likeness(a, e), _plain_likeness(a, n)))
     got = [tuple(r) for r in fingerprints.op7_fingerprints(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
@@ -133,7 +149,7 @@ def test_fingerprints_of_long_texts_are_whole(spark):
     rows = fingerprints.op7_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     shared = set(_plain_codes(" ".join(passage)))
     for r in rows:
-        found = {int(r.fingerprint[i:i + 8], 16) for i in range(0, len(r.fingerprint), 8)}
+        found = {int(x[:8], 16) for x in r.fingerprint.split(",")}
         assert len(found) > 3000 and shared <= found
         assert r.near_next >= len(shared) / (2 * len(found))
 
@@ -145,7 +161,6 @@ def test_fingerprints_of_little(spark):
 
 
 def test_anchors_move_with_the_text(spark):
-    from pyspark.sql import functions as F
     passage = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(passage,), ("x y z " + passage,)], "text string").select(
         fingerprints.anchors(F.col("text")).alias("a")).collect()
@@ -153,6 +168,18 @@ def test_anchors_move_with_the_text(spark):
     assert first <= second
 
 
+def test_likeness_follows_the_order_of_passages(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(400)) for c in "xyz")
+    whole = f"{one} {two} {three}"
+    others = [whole, f"{one} some words more {two} {three}", f"{two} {three} {one}", f"{three} {two} {one}", f"{one} {three}", "nothing in common at all here",
+              " ".join(w for i, w in enumerate(whole.split()) if i % 50), f"{one} {one} {two} {two} {three}"]
+    rows = spark.createDataFrame([(i, whole, o) for i, o in enumerate(others)], "i int, a string, b string")
+    got = [r[0] for r in rows.orderBy("i").select(fingerprints.likeness(fingerprints.placed(F.col("a")), fingerprints.placed(F.col("b")))).collect()]
+    assert got == [_plain_likeness(_plain_codes(whole), _plain_codes(o)) for o in others]
+    assert got[0] == 1 and got[1] > 0.97 and 0.45 < got[2] < 0.55 and 0.18 < got[3] < 0.25 and 0.6 < got[4] < 0.7 and got[5] == 0
+    assert 0.7 < got[6] < 1 and got[7] > 0.95
+
+
 def test_fingerprint_plan_has_no_python(spark):
     plan = fingerprints.op7_fingerprints(table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
