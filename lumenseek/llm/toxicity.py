@@ -18,13 +18,13 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenseek.llm.common import fold, labelled_sample, ready, staged
 
 #: Most labelled rows that weights are learned from; they are chosen by hash of the id.
 MAX_SAMPLE = 12_000
-MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT = 2_000, 3, 1.5
+MAX_TERMS, MAX_EXCEPTIONS, LEAST_DOCS, LEAST_WEIGHT = 2_000, 2_000, 3, 1.5
 STEMS, LEAST_WORD = (4, 5, 6), 3
 THRESHOLD = 0.7
 
@@ -91,10 +91,9 @@ class Lexicon:
         return np.log1p(total), np.log1p(100 * total / max(text.count(" ") - 1, 1))
 
 
-def _bound(n1, n0, toxic: int, other: int):
-    """Lower confidence bound of the log odds ratio of a term."""
-    n1, n0 = np.asarray(n1, float) + 0.5, np.asarray(n0, float) + 0.5
-    return np.log(n1 / (toxic + 1)) - np.log(n0 / (other + 1)) - 1.64 * np.sqrt(1 / n1 + 1 / n0)
+def _bound(n1: Column, n0: Column, toxic: int, other: int) -> Column:
+    """Lower confidence bound of the log odds ratio of a term, from its counts plus a half."""
+    return F.log(n1 / (toxic + 1)) - F.log(n0 / (other + 1)) - 1.64 * F.sqrt(1 / n1 + 1 / n0)
 
 
 def _counted(found_in, sample: DataFrame):
@@ -116,11 +115,13 @@ def _all_terms(text: str) -> set:
 
 
 def learn(sample: DataFrame, toxic: int, other: int) -> Lexicon:
-    """Terms and exceptions of ``sample(label, text)``."""
-    rows = (_counted(_all_terms, sample).where(f"n1 >= {LEAST_DOCS} and n1 * {other + 1} > n0 * {toxic + 1}")
-            .orderBy(F.desc(F.col("n1") / (F.col("n0") + 1)), F.desc("n1"), "what").limit(4 * MAX_TERMS).toPandas())
-    rows["weight"] = _bound(rows["n1"], rows["n0"], toxic, other)
-    rows = rows[rows["weight"] >= LEAST_WEIGHT].sort_values(["weight", "what"], ascending=[False, True]).head(MAX_TERMS)
+    """Terms and exceptions of ``sample(label, text)``: the ``MAX_TERMS`` of greatest bound, the ``MAX_EXCEPTIONS`` most harmless.
+
+    Ties go to the smaller term, so the sample alone decides, not the order of its rows.
+    """
+    n1, n0 = F.col("n1") + 0.5, F.col("n0") + 0.5
+    rows = (_counted(_all_terms, sample).where(f"n1 >= {LEAST_DOCS}").withColumn("weight", _bound(n1, n0, toxic, other))
+            .where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), "what").limit(MAX_TERMS).toPandas())
     lexicon = Lexicon(dict(zip(rows["what"], rows["weight"])))
 
     def phrases(text: str) -> set:
@@ -135,8 +136,8 @@ def learn(sample: DataFrame, toxic: int, other: int) -> Lexicon:
                 out.add(text[start:after + 1])
         return out
 
-    shown = _counted(phrases, sample).where(f"n0 >= {2 * LEAST_DOCS}").limit(MAX_TERMS).toPandas()
-    harmless = shown[(shown["n0"] + 0.5) * (toxic + 1) > (shown["n1"] + 0.5) * (other + 1)]
+    harmless = (_counted(phrases, sample).where(f"n0 >= {2 * LEAST_DOCS}").where(n0 * (toxic + 1) > n1 * (other + 1))
+                .orderBy(F.desc(n0 / n1), "what").limit(MAX_EXCEPTIONS).toPandas())
     return Lexicon(lexicon.weights, sorted(harmless["what"]))
 
 

@@ -135,3 +135,12 @@ def test_language_margins_do_not_depend_on_the_batch():
     together = np.concatenate([model.posterior(p) for p in language.ta.pieces(texts)])
     alone = np.concatenate([model.posterior(p) for i in range(6) for p in language.ta.pieces(texts.slice(i, 1))])
     assert np.allclose(together, alone)
+
+
+def test_lexicon_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 20)
+    monkeypatch.setattr(toxicity, "MAX_EXCEPTIONS", 5)
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    one, two = (toxicity.train(d, labels) for d in (docs.repartition(3), docs.repartition(7)))
+    assert one.lexicon.weights == two.lexicon.weights and len(one.lexicon.weights) == 20
+    assert np.allclose(one.weights, two.weights)
