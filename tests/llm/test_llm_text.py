@@ -221,3 +221,30 @@ def test_worker_cache_is_bounded(monkeypatch):
         counter = tokens.Counter(f.read(), {"the": 1})
     assert counter("the cat sat on a mat by a lake") == 9 and len(counter.lengths) == 4
     assert LONG
+
+
+def test_every_script_is_looked_up():
+    path, library = _library()
+    with open(path, encoding="utf-8") as f:
+        counter = tokens.Counter(f.read(), {})
+    library.encode_special_tokens = False
+    texts = ["\u201cCurly\u201d quotes \u2014 and dashes\u2026 it\u2019s", "Москва и ΣΊΣΥΦΟΣ Σ", "日本語の文章です。 漢字 ABC", "emoji \U0001f600\U0001f600 x\u200dy", "İı ﬁ Å Å ｆｕｌｌ",
+             "عربي ١٢٣", "हिन्दी १२", "a\u00a0b\u2003c\u0085d"]
+    for text in texts * 2:
+        assert counter(text) == len(library.encode(text, add_special_tokens=False).ids), text
+        assert counter.pre_tokens(text) is not None
+    assert len(counter.wide) > 20
+    known = dict(counter.wide)
+    counter.wide.encode = None  # everything is known by now
+    for text in texts:
+        counter(text)
+    assert dict(counter.wide) == known
+
+
+def test_sample_is_not_sent_to_one_task(spark):
+    path, _ = _library()
+    docs = table(spark, SF, "documents")
+    with open(path, encoding="utf-8") as f:
+        definition = spark.sparkContext.broadcast(f.read())
+    found = tokens.frequent_lengths(docs, definition, spark.sparkContext.broadcast({}))
+    assert len(found) > 100 and found == tokens.frequent_lengths(docs.repartition(7), definition, spark.sparkContext.broadcast({}))
