@@ -31,13 +31,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of the languages; none is dropped, as rates are at least one."""
+    """Documents repeated to the target weights of the languages; none is dropped, as rates are at least one.
+
+    Null texts have the prior as posterior and are repeated like any other; an empty table stays empty.
+    """
     return mixing.repeated(docs, docs.select("doc_id", "text", F.col("lang").alias("domain")), least=1.0)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
-    return sharding.manifest(docs)
+    """Every row, text included, with its shard and its slot there; equal rows get a slot each."""
+    return sharding.sharded(docs)
 
 
 STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("mixing", mix),

@@ -19,6 +19,7 @@ Repeated rows are repeated documents. Without labelled rows there is one domain,
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from math import log
 
@@ -172,9 +173,10 @@ def op1_mixing(docs: DataFrame, weights: dict[str, float] | None = None, least:
 
 
 def repeated(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:
-    """Rows of ``docs``, each as often as its rate says."""
+    """Rows of ``docs``, each as often as its rate says; columns of any name are kept as they are."""
     _, domains, steps, _ = fitted(docs, labelled, weights, least)
     rate = _rate(domains.members("text")["posterior"], steps, least)
+    times, copy = (f"{name}_{uuid.uuid4().hex}" for name in ("times", "copy"))
     copies = F.sequence(F.lit(1), _copies(rate, F.col("doc_id")))
-    kept = docs.withColumn("__copies", F.when(_copies(rate, F.col("doc_id")) > 0, copies)) if least < 1 else docs.withColumn("__copies", copies)
-    return kept.select(*docs.columns, F.explode("__copies").alias("__copy")).drop("__copy")
+    kept = docs.withColumn(times, F.when(_copies(rate, F.col("doc_id")) > 0, copies) if least < 1 else copies)
+    return kept.select(*docs.columns, F.explode(times).alias(copy)).drop(copy)

@@ -38,6 +38,7 @@ all their words. Rows may repeat a ``doc_id``; a class is named by its smallest
 ``doc_id``. Empty tables give empty results.
 """
 
+import uuid
 from bisect import bisect_left
 
 import numpy as np
@@ -360,16 +361,21 @@ def with_classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, one of each class: that with the smallest ``doc_id``; null texts all stay."""
+    """Rows of ``docs``, one of each class: that with the smallest ``doc_id``; null texts all stay.
+
+    Columns of any name are kept as they are; helper columns have names that no table has.
+    """
     ready(docs.sparkSession)
     classes = near_classes(docs)
-    heads = classes.select(F.col("head.doc").alias("__doc"), F.col("head.same").alias("__head")).distinct()
-    marked = docs.withColumn("__same", _identity())
-    kept = (marked.where("__same is not null")
-            .join(heads, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__same") == F.col("__head")))
-            .dropDuplicates(["__doc", "__head"]))
+    doc, head, same = (f"{name}_{uuid.uuid4().hex}" for name in ("doc", "head", "same"))
+    heads = classes.select(F.col("head.doc").alias(doc), F.col("head.same").alias(head)).distinct()
+    marked = docs.withColumn(same, _identity())
+    kept = (marked.where(F.col(same).isNotNull())
+            .join(heads, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(same) == F.col(head)))
+            .dropDuplicates([doc, head]))
     return kept.select(docs.columns).union(docs.where("text is null"))
 
 
 def op4_near_dedup(docs: DataFrame) -> DataFrame:
+    """Class and number of links of every row; null texts are classes of their own, see the module for other cases."""
     return with_classes(docs)

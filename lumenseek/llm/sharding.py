@@ -17,7 +17,10 @@ has no shards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import functools
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenseek.llm.common import staged
 
@@ -32,12 +35,19 @@ def _offset(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row."""
+ROW = ["doc_id", "source", "size", "text_crc32"]
+
+
+def _row() -> list[Column]:
+    """What a row is known by when it is placed."""
     text = F.coalesce("text", F.lit(""))
-    row = ["doc_id", "source", "size", "text_crc32"]
-    rows = staged(docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                              F.crc32(text).alias("text_crc32")).groupBy(*row).agg(F.count(F.lit(1)).alias("m"))
+    return [F.col("doc_id"), F.col("source"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")]
+
+
+def _assigned(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``ROW``, ``copy`` (number among equal rows), ``shard`` and ``slot`` of every row."""
+    row = ROW
+    rows = staged(docs.select(*_row()).groupBy(*row).agg(F.count(F.lit(1)).alias("m"))
                   .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), 1)), "shard-rows")
     total = rows.agg(F.sum("m")).first()[0] or 0
     stratum = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
@@ -56,7 +66,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
               .withColumn("rank", F.col("rank") + F.col("before") + F.col("copy"))
               .withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("rows"))))
     ranges = max(1, -(-total // BUCKET_ROWS))
-    ranked = staged(ranked.select(*row, "stratum", "rank", "fraction", F.floor(F.col("fraction") * ranges).alias("part")),
+    ranked = staged(ranked.select(*row, "copy", "stratum", "rank", "fraction", F.floor(F.col("fraction") * ranges).alias("part")),
                     "shard-ranked")
     order = Window.partitionBy("part").orderBy("fraction", "stratum", "rank")
     parts = _offset(ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")), [], "part")
@@ -65,16 +75,45 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
               .withColumn("shard", F.floor(F.col("place") * shards / F.lit(max(total, 1))).cast("int")))
     # place * shards stays far below 2^53, so the quotient's floor is exact.
     first = F.ceil(F.col("shard").cast("bigint") * total / F.lit(shards))
-    return placed.select(*row, "shard", (F.col("place") - first).cast("bigint").alias("slot"))
+    return placed.select(*row, "copy", "shard", (F.col("place") - first).cast("bigint").alias("slot"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row."""
+    return _assigned(docs, shards, seed).drop("copy")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """Every row of ``docs`` with all its columns, and its shard and slot.
+
+    Equal rows are one row with a count in the map tasks and get their places by
+    number; rows that differ only in what they are not placed by share the
+    numbers. Columns of ``docs`` named ``shard`` or ``slot`` give way to the new ones.
+    """
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    body, m, first, *key = (f"{name}_{uuid.uuid4().hex}" for name in ("body", "m", "first", *ROW))
+    known = docs.select(F.struct(*columns).alias(body), *[c.alias(k) for c, k in zip(_row(), key)])
+    known = known.groupBy(body, *key).agg(F.count(F.lit(1)).alias(m))
+    before = Window.partitionBy(*key).orderBy(F.xxhash64(body), body).rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn(first, F.coalesce(F.sum(m).over(before), F.lit(0)))
+    placed = _assigned(docs, shards, seed)
+    same = [known[k].eqNullSafe(placed[c]) for k, c in zip(key, ROW)]
+    mine = (placed["copy"] >= known[first]) & (placed["copy"] < known[first] + known[m])
+    found = placed.join(known, functools.reduce(lambda x, y: x & y, [*same, mine]))
+    return found.select(*[F.col(body)[c].alias(c) for c in columns], placed["shard"], placed["slot"])
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 0) -> None:
-    """Write the texts as Parquet, one folder per shard, each ordered by slot; ``doc_id`` must be a key of ``docs``."""
-    place = assign(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.join(place, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the rows as Parquet, one folder per shard, ordered by slot from file to file.
+
+    Ranges of shard and slot are the tasks, so a shard is written by as many as the shuffle has partitions for it.
+    """
+    out = sharded(docs, shards, seed)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def manifest(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """Shard and slot of every row by the law of equal counts; see the module for nulls, repeats and empty tables."""
     out = assign(docs, shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source")

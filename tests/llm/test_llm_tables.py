@@ -101,7 +101,8 @@ def test_shards_are_written(spark, tmp_path):
     docs = table(spark, SF, "documents")
     sharding.write_shards(docs, f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
+    assert back.select("shard").distinct().count() == 8
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
 
 
 # -- near duplicates ------------------------------------------------------------------------------
@@ -278,15 +279,30 @@ def test_canonical_urls(column):
 
 
 # -- pipeline and registration --------------------------------------------------------------------
+CLASHING = ["__same", "__doc", "__head", "__copies", "__copy", "label", "head", "body", "size", "copy", "stratum", "posterior", "kept"]
+
+
 def test_stages_on_edge_rows(spark, tmp_path):
-    for start in (edge_documents(spark), no_documents(spark)):
+    clashing = edge_documents(spark).select("*", *[F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in CLASHING])
+    for start in (clashing, no_documents(spark)):
         docs = start
         for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, SF)
-            assert name == "sharding" or out.columns == start.columns
+            assert out.columns == start.columns + (["shard", "slot"] if name == "sharding" else [])
             path = f"file://{tmp_path}/{start.count()}-{at}"
             out.write.parquet(path)
             docs = spark.read.schema(out.schema).parquet(path)
+            known = {str(tuple(r)) for r in start.collect()}
+            assert {str(tuple(r)[:len(start.columns)]) for r in docs.collect()} <= known
+
+
+def test_sharded_rows_are_the_rows_that_came_in(spark):
+    docs = edge_documents(spark).union(edge_documents(spark).selectExpr(
+        "doc_id", "text", "'other' lang", "source", "n_chars", "score", "key", "found")).union(edge_documents(spark)).withColumn("slot", F.lit("x"))
+    out = sharding.sharded(docs).collect()
+    plain = [c for c in docs.columns if c != "slot"]
+    assert Counter(str([r[c] for c in plain]) for r in out) == Counter(str([r[c] for c in plain]) for r in docs.collect())
+    assert sorted((r.shard, r.slot) for r in out) == sorted((r.shard, r.slot) for r in sharding.manifest(docs).collect())
 
 
 def test_pipeline_keeps_clean_documents(spark):
@@ -302,6 +318,6 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 14))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mixing", "sharding"]
     assert edge_labels and ROWS and duckdb
