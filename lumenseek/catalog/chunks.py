@@ -153,15 +153,23 @@ def chunk_tsx(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_files(t.source_files(spark, sf, "text", t.TSX_TEMPLATES, "tsx"), timestamp=0).select(*_SHOWN)
 
 
-OPTIONS_HEAD = "<script>\nexport default {\n  data() {\n    return {};\n  },\n  methods: {\n"
-OPTIONS_TAIL = "\n  },\n  mounted() {\n    go();\n  },\n};\n</script>\n"
+OPTIONS_HEAD = ("<script>\nexport default {\n  props: ['a'],\n  emits: ['go'],\n  data() {\n    return {};\n  },\n  methods: {\n")
+#: What stands between the sections of members, which are the same in each.
+OPTION_SECTIONS = {"methods": "Vue Methods Method", "computed": "Vue Computed Method", "watch": "Vue Watch Method"}
+OPTIONS_TAIL = "\n  },\n" + "".join(f"  {hook}() {{\n    go();\n  }},\n" for hook in fv.LIFECYCLE_HOOKS) + "};\n</script>\n"
+
+
+def _options_parts(text: str) -> list[str]:
+    """The parts of a component around and with its members, which are called ``text``."""
+    between = [f"\n  }},\n  {name}: {{\n" for name in list(OPTION_SECTIONS)[1:]]
+    return [OPTIONS_HEAD, text, *[part for gap in between for part in (gap, text)], OPTIONS_TAIL]
 
 
 def chunk_options(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as components whose options object has a method for every line."""
+    """Documents as components: every section has a member for every line, and there is every hook."""
     files = t.source_files(spark, sf, "text", t.OPTION_TEMPLATES, "vue")
-    whole = files.withColumn("text", F.concat(F.lit(OPTIONS_HEAD), "text", F.lit(OPTIONS_TAIL)))
-    return chunk_files(whole, timestamp=0).select(*_SHOWN)
+    whole = F.concat(*[F.col("text") if part == "text" else F.lit(part) for part in _options_parts("text")])
+    return chunk_files(files.withColumn("text", whole), timestamp=0).select(*_SHOWN)
 
 
 def top_node_kinds(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,19 +233,25 @@ pts AS (
   UNION ALL SELECT doc_id, {_OFFSET} + nl + 1, 1000000000, 'Style' FROM sizes),
 marks AS (SELECT doc_id, 3 AS line FROM files)"""
 
-_options_text = ("'" + OPTIONS_HEAD.replace("\n", "' || chr(10) || '") + "' || text || '"
-                 + OPTIONS_TAIL.replace("\n", "' || chr(10) || '") + "'")
+_options_text = " || ".join("text" if part == "text" else "'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+                            for part in _options_parts("text"))
 _OPTIONS_AT = OPTIONS_HEAD.count("\n")
+_sections = ", ".join(f"({k}, '{label}')" for k, label in enumerate(OPTION_SECTIONS.values()))
+_hooks = ", ".join(f"({k})" for k in range(len(fv.LIFECYCLE_HOOKS)))
 _OPTION_FILES = f"""{t.sql_units(t.OPTION_TEMPLATES, "vue")},
 files AS (SELECT doc_id, file_path, language, {_options_text} AS text FROM source_files),
 known(kind, off, seq, label) AS (VALUES {_values(t.OPTION_POINTS)}),
 sizes AS (SELECT doc_id, len(string_split(text, chr(10))) AS nl FROM source_files),
+sections(k, name) AS (VALUES {_sections}), hooks(k) AS (VALUES {_hooks}),
 pts AS (
-  SELECT doc_id, start_row + off + {_OPTIONS_AT} AS line, i * 100 + seq AS seq, label FROM units JOIN known USING (kind)
-  UNION ALL SELECT doc_id, 0, -3, 'Script' FROM files
-  UNION ALL SELECT doc_id, 1, -2, 'Export' FROM files
-  UNION ALL SELECT doc_id, 2, -1, 'Data Function' FROM files
-  UNION ALL SELECT doc_id, {_OPTIONS_AT} + nl + 1, 1000000000, 'Lifecycle Hook' FROM sizes),
+  SELECT doc_id, start_row + off + {_OPTIONS_AT} + k * (nl + 2) AS line, k * 1000000000 + i * 100 + seq AS seq, name AS label
+  FROM units JOIN known USING (kind) JOIN sizes USING (doc_id) CROSS JOIN sections
+  UNION ALL SELECT doc_id, 0, -5, 'Script' FROM files
+  UNION ALL SELECT doc_id, 1, -4, 'Export' FROM files
+  UNION ALL SELECT doc_id, 2, -3, 'Props Definition' FROM files
+  UNION ALL SELECT doc_id, 3, -2, 'Emits Definition' FROM files
+  UNION ALL SELECT doc_id, 4, -1, 'Data Function' FROM files
+  UNION ALL SELECT doc_id, {_OPTIONS_AT} + 3 * nl + 5 + 3 * k, 5000000000 + k, 'Lifecycle Hook' FROM sizes CROSS JOIN hooks),
 marks AS (SELECT doc_id, 0 AS line FROM files WHERE false)"""
 
 _STEPS = """flagged AS (

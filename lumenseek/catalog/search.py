@@ -8,7 +8,8 @@ from lumenseek import fixed_values as fv
 from lumenseek.catalog import tables as t
 from lumenseek.functions import scoring, vector as vec
 from lumenseek.operators import grouping, ranking
-from lumenseek.operators.embedding import embed
+from lumenseek.operators.embedding import embed, retry_failed
+from lumenseek.providers.embedding import HashProvider
 from lumenseek.providers.preparation import tokenize
 from lumenseek.session import shared_folder, spread
 
@@ -45,7 +46,6 @@ def vector_topk_default_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with vectors of their whole text from the offline provider."""
-    from lumenseek.providers.embedding import HashProvider
     provider = HashProvider(t.DIMENSIONS)
     prepared = provider.model.prepared(F.col("text"), is_query=False)
     return embed(spread(t.document_chunks(spark, sf)), prepared, provider).drop("tokens_used", "embed_error")
@@ -55,6 +55,37 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return _hashed(spark, sf).select("doc_id", "vector")
 
 
+class FlakyProvider(HashProvider):
+    """Trouble that depends on a text's length alone, so that what comes of it can be said in SQL.
+
+    Every 7th length raises; every 5th raises unless the text is sent alone; every 11th gets an empty vector. A
+    recovered service only raises for odd multiples of 7.
+    """
+
+    def __init__(self, dimensions: int, recovered: bool = False):
+        super().__init__(dimensions)
+        self.recovered = recovered
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        sizes = [len(text) for text in texts]
+        if any(n % 7 == 0 and not (self.recovered and n % 2 == 0) for n in sizes):
+            raise RuntimeError("hard text")
+        if not self.recovered and len(texts) > 1 and any(n % 5 == 0 for n in sizes):
+            raise RuntimeError("too much at once")
+        return [[] if n % 11 == 0 and not self.recovered else v for n, v in zip(sizes, super().embed(texts))]
+
+
+def embed_with_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents embedded by a service in trouble, and what failed again after it recovered."""
+    docs = t.texts(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    options = {"tries": 2, "sleep": lambda seconds: None}
+    folder = shared_folder(spark, "flaky")
+    embed(docs, F.col("text"), FlakyProvider(t.DIMENSIONS), **options).write.parquet(folder)
+    first = spark.read.parquet(folder)
+    done = retry_failed(first, F.col("text"), FlakyProvider(t.DIMENSIONS, recovered=True), key="doc_id", **options)
+    return done.select("doc_id", F.col("embed_error").alias("first_error"), F.size("vector").alias("dimensions"))
+
+
 def batch_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = {name: t.query_vector(text) for name, text in t.QUERY_TEXTS.items()}
@@ -148,7 +179,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_default_threshold, hash_embed, batch_vector_topk, keyword_scan, hybrid_rrf,
+    vector_topk, vector_topk_default_threshold, hash_embed, embed_with_failures, batch_vector_topk, keyword_scan, hybrid_rrf,
     rerank, search_type_filtered, search_extension_filtered, results_by_file, results_tree, view_counts,
     display_scores, rerank_signals, l2_normalize)}
 
@@ -251,6 +282,9 @@ ORACLES = {
       scored AS (SELECT id, {t.sql_d2('vector', _DEFAULT_Q)} AS d2 FROM hashed JOIN document_chunks USING (doc_id)),
       top AS (SELECT *, row_number() OVER (ORDER BY d2, id)::INTEGER AS rank, {t.SQL_SIMILARITY} AS similarity FROM scored)
       SELECT rank, id, similarity, {_SCORE} FROM top WHERE rank <= 20 AND similarity >= 0.5""",
+    "embed_with_failures": f"""SELECT doc_id, CASE WHEN n % 7 = 0 THEN 'hard text' WHEN n % 11 = 0 THEN 'empty vector' END AS first_error,
+      CASE WHEN n % 7 = 0 AND n % 2 = 1 THEN 0 ELSE {t.DIMENSIONS} END AS dimensions
+      FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)""",
     "hash_embed": f"WITH {sql_hashed('text', 'documents', 'doc_id')} SELECT doc_id, vector FROM hashed",
     "batch_vector_topk": f"""SELECT query, id, d2, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id)::INTEGER AS rank FROM ({_BATCH})) WHERE rank <= 5""",

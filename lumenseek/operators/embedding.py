@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,14 +16,15 @@ from lumenseek.session import ship_package
 
 
 def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: int = 32,
-          pause: float = 0.0, tries: int = 3, max_concurrency: int | None = None) -> DataFrame:
+          pause: float = 0.0, tries: int = 3, max_concurrency: int | None = None,
+          sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Adds ``vector``, ``tokens_used`` and ``embed_error`` for a prepared text column.
 
     The vector stays in its text's row, so nothing is ever joined by position.
     ``max_concurrency`` bounds how many tasks call a service at a time, by an
     exchange that leaves the stages before it their own partitions; leave it out
     for providers that run inside the task. A request budget is divided by it,
-    or by the session's cores.
+    or by the session's cores. ``sleep`` waits between tries and requests.
     """
     ship_package(df.sparkSession)
     provider.shared_by(max_concurrency or df.sparkSession.sparkContext.defaultParallelism)
@@ -33,7 +35,7 @@ def embed(df: DataFrame, prepared, provider: EmbeddingProvider, *, batch_size: i
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         provider.open()
         embedder = BatchEmbedder(provider.embed, failures=lambda: provider.failures, batch_size=min(batch_size, provider.batch_limit or batch_size),
-                                 pause=pause, item_pause=pause / 2, tries=tries)
+                                 pause=pause, item_pause=pause / 2, tries=tries, sleep=sleep)
         try:
             for texts in batches:
                 before = provider.tokens_used
