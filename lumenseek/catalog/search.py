@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenseek import fixed_values as fv
 from lumenseek.catalog import tables as t
+from lumenseek.catalog.text import _LABEL, sql_trim
+from lumenseek.config import Settings
 from lumenseek.functions import scoring, vector as vec
-from lumenseek.operators import grouping, ranking
+from lumenseek.operators import grouping, ranking, reports
 from lumenseek.operators.embedding import embed, retry_failed
-from lumenseek.providers.embedding import HashProvider
+from lumenseek.plans.chunking import fallback_chunks
+from lumenseek.plans.engine import CodeSearch, SearchParams
+from lumenseek.providers.embedding import HashProvider, HostedProvider
 from lumenseek.providers.preparation import tokenize
 from lumenseek.session import shared_folder, spread
 
 LIMIT = 20
 LOW_THRESHOLD = 0.1
+WILDCARDS = ["the%and", "t_e ", "100%", "_", "src"]
 KINDS = ["function", "class", "method", "interface", "jsx", "data", "component", "import"]
 
 _SHOWN = ["rank", "id", "file_path", "type", "similarity", "distance", "score", "low_relevance"]
@@ -152,6 +159,73 @@ def view_counts(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.view_counts(_hybrid(spark, sf), KINDS)
 
 
+ENGINE_LINES, ENGINE_LIMIT = 20, 10
+#: Of every 50 documents one is changed and one deleted between the two searches.
+CHANGED, DELETED, EVERY = 7, 8, 50
+
+
+def _engine_settings() -> Settings:
+    return Settings(embedding_provider="hash", hash_dimensions=t.DIMENSIONS, max_file_size=1048576, min_similarity=0.0,
+                    search_result_limit=ENGINE_LIMIT)
+
+
+def engine_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents indexed, searched, some changed and deleted, and searched again, through the engine."""
+    engine = CodeSearch(spark, shared_folder(spark, "engine"), _engine_settings(), buckets=8)
+    path = F.concat(F.lit("/ws/doc_"), F.col("doc_id").cast("string"), F.lit(".css"))
+    docs = t.table(spark, sf, "documents").select("doc_id", path.alias("file_path"), "text")
+    engine.index_table(docs, "file_path", "text", chunker=lambda files: fallback_chunks(files, ENGINE_LINES))
+
+    def shown(phase: str) -> list:
+        rows = engine.search_frame(SearchParams(t.QUERY_TEXT)).select(
+            F.lit(phase).alias("phase"), "rerank_position", "id", "type", "similarity", "rerank_score")
+        return rows.collect()  # at most the limit
+
+    before = shown("built")
+    part = F.pmod("doc_id", F.lit(EVERY))
+    engine.reindex_files(docs.where(part == CHANGED).select("file_path", F.concat(
+        F.lit(f"{t.QUERY_TEXT} "), F.col("doc_id").cast("string")).alias("text")))
+    engine.delete_files(docs.where(part == DELETED).select("file_path"))
+    return spark.createDataFrame(before + shown("changed"), "phase string, rerank_position int, id string, type string, "
+                                 "similarity double, rerank_score double")
+
+
+def keyword_wildcards(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords with LIKE wildcards, each by itself."""
+    found = [ranking.keyword_matches(t.document_chunks(spark, sf), keyword, LIMIT, order="doc_id").select(
+        F.lit(keyword).alias("keyword"), "keyword_rank", "doc_id") for keyword in WILDCARDS]
+    return functools.reduce(DataFrame.union, found)
+
+
+def hybrid_with_quote(spark: SparkSession, sf: str) -> DataFrame:
+    """A keyword with a quote leaves the vector search alone."""
+    found = ranking.hybrid_search(t.search_chunks(spark, sf), t.query_vector(t.QUERY_TEXT), "it's", LIMIT, LOW_THRESHOLD)
+    return found.select("rank", "id", "similarity", "score", "low_relevance")
+
+
+class ScriptedService:
+    """A hosted service that answers in reversed order and charges a token for every four characters begun."""
+
+    def call(self, path: str, body: dict | None = None, **_) -> dict:
+        texts = body["input"]
+        data = [{"index": i, "embedding": [len(text), text.count("a")]} for i, text in enumerate(texts)]
+        return {"data": data[::-1], "usage": {"total_tokens": sum(-(-len(text) // 4) for text in texts)}}
+
+
+def _hosted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = t.texts(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return embed(docs, F.col("text"), HostedProvider("text-embedding-3-small", "key", transport=ScriptedService()))
+
+
+def hosted_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a hosted service, put in order by the index of each answer."""
+    return _hosted(spark, sf).select("doc_id", F.get("vector", F.lit(0)).alias("n_chars"), F.get("vector", F.lit(1)).alias("letters"))
+
+
+def token_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.token_usage(_hosted(spark, sf))
+
+
 def display_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity, percent and relevance flag of every stored vector to one query."""
     d2 = vec.squared_l2(F.col("embedding"), t.query_vector(t.QUERY_TEXT))
@@ -179,7 +253,8 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_default_threshold, hash_embed, embed_with_failures, batch_vector_topk, keyword_scan, hybrid_rrf,
+    vector_topk, vector_topk_default_threshold, hash_embed, embed_with_failures, engine_search, keyword_wildcards, hybrid_with_quote, hosted_vectors,
+    token_usage, batch_vector_topk, keyword_scan, hybrid_rrf,
     rerank, search_type_filtered, search_extension_filtered, results_by_file, results_tree, view_counts,
     display_scores, rerank_signals, l2_normalize)}
 
@@ -250,13 +325,16 @@ _ONE_DECIMAL = ("((floor(similarity * 100 * 10 + 0.5)::BIGINT // 10)::VARCHAR ||
                 "(floor(similarity * 100 * 10 + 0.5)::BIGINT % 10)::VARCHAR)")
 
 
-def sql_hashed(text: str, source: str, key: str, prefix: str = "") -> str:
+def sql_hashed(text: str, source: str, key: str, prefix: str = "", hyphens: bool = True) -> str:
     """Hash vectors of a text column, as CTE ``hashed(key, vector)``."""
     split = f"regexp_replace({text}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
     split = f"regexp_replace({split}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
-    split = f"regexp_replace(replace(replace({split}, '_', ' '), '-', ' '), '{_WS}+', ' ', 'g')"
+    split = f"replace({split}, '_', ' ')"
+    if hyphens:
+        split = f"replace({split}, '-', ' ')"
+    split = f"regexp_replace({split}, '{_WS}+', ' ', 'g')"
     return f"""words AS (
-  SELECT {key}, unnest(string_split(lower(trim({split}, ' ')), ' ')) AS w FROM {source}),
+  SELECT {key}, unnest(string_split(lower('{prefix}' || trim({split}, ' ')), ' ')) AS w FROM {source}),
 slots AS (
   SELECT {key}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % {t.DIMENSIONS} AS slot,
          sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS s
@@ -273,7 +351,40 @@ _BATCH = " UNION ALL ".join(
     f"SELECT '{name}' AS query, vec_id AS id, {t.sql_d2('embedding', t.sql_list(t.query_vector(text)))} AS d2 FROM embeddings"
     for name, text in t.QUERY_TEXTS.items())
 
+_ENGINE_Q = t.sql_list(t.query_vector(HashProvider(t.DIMENSIONS).model.prepare(t.QUERY_TEXT, is_query=True)))
+_ENGINE = f"""WITH docs AS (SELECT doc_id, '/ws/doc_' || doc_id || '.css' AS file_path, text FROM documents),
+doc_lines AS (SELECT doc_id, file_path, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line
+      FROM docs),
+pieces AS (SELECT doc_id, file_path, min(i) + 1 AS s, max(i) + 1 AS e, string_agg(line, chr(10) ORDER BY i) AS code
+           FROM doc_lines GROUP BY doc_id, file_path, i // {ENGINE_LINES}),
+built AS (SELECT doc_id, file_path, file_path || ':' || s || '-' || e AS id, 'block' AS type, {sql_trim('code')} AS text FROM pieces
+          WHERE {sql_trim('code')} <> ''),
+chunks AS (
+  SELECT 'built' AS phase, * FROM built
+  UNION ALL SELECT 'changed', * FROM built WHERE doc_id % {EVERY} NOT IN ({CHANGED}, {DELETED})
+  UNION ALL SELECT 'changed', doc_id, file_path, file_path || ':1-1', 'css', '{t.QUERY_TEXT} ' || doc_id FROM docs
+            WHERE doc_id % {EVERY} = {CHANGED}),
+inputs AS (SELECT phase || id AS k, *, concat_ws(chr(10), '[CSS]', 'doc_' || doc_id || '.css', {_LABEL}, '', text) AS input FROM chunks),
+{sql_hashed('input', 'inputs', 'k', 'search_document: ', hyphens=False)},
+scored AS (SELECT i.*, {t.sql_d2('vector', _ENGINE_Q)} AS d2 FROM hashed JOIN inputs i USING (k)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY d2, id)::INTEGER AS rank, {t.SQL_SIMILARITY} AS similarity
+         FROM scored QUALIFY rank <= {ENGINE_LIMIT}),
+{_sql_signals('hits')},
+reranked AS (SELECT *, 0.5::DOUBLE * similarity + 0.3::DOUBLE * ratio + 0.1::DOUBLE * path + 0.1::DOUBLE * bonus AS rerank_score FROM signals)
+SELECT phase, row_number() OVER (PARTITION BY phase ORDER BY rerank_score DESC, rank)::INTEGER AS rerank_position, id, type,
+       similarity, rerank_score FROM reranked"""
+_WILD = " UNION ALL ".join(f"""(SELECT '{w}' AS keyword, row_number() OVER (ORDER BY doc_id)::INTEGER AS keyword_rank, doc_id FROM documents
+      WHERE text LIKE '%{w}%' ORDER BY doc_id LIMIT {LIMIT})""" for w in WILDCARDS)
+
 ORACLES = {
+    "engine_search": _ENGINE,
+    "keyword_wildcards": _WILD,
+    "hybrid_with_quote": f"""{_WITH},
+      top AS (SELECT *, row_number() OVER (ORDER BY d2, id)::INTEGER AS rank, {t.SQL_SIMILARITY} AS similarity FROM scored)
+      SELECT rank, id, similarity, {_SCORE} FROM top WHERE rank <= {LIMIT} AND similarity >= {LOW_THRESHOLD}""",
+    "hosted_vectors": """SELECT doc_id, length(coalesce(text, ''))::FLOAT AS n_chars,
+      (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'a', '')))::FLOAT AS letters FROM documents""",
+    "token_usage": """SELECT coalesce(sum(ceil(length(coalesce(text, '')) / 4.0)), 0)::BIGINT AS tokens_used FROM documents""",
     "vector_topk": f"""{_WITH},
       top AS (SELECT *, row_number() OVER (ORDER BY d2, id)::INTEGER AS rank, {t.SQL_SIMILARITY} AS similarity FROM scored)
       SELECT rank, id, file_path, type, similarity, sqrt(d2) AS distance, {_SCORE} FROM top
