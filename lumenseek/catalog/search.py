@@ -32,13 +32,15 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*_SHOWN)
 
 
-#: Vectors of whole documents that this process has written, by application and tables.
-_written: dict[tuple[str, str], str] = {}
+#: Vectors of whole documents that this process has written, by application and state of the table.
+_written: dict[tuple, str] = {}
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """``id`` and ``vector`` of all documents, embedded and written on the first use, like an index."""
-    key = (spark.sparkContext.applicationId, sf)
+    """``id`` and ``vector`` of all documents, embedded and written like an index, and again when the table changes."""
+    files = t.table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    state = files.distinct().agg(F.count(F.lit(1)), F.max("file_modification_time"), F.sum("file_size")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
     if key not in _written:
         folder = shared_folder(spark, "hashed")
         _hashed(spark, sf).select("id", "vector").write.parquet(folder)

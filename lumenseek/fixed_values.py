@@ -197,3 +197,28 @@ CONTENT_RULES = [
     (("vue",), "template", [r"<template"]),
     (("vue",), "css", [r"<style"]),
 ]
+
+# --- node kinds by syntax label, for diagnosis -------------------------------------
+TOP_KINDS = {
+    "Import": "import_statement", "Export": "export_statement", "Function": "function_declaration",
+    "Class": "class_declaration", "Abstract Class": "abstract_class_declaration",
+    "Interface": "interface_declaration", "Type Alias": "type_alias_declaration", "Enum": "enum_declaration",
+    "Variable": "lexical_declaration", "Module": "module", "Ambient": "ambient_declaration",
+    "Function Signature": "function_signature", "Rule": "rule_set", "Media Query": "media_statement",
+    "Keyframes": "keyframes_statement", "Script": "script_element", "Template": "template_element",
+    "Style": "style_element",
+}
+
+# --- texts that users see when a service fails, by code or status ------------------
+LOCAL_SERVICE_TEXTS = {
+    "ECONNREFUSED": "Cannot connect to Ollama. Is it running?",
+    "ETIMEDOUT": "Request to Ollama timed out",
+}
+LOCAL_SERVICE_ERROR = "Ollama error: {}"
+HOSTED_SERVICE_TEXTS = {
+    401: "Invalid OpenAI API key. Please check your configuration.",
+    429: "OpenAI rate limit exceeded. Please try again later.",
+    500: "OpenAI server error. Please try again later.",
+    "ETIMEDOUT": "Request to OpenAI timed out",
+}
+HOSTED_SERVICE_ERROR = "OpenAI error: {}"

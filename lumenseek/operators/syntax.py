@@ -138,15 +138,6 @@ NESTED_FUNCTIONS = {
     "options": [METHOD, FUNCTION_PAIR],
     "object": [METHOD],
 }
-TOP_KINDS = {
-    "Import": "import_statement", "Export": "export_statement", "Function": "function_declaration",
-    "Class": "class_declaration", "Abstract Class": "abstract_class_declaration",
-    "Interface": "interface_declaration", "Type Alias": "type_alias_declaration", "Enum": "enum_declaration",
-    "Variable": "lexical_declaration", "Module": "module", "Ambient": "ambient_declaration",
-    "Function Signature": "function_signature", "Rule": "rule_set", "Media Query": "media_statement",
-    "Keyframes": "keyframes_statement", "Script": "script_element", "Template": "template_element",
-    "Style": "style_element",
-}
 
 
 def _any_of(patterns: list[str]) -> str:
@@ -457,7 +448,7 @@ def scan_syntax(files: DataFrame, *, compat: bool = False) -> DataFrame:
 
 def top_level_kinds(scanned: DataFrame) -> DataFrame:
     """Kinds of the labelled nodes at the top of each file, for diagnosis."""
-    kinds = F.transform(F.filter("points", lambda p: F.element_at(literal_map(TOP_KINDS), p["label"]).isNotNull()),
+    kinds = F.transform(F.filter("points", lambda p: F.element_at(literal_map(fv.TOP_KINDS), p["label"]).isNotNull()),
                         lambda p: F.struct(p["line"].alias("line"), F.element_at(
-                            literal_map(TOP_KINDS), p["label"]).alias("kind")))
+                            literal_map(fv.TOP_KINDS), p["label"]).alias("kind")))
     return scanned.select("file_path", kinds.alias("kinds"))

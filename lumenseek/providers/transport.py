@@ -8,6 +8,8 @@ import urllib.error
 import urllib.request
 from dataclasses import dataclass
 
+from lumenseek import fixed_values as fv
+
 
 class ServiceError(Exception):
     """A model service failed; ``str(error)`` is the text shown to the user."""
@@ -54,12 +56,10 @@ def local_error(failure: Exception) -> ServiceError:
     """User text for a failure of the local model server."""
     if not isinstance(failure, HttpFailure):
         return ServiceError(str(failure))
-    if failure.code == "ECONNREFUSED":
-        return ServiceError("Cannot connect to Ollama. Is it running?")
-    if failure.code == "ETIMEDOUT":
-        return ServiceError("Request to Ollama timed out")
+    if failure.code in fv.LOCAL_SERVICE_TEXTS:
+        return ServiceError(fv.LOCAL_SERVICE_TEXTS[failure.code])
     if failure.status is not None:
-        return ServiceError(f"Ollama error: {failure.status} {failure.reason}")
+        return ServiceError(fv.LOCAL_SERVICE_ERROR.format(f"{failure.status} {failure.reason}"))
     return ServiceError(failure.reason)
 
 
@@ -67,18 +67,13 @@ def hosted_error(failure: Exception) -> ServiceError:
     """User text for a failure of the hosted service."""
     if not isinstance(failure, HttpFailure):
         return ServiceError(str(failure))
-    known = {
-        401: "Invalid OpenAI API key. Please check your configuration.",
-        429: "OpenAI rate limit exceeded. Please try again later.",
-        500: "OpenAI server error. Please try again later.",
-    }
-    if failure.status in known:
-        return ServiceError(known[failure.status])
+    if failure.status in fv.HOSTED_SERVICE_TEXTS:
+        return ServiceError(fv.HOSTED_SERVICE_TEXTS[failure.status])
     if failure.status is not None:
         message = ((failure.body or {}).get("error") or {}).get("message")
-        return ServiceError(f"OpenAI error: {message or f'{failure.status} {failure.reason}'}")
-    if failure.code == "ETIMEDOUT":
-        return ServiceError("Request to OpenAI timed out")
+        return ServiceError(fv.HOSTED_SERVICE_ERROR.format(message or f"{failure.status} {failure.reason}"))
+    if failure.code in fv.HOSTED_SERVICE_TEXTS:
+        return ServiceError(fv.HOSTED_SERVICE_TEXTS[failure.code])
     return ServiceError(failure.reason)
 
 

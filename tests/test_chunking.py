@@ -7,6 +7,7 @@ from lumenseek.operators import arrays, cutting as cut
 from lumenseek.operators.syntax import scan_syntax, top_level_kinds
 from lumenseek.plans.chunking import chunk_errors, chunk_files, fallback_chunks
 
+# Fixed sample inputs: their expected lines are given.
 VALIDATORS = """export function validateEmail(email: string): boolean {
     const regex = /^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$/;
     return regex.test(email);
