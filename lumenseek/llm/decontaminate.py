@@ -192,6 +192,11 @@ def matched(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
 
 
 def op9_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Words of every document, those in windows of items, and the items; see the module for nulls and items.
+
+    Repeated rows and ids each give a row, other columns are not read, no documents give no rows. A text is one
+    piece of its task whatever its length (about 40 times its bytes while it is hashed).
+    """
     found = matched(docs.select("doc_id", "text"), benchmark, "found")
     names: Column = F.array_sort(F.transform("found.items", lambda x: x.cast("string")))
     return found.select(

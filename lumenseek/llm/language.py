@@ -149,6 +149,11 @@ def train(labelled: DataFrame, most: int = MAX_SAMPLE) -> Model | None:
 
 
 def op5_language(docs: DataFrame) -> DataFrame:
+    """Predicted language and score of every document; see the module for nulls, missing labels and ties.
+
+    Repeated rows and ids each give a row, other columns are not read, an empty table gives no rows. A text is one
+    piece of its task whatever its length (about 60 times its bytes while it is scored).
+    """
     held = fold("doc_id", 5) == 0
     model = train(docs.where(~held).select("doc_id", "text", "lang"))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

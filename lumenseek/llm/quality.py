@@ -157,7 +157,11 @@ def scored(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score of every document; rows in the held-out fold are never learned from."""
+    """Score of every document; rows in the held-out fold are never learned from.
+
+    Repeated rows and ids each give a row; of repeated labels the smaller counts; other columns are not read; an
+    empty table gives no rows. A text is one piece of its task whatever its length.
+    """
     trees = train(docs, labels, fold("doc_id", 4) != 2)
     out = scored(docs.select("doc_id", "text"), trees)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",

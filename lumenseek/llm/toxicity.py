@@ -189,6 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, most: int = MAX_SAMPLE)
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score of every document; rows in the held-out fold are never learned from.
+
+    Null and empty texts have no match; repeated rows and ids each give a row; of repeated labels the smaller
+    counts; other columns are not read; an empty table gives no rows. A text of any length is matched whole.
+    """
     model = train(docs, labels, fold("doc_id", 3) != 1)
     out = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), model.udf()("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
