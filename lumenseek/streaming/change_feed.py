@@ -63,7 +63,10 @@ def applied_changes(store: ChunkStore, changes: DataFrame) -> BucketedTable:
     """
     kinds = {f.name: f.dataType for f in changes.schema.fields}
     schema = T.StructType([T.StructField(name, kinds[name]) for name in ("file_path", "ts", "change_id")])
-    return BucketedTable(store.spark, f"{store.path}/_applied", schema, store.buckets)
+    applied = BucketedTable(store.spark, f"{store.path}/_applied", schema)
+    # A rebuild may give the store other buckets; this table keeps its own.
+    applied.wanted = store.buckets
+    return applied
 
 
 def not_late(batch: DataFrame, applied: BucketedTable) -> DataFrame:

@@ -442,5 +442,8 @@ def test_change_feed_keeps_no_state_and_repeats_a_batch_that_died(spark, tmp_pat
     spark.createDataFrame([("b.ts", at(4), 9, "write", "let b = 1;"), ("a.ts", at(5), 0, "write", "let a = 0;")], CHANGE).write.mode("append").parquet(inbox)
     run()
     assert texts(store) == [("a.ts", "let a = 1;")]
-    applied = feed.applied_changes(store, spark.createDataFrame([], CHANGE))
+    applied = feed.applied_changes(ChunkStore(spark, store.path), spark.createDataFrame([], CHANGE))
+    assert applied.buckets == 2
+    store._point_to(feed_version := store._live().__class__(**{**store._live().__dict__, "buckets": 5}))
+    assert feed.applied_changes(ChunkStore(spark, store.path), applied.read()).buckets == 2 and feed_version.buckets == 5
     assert sorted((r.file_path, r.change_id) for r in applied.read().collect()) == [("a.ts", 1), ("b.ts", 2)]
