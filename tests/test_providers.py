@@ -143,6 +143,22 @@ def test_tasks_share_the_request_budget():
     assert provider.per_minute == provider.budget.per_minute == 125
 
 
+class CountingService:
+    """Answers with the number of texts in the request."""
+
+    def call(self, path, body=None, **_):
+        return {"data": [{"index": i, "embedding": [len(body["input"])]} for i in range(len(body["input"]))]}
+
+
+def test_a_service_without_limit_gets_full_requests_and_no_waits(spark):
+    provider = em.HostedProvider("text-embedding-3-small", "k", transport=CountingService(), per_minute=None)
+    provider.shared_by(4)
+    assert provider.per_minute is None and provider.budget is None
+    texts = spark.range(0, 250, 1, 1).select(F.col("id").cast("string").alias("text"))
+    sizes = [r[0][0] for r in embed(texts, F.col("text"), provider).select("vector").collect()]
+    assert sorted(sizes) == [50.0] * 50 + [100.0] * 200
+
+
 def test_health_of_real_providers():
     assert health.check_health(em.HashProvider(8)) == health.HealthStatus(True, True, "Ollama ready")
     hosted = em.HostedProvider("text-embedding-3-small", "k", transport=FakeTransport(
