@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lumenseek.config import Settings
-from lumenseek.operators import batching
+from lumenseek.operators import batching, reports
 from lumenseek.operators.embedding import embed, retry_failed
 from lumenseek.providers import embedding as em, expansion as ex, health
 from lumenseek.providers.batching import BatchEmbedder, BatchPolicy
@@ -159,6 +159,16 @@ def test_a_service_without_limit_gets_full_requests_and_no_waits(spark):
     assert sorted(sizes) == [50.0] * 50 + [100.0] * 200
 
 
+def test_usage_counts_every_request_once(spark):
+    class Charging(CountingService):
+        def call(self, path, body=None, **_):
+            return {**super().call(path, body), "usage": {"total_tokens": 1000 + len(body["input"])}}
+
+    provider = em.HostedProvider("text-embedding-3-small", "k", transport=Charging(), per_minute=None)
+    texts = spark.range(0, 250, 1, 1).select(F.col("id").cast("string").alias("text"))
+    assert reports.token_usage(embed(texts, F.col("text"), provider)).first()[0] == 3 * 1000 + 250
+
+
 def test_health_of_real_providers():
     assert health.check_health(em.HashProvider(8)) == health.HealthStatus(True, True, "Ollama ready")
     hosted = em.HostedProvider("text-embedding-3-small", "k", transport=FakeTransport(
