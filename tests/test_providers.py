@@ -159,6 +159,21 @@ def test_a_service_without_limit_gets_full_requests_and_no_waits(spark):
     assert sorted(sizes) == [50.0] * 50 + [100.0] * 200
 
 
+def test_texts_of_a_batch_become_objects_slice_by_slice(spark):
+    class Watching(em.HashProvider):
+        """Answers with the number of Python texts of this test that the worker holds."""
+
+        def embed(self, texts):
+            import gc
+            alive = sum(sum(type(x) is str and x.startswith("watched ") for x in held)
+                        for held in gc.get_objects() if type(held) is list and len(held) > 100)
+            return [[float(alive)] for _ in texts]
+
+    texts = spark.range(0, 4000, 1, 1).select(F.concat(F.lit("watched "), "id").alias("text"))
+    most = embed(texts, F.col("text"), Watching(1)).agg(F.max(F.get("vector", F.lit(0)))).first()[0]
+    assert 0 < most <= 2 * 512
+
+
 def test_usage_counts_every_request_once(spark):
     class Charging(CountingService):
         def call(self, path, body=None, **_):
