@@ -74,6 +74,23 @@ def test_failing_rows_are_found_by_halving(spark):
     assert whole.count() == 300 and none.count() == 0 and none.columns == ["k", "error"]
 
 
+def test_halves_read_their_own_rows_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(k):
+        read.add(1)
+        return k
+
+    rows = spark.range(4096).repartition(4).select(F.concat(F.lit("f"), "id").alias("k"), "id").withColumn("text", counted.asNondeterministic()("k"))
+    bad = F.col("id").isin(7, 2000, 4000)
+    work = lambda df: df.select("text", F.when(bad, F.raise_error(F.lit("no"))).otherwise("fine").alias("v"))
+    done, errors = isolated(rows, work, "k")
+    assert done.count() == 4093 and sorted(r.k for r in errors.collect()) == ["f2000", "f4000", "f7"]
+    # Twelve halvings that each read everything for three keys are more than twice as many.
+    assert read.value < 24 * 4096
+
+
 def test_python_failures_and_repeated_keys(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, n int")
 
