@@ -38,6 +38,8 @@ BUCKET = "bucket"
 DEFAULT_BUCKETS, ROWS_PER_BUCKET = 64, 250_000
 #: Files of earlier versions that stay.
 KEPT_VERSIONS = 8
+#: Replaced files up to which their paths are sent to every task; the rows that stay then need no shuffle.
+SENT_PATHS = 100_000
 
 
 @dataclass(frozen=True)
@@ -224,20 +226,30 @@ class BucketedTable:
         live = self._live()
         paths = paths.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n")).select("file_path")
         staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        paths.select(self.bucket_of(F.col("file_path")).alias(BUCKET)).distinct().write.parquet(f"{staged}/touched")
-        touched = self._touched(staged)
-        if touched.isEmpty():
+        paths.groupBy(self.bucket_of(F.col("file_path")).alias(BUCKET)).agg(F.count(F.lit(1)).alias("paths")).write.parquet(f"{staged}/touched")
+        replaced = self.spark.read.schema("paths bigint").parquet(f"{staged}/touched").agg(F.sum("paths")).first()[0]
+        if replaced is None:
             self._delete(staged)
             return
-        kept = self._read().join(touched, BUCKET, "left_semi").join(paths, "file_path", "left_anti")
-        columns = [*self.schema.fieldNames(), BUCKET]
-        rows = kept.select(columns).hint("rebalance", BUCKET)
-        if chunks is not None:
-            rows = self._laid_out(chunks).select(columns).unionByName(kept.select(columns)).hint("rebalance", BUCKET)
-        rows.write.partitionBy(BUCKET).parquet(f"{staged}/rows")
+        self._replaced(staged, paths, replaced, chunks).write.partitionBy(BUCKET).parquet(f"{staged}/rows")
         self._write_json(f"{staged}/ready.json", {"rows": live.rows})
         self._apply(staged)
 
+    def _replaced(self, staged: str, paths: DataFrame, count: int, chunks: DataFrame | None) -> DataFrame:
+        """New contents of the touched buckets: the rows of other files than the ``count`` paths, and the chunks.
+
+        Rows that stay lie by bucket as they are read, so only new ones are
+        spread. With too many paths to send, the rows that stay are joined by
+        path and spread again.
+        """
+        columns = [*self.schema.fieldNames(), BUCKET]
+        few = count <= SENT_PATHS
+        kept = self._read().join(self._touched(staged), BUCKET, "left_semi").join(
+            F.broadcast(paths) if few else paths, "file_path", "left_anti").select(columns)
+        new = [] if chunks is None else [self._laid_out(chunks).select(columns)]
+        rows = functools.reduce(DataFrame.unionByName, [*new, kept])
+        return rows if few else rows.hint("rebalance", BUCKET)
+
     def recover(self) -> None:
         """Finish a replacement that was staged for the rows that are live, and drop what else lies in staging."""
         for name in self._names(f"{self.path}/_staged"):

@@ -396,6 +396,20 @@ def test_rebuild_between_crash_and_recovery_keeps_its_rows(spark, store, monkeyp
     assert texts(store) == sorted((f"n{i}", "new") for i in range(1, 40))
 
 
+@pytest.mark.parametrize("most", [100, 1])
+def test_rows_that_stay_are_not_shuffled_for_few_paths(spark, store, monkeypatch, most):
+    monkeypatch.setattr("lumenseek.sources.chunk_store.SENT_PATHS", most)
+    store.insert(rows(spark, *[(f"f{i}", 1, "old", [1.0]) for i in range(40)]))
+    plans, whole = [], store._replaced
+    monkeypatch.setattr(store, "_replaced", lambda *a: plans.append(whole(*a)) or plans[-1])
+    store.delete_files(spark.createDataFrame([("f0",), ("f1",)], "file_path string"))
+    assert texts(store) == sorted((f"f{i}", "old") for i in range(2, 40))
+    store.upsert(spark.createDataFrame([("f2",), ("f3",)], "file_path string"), rows(spark, ("f2", 1, "new", [1.0])))
+    assert texts(store) == sorted([("f2", "new"), *((f"f{i}", "old") for i in range(4, 40))])
+    spread = [p._jdf.queryExecution().optimizedPlan().toString().count("RebalancePartitions") for p in plans]
+    assert spread == ([0, 1] if most == 100 else [1, 2])
+
+
 def test_half_written_version_is_passed_over(spark, store):
     store.insert(rows(spark, ("a", 1, "x", [1.0])))
     fs_, target = store._fs(f"{store.path}/_versions/v000000000099.json")
