@@ -7,6 +7,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 
@@ -14,6 +15,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import plain  # noqa: E402
+from lumenseek.catalog import tables  # noqa: E402
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -47,3 +49,14 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_source_files_of_one_row_group_are_dealt_to_every_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert tables.table(spark, SF, "documents").rdd.getNumPartitions() >= cores
+        rows = tables.source_files(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) >= cores and max(r["count"] for r in rows) <= 2 * 200 / cores
