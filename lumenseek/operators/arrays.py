@@ -56,12 +56,12 @@ def part(values: Column, start: Column, length: Column | int) -> Column:
 
 
 def shifted_back(values: Column) -> Column:
-    """Every element's predecessor; NULL for the first."""
+    """Every element's predecessor; NULL for the first. As for ``part``, an expression is to be bound first."""
     return F.slice(F.concat(F.array(F.lit(None)), values), 1, F.size(values))
 
 
 def shifted_on(values: Column) -> Column:
-    """Every element's successor; NULL for the last."""
+    """Every element's successor; NULL for the last. As for ``part``, an expression is to be bound first."""
     return F.slice(F.concat(values, F.array(F.lit(None))), 2, F.size(values))
 
 

@@ -50,20 +50,21 @@ def _balanced(depth: int) -> str:
     return rf"\([^()]*+{inner}\)"
 
 
+# A look at the next character comes first where a pattern looks behind, which would otherwise be tried at every place.
 #: A brace that opens a block, a class or an object that is assigned, with code behind it.
-_OPENS = (r"(?<=(?:[)\w$>\]]|=>?)\s{0,4})(?<!\b(?:import|export|const|let|var|from|return|type|of|in|case)\s{0,4})"
+_OPENS = (r"(?=\{)(?<=(?:[)\w$>\]]|=>?)\s{0,4})(?<!\b(?:import|export|const|let|var|from|return|type|of|in|case)\s{0,4})"
           r"\{(?=\s*[^\s}])")
 #: A closing brace with the start of another statement or member behind it.
 _CLOSES = (r"\}(?=\s*(?!(?:else|catch|finally|while|from|as|satisfies|instanceof|in|of|extends|implements|with)\b)[A-Za-z_$@#])")
 _ENDS = r";(?=\s*[^\s;)])"
-_CUTS = rf"{_OPENS}|{_CLOSES}|{_ENDS}"
+_CUTS = rf"(?=[{{}};])(?:{_OPENS}|{_CLOSES}|{_ENDS})"
 _WHOLE_OR_CUT = rf"({_balanced(5)})|({_CUTS})"
 _CSS_CUTS = r"(?<=\})(?=\s*[^\s}])"
 
 _MARKUP_LANGUAGES = ("js", "jsx", "tsx")
 #: Tags as they begin in markup: not type arguments, which follow a name, nor type parameters.
-_TAG = r"(?<![\w$)\].])<(?:[A-Za-z][\w.:-]*(?=[\s/>]|$)(?!>\(|\s+extends\b)|>(?!\())"
-_TAG_ENDS = r"</|/>"
+_TAG = r"(?=<)(?<![\w$)\].])<(?:[A-Za-z][\w.:-]*(?=[\s/>]|$)(?!>\(|\s+extends\b)|>(?!\())"
+_TAG_ENDS = r"(?=[</])(?:</|/>)"
 # Start of a top statement that holds markup -> syntax depth of its outermost element.
 _BINDING = r"(?:const|let|var)\s[^()<]*=\s*"
 MARKUP_HEADS = [
@@ -195,7 +196,8 @@ def _units(lines: Column, language: Column) -> Column:
 
 
 def _tag_balance(code: Column) -> Column:
-    return F.regexp_count(code, F.lit(_TAG)) - F.regexp_count(code, F.lit(_TAG_ENDS))
+    counted = F.regexp_count(code, F.lit(_TAG)) - F.regexp_count(code, F.lit(_TAG_ENDS))
+    return F.when(F.contains(code, F.lit("<")) | F.contains(code, F.lit("/>")), counted).otherwise(0)
 
 
 def _unit_facts(units: Column, after: Column, tags: Column) -> Column:
@@ -273,8 +275,8 @@ def _nested_points(top: Column, language: Column) -> Column:
 
     level_one = F.filter(body, lambda x: (x["before"] == 1) & x["code"].rlike(r"^[\w$#*\[\"]"))
     # Each with the units up to the next one.
-    spans = F.zip_with(level_one, shifted_on(level_one), lambda x, after: F.struct(x.alias("x"), part(
-        body, x["at"] - top["at"] - 1, F.coalesce(after["at"] - top["at"] - 1, F.size(body)) - (x["at"] - top["at"] - 1)).alias("own")))
+    spans = let(level_one, lambda ones: F.zip_with(ones, shifted_on(ones), lambda x, after: F.struct(x.alias("x"), part(
+        body, x["at"] - top["at"] - 1, F.coalesce(after["at"] - top["at"] - 1, F.size(body)) - (x["at"] - top["at"] - 1)).alias("own"))))
     headed = F.transform(spans, lambda s: F.struct(
         s["x"]["row"].alias("row"), s["x"]["code"].alias("code"), s["own"].alias("own"),
         _header(s["x"], F.filter(s["own"], lambda y: y["at"] > s["x"]["at"])).alias("head")))
@@ -291,15 +293,18 @@ def _markup_points(top: Column) -> Column:
         depth = depth.when(top["code"].rlike(pattern), outermost)
 
     def found(d: Column) -> Column:
-        units = F.concat(F.array(F.struct(top["at"].alias("at"), top["row"].alias("row"), F.lit(0).alias("before"),
-                                          top["after"].alias("after"), top["tags"].alias("tags"),
-                                          F.regexp_replace(top["code"], r"^[^<]*(?=<[\w>])", "").alias("code"))), top["body"])
+        head = F.struct(top["at"].alias("at"), top["row"].alias("row"), F.lit(0).alias("before"), top["after"].alias("after"),
+                        top["tags"].alias("tags"), F.regexp_replace(top["code"], r"^[^<]*(?=<[\w>])", "").alias("code"))
+        return let(F.transform(F.concat(F.array(head), top["body"]), lambda x: x.withField(
+            "closed", x["tags"] + _tag_balance(x["code"]))), lambda units: elements(d, units))
+
+    def elements(d: Column, units: Column) -> Column:
         inside = F.when(top["code"].rlike(r"\((?:<[\w>].*)?$"), 1).otherwise(0)
         starts = F.filter(units, lambda x: x["code"].rlike(r"^<[\w>]") & (d + x["tags"] - top["tags"] <= 3)
                           & ((x["before"] == inside) | (x["at"] == top["at"])))
 
         def tall(x: Column) -> Column:
-            end = F.get(F.filter(units, lambda y: (y["at"] >= x["at"]) & (y["tags"] + _tag_balance(y["code"]) <= x["tags"])), F.lit(0))
+            end = F.get(F.filter(units, lambda y: (y["at"] >= x["at"]) & (y["closed"] <= x["tags"])), F.lit(0))
             return end["row"] - x["row"] + 1 >= fv.JSX_MIN_LINES
 
         return F.transform(F.filter(starts, tall), lambda x: _point(x["row"], F.lit("JSX")))
@@ -328,7 +333,7 @@ def _option_points(body: Column) -> Column:
                    F.transform(inner, lambda y: _point(y["row"], nested))
                    ).otherwise(F.array().cast("array<struct<line:int,label:string>>")))
 
-    return F.flatten(F.zip_with(ones, shifted_on(ones), of_line))
+    return F.flatten(let(ones, lambda known: F.zip_with(known, shifted_on(known), of_line)))
 
 
 def _script_points(facts: Column, tops: Column, language: Column, compat: bool) -> Column:
@@ -365,7 +370,8 @@ def _without_own_braces(tops: Column) -> Column:
 def _decorator_rows(facts: Column, level: int) -> Column:
     """Lines of the decorators that start at a bracket level, up to what they stand above."""
     starts = F.filter(facts, lambda x: (x["before"] <= level) & (x["code"] != ""))
-    pairs = F.zip_with(starts, shifted_on(starts), lambda x, after: F.struct(x.alias("x"), after.alias("after")))
+    pairs = let(starts, lambda known: F.zip_with(known, shifted_on(known), lambda x, after: F.struct(
+        x.alias("x"), after.alias("after"))))
     # What stands on a decorator's own line after it is the decorated thing itself.
     spans = F.filter(pairs, lambda p: (p["x"]["before"] == level) & (p["after"]["row"] > p["x"]["row"]) & (
         p["x"]["code"].rlike(rf"^@[\w$.]+\s*(?:{_balanced(5)})?$")
@@ -386,8 +392,8 @@ def _css_points(tops: Column) -> Column:
 
     coded = F.filter(tops, lambda x: x["code"] != "")
     # A rule's closing line starts one level deep, so an opening line also ends a run.
-    pairs = F.zip_with(coded, shifted_back(coded), lambda x, b: F.struct(x.alias("x"), F.when(
-        b["after"] > 0, F.lit(None)).otherwise(b).alias("b")))
+    pairs = let(coded, lambda known: F.zip_with(known, shifted_back(known), lambda x, b: F.struct(x.alias("x"), F.when(
+        b["after"] > 0, F.lit(None)).otherwise(b).alias("b"))))
     return F.filter(F.transform(pairs, lambda p: of_line(p["x"], p["b"])), lambda p: p["label"].isNotNull())
 
 
@@ -410,9 +416,9 @@ def _scan_steps(compat: bool):
     steps.append(("_after", running_sum(F.transform("_unit", lambda u: _balance(u["code"])))))
     steps.append(("_after", F.when(language == "css", F.col("_after")).otherwise(_recovered(codes, F.col("_after")))))
     # Open tags after each unit, then before it.
-    open_tags = _recovered(codes, running_sum(F.transform("_unit", lambda u: _tag_balance(u["code"]))))
+    open_tags = let(running_sum(F.transform("_unit", lambda u: _tag_balance(u["code"]))), lambda after: _recovered(codes, after))
     steps.append(("_tags", F.when(language.isin(*_MARKUP_LANGUAGES) & F.exists("_unit", lambda u: u["code"].rlike(_TAG)),
-                                  shifted_back(open_tags)).otherwise(F.array().cast("array<int>"))))
+                                  let(open_tags, shifted_back)).otherwise(F.array().cast("array<int>"))))
     steps.append(("_facts", _unit_facts(F.col("_unit"), F.col("_after"), F.col("_tags"))))
     steps.append(("_tops", F.filter("_facts", lambda x: (x["before"] <= 0) & (x["tags"] <= 0) & (
         (x["code"] != "") | (x["after"] > 0)))))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lumenseek.operators import arrays, cutting as cut
+from lumenseek.operators import arrays, cutting as cut, syntax
 from lumenseek.operators.syntax import scan_syntax, top_level_kinds
 from lumenseek.plans.chunking import chunk_errors, chunk_files, fallback_chunks
 
@@ -521,3 +521,29 @@ def test_piece_steps_take_linear_time(spark, form):
     seconds(100)
     small, large = seconds(20_000), seconds(40_000)
     assert large <= 3 * small + 1, (small, large)
+
+
+def test_steps_build_an_array_once(spark):
+    """An array that is laid beside its own neighbours is bound first, not built again for each mention."""
+    tags = str(dict(syntax._scan_steps(False))["_tags"])
+    assert tags.count("regexp_count") == 2
+    points = str(cut.first_per_line(cut.group_imports(F.col("points"))))
+    assert points.count("array_sort") == 1
+
+
+def test_line_cuts_are_found_without_looking_behind_everywhere(spark):
+    """A line with nothing to cut costs about as much as a search for the characters of a cut."""
+    import time
+
+    line = spark.range(400).select(F.concat(F.lit("x"), F.repeat(F.lit("word a1 "), 4000), F.col("id").cast("string")).alias("line")).cache()
+    line.count()
+
+    def seconds(pattern: str) -> float:
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            assert line.where(F.col("line").rlike(pattern)).count() == 0
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(syntax._CUTS) < 4 * seconds("[{};]") + 0.1
