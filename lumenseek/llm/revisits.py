@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenseek.llm.common import bind
+
 #: Headers of a 304 answer that replace those of the stored response (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Query parameters that do not select content.
@@ -55,8 +57,10 @@ def resolve(records: DataFrame) -> DataFrame:
     bounds = sorted(set((records.agg(F.percentile_approx("at", cuts, 100 * many).alias("b")).first()[0] if cuts else None) or []))
     table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else None
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else None
-    span = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.get(table, i + s - 1) < F.col("at"), F.lit(False)), i + s)
-                       .otherwise(i)) if bounds else F.lit(0)
+    # The time comes in as a lambda variable. Spark compares expressions with lambda variables numbered from 0 and takes a column
+    # of the same number, named inside a lambda, for one of them: the join by span then filters one side by a column it lacks.
+    span = bind(F.col("at"), lambda at: F.aggregate(steps, F.lit(0), lambda i, s: F.when(
+        F.coalesce(F.get(table, i + s - 1) < at, F.lit(False)), i + s).otherwise(i))) if bounds else F.lit(0)
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("at").isNotNull()
     rows = records.select("record_id", "kind", F.coalesce(canonical(F.col("url")), F.lit("")).alias("url_key"), "at",
                           span.alias("span"), F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"),

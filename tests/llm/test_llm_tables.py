@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -273,6 +276,32 @@ def test_as_of_join_over_ranges(spark, monkeypatch, size):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+FIRST = """
+import sys
+from lumenseek.llm import queries, revisits
+from lumenseek.session import build_session
+
+spark = build_session("first", "local[2]", **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
+                                              "spark.sql.autoBroadcastJoinThreshold": "-1"})
+revisits.RANGE_ROWS = 4
+queries.QUERIES["op6_revisits"](spark, sys.argv[1]).write.parquet(sys.argv[2])
+"""
+
+
+def test_revisits_as_first_query_of_a_session(spark, tmp_path):
+    """The columns then have numbers as small as those by which Spark compares lambda variables."""
+    rng, sf, out = random.Random(6), tmp_path / "sf", tmp_path / "out"
+    rows = [(i, f"{rng.choice(['http://a', 'https://m.b', 'http://www.c'])}.example/{rng.randrange(4)}{rng.choice(['', '.html', '#top', '/'])}",
+             f"<p>{rng.randrange(3)}</p>") for i in range(60)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"file://{sf}/pages.parquet")
+    subprocess.run([sys.executable, "-c", FIRST, f"file://{sf}", f"file://{out}"], cwd=os.path.dirname(corpus_pipeline.__file__),
+                   check=True, timeout=300)
+    got = spark.read.parquet(f"file://{out}")
+    want = duck(str(sf)).execute(f"SELECT {', '.join(got.columns)} FROM ({revisits.OP6_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r[3] for r in want} == {"resolved", "stale", "unvalidated", "no_response"}
+
+
 def test_canonical_urls(column):
     urls = ["HTTPS://WWW.Example.com:443/A/?utm_source=x&b=2&a=1#f", "http://example.com/A?a=1&b=2", " example.com/A/ ", ""]
     assert column(revisits.canonical, urls) == ["example.com/A?a=1&b=2", "example.com/A?a=1&b=2", "example.com/A", ""]
